@@ -113,7 +113,7 @@ def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC) -> b
     flags = [w in common for w in words]
     share = sum(flags) / len(words)
     # Letters in a heap: no function words although the unit is long. Other scripts and languages pass by their letters.
-    if share == 0 and len(words) >= 5 and text.isascii() and spans == 0:
+    if len(words) >= 5 and share == 0 and text.isascii() or len(tokens) >= 8 and spans + len(tokens) - len(words) > len(words) and share < 0.15:
         return False
     heap, clash, n = disorder(text, common)
     if n >= 6 and heap > HEAP or clash >= 2 and clash > CLASH * n:
@@ -164,6 +164,8 @@ def _clashes() -> frozenset[tuple[str, str]]:
 
 
 PAIRS = _clashes()
+#: Words that can't end a unit: a line that ends with one goes on in the next.
+HANGING = frozenset(w for det, _, prep, _ in _ORDER.values() for w in f"{det} {prep}".split()) | frozenset("if and or but that which because when whether der die das und oder sondern weil wenn et ou mais que quand y o pero porque cuando en of maar het dat omdat zodra each every i you we it only may will would can".split())
 _RUNS = re.compile(r"[^\w\s'’`]+|`[^`]*`")
 
 
@@ -199,14 +201,14 @@ def _paragraph(lines: list[str], common: frozenset[str]) -> int:
                 total += len(u) + 1 if is_sentence(u, u.strip()[-1] not in ".?!…。！？\"'”)", common) else 0
         return min(total, len(joined) + 1)
     counts = [len(_TOKEN.findall(s)) for s in lines]
-    hanging = sum(1 for s in lines if (w := _WORD.findall(s.lower())) and w[-1] in common)
-    if len(lines) > 1 and (hanging >= 0.12 * len(lines) or any(c <= 2 for c in counts)) and sum(counts) >= 10 and max(counts) >= 4:
+    hanging = sum(1 for s in lines if (w := _TOKEN.findall(s.lower())) and w[-1] in HANGING)
+    if len(lines) > 1 and hanging >= 0.12 * len(lines) and sum(counts) >= 10 and max(counts) >= 4:
         return len(joined) + 1 if is_sentence(joined.replace("\n", " "), False, common) else 0
     for s in lines:
         # One unit per line; a long line may hold several.
         if is_sentence(s, True, common):
             total += len(s) + 1
-    if len(lines) > 1 and total < 0.5 * len(joined) and sum(counts) / len(lines) >= 7 and is_sentence(joined.replace("\n", " "), False, common):
+    if len(lines) > 1 and hanging and total < 0.5 * len(joined) and sum(counts) / len(lines) >= 7 and is_sentence(joined.replace("\n", " "), False, common):
         return len(joined) + 1
     return total
 

@@ -150,15 +150,8 @@ def _encoder(raw: bytes) -> Encoder:
     return _ENCODERS[key]
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores by key hash when the scan alone would give fewer tasks than that (few or unsplittable files)."""
-    sc = df.sparkSession.sparkContext
-    slots = sc.defaultParallelism
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * slots), *keys)
-
-
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, count_only: bool = False) -> DataFrame:
-    """``key, ids`` (or ``key, tokens`` with ``count_only``) of every row; other columns are not read.
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, count_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, ids`` (or ``key, tokens`` with ``count_only``) of every row and the columns of ``keep``; others are not read.
 
     The vocabulary file is read on the driver and broadcast: its size is that of the public file (below 2 MB), checked here.
     """
@@ -180,8 +173,8 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
                 np.cumsum([len(x) for x in ids], out=off[1:])
                 flat = np.fromiter((t for x in ids for t in x), np.int32, int(off[-1]))
                 vals = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), vals], [key, "tokens" if count_only else "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), vals, *b.columns[2:]], [key, "tokens" if count_only else "ids", *keep])
 
-    kind = dict(df.dtypes)[key]
-    out = f"`{key}` {kind}, " + ("tokens bigint" if count_only else "ids array<int>")
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, out)
+    kind = dict(df.dtypes)
+    out = f"`{key}` {kind[key]}, " + ("tokens bigint" if count_only else "ids array<int>") + "".join(f", `{c}` {kind[c]}" for c in keep)
+    return df.select(F.col(key), F.col(text), *keep).mapInArrow(run, out)
