@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixture, prose, tokens
+from lodestone.llm import mixture, prose, sources, tokens
 
 
 def _t(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_kinds(spark, root).select("path")
+
+
+def p4_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """The paths that aren't hand-written source, with what they are."""
+    return sources.not_handwritten(*[_t(spark, root, t) for t in ("files", "symbols", "projects", "workspace_catalog")])
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, ids of every document."""
     return tokens.encode(_t(spark, root, "documents"))
@@ -41,7 +50,7 @@ def p9_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_ids, p8_mix, p8_report, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p4_found, p4_kinds, p7_ids, p8_mix, p8_report, p9_found, p9_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
