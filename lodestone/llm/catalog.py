@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixture, prose, sources, tokens
+from lodestone.llm import docpairs, mixture, prose, sources, tokens
 
 
 def _t(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return docpairs.documented(*[_t(spark, root, t) for t in ("body_slices", "symbols", "raw_documents")]).select("fqdn").distinct()
+
+
+def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """fqdn, code and description of each documented callable."""
+    return docpairs.pairs(*[_t(spark, root, t) for t in ("body_slices", "symbols", "raw_documents")])
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_kinds(spark, root).select("path")
 
@@ -50,7 +59,7 @@ def p9_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_kinds, p7_ids, p8_mix, p8_report, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_kinds, p7_ids, p8_mix, p8_report, p9_found, p9_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
