@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import docpairs, mixture, prose, sources, tokens
+from lodestone.llm import docpairs, mixture, prose, sources, syntax, tokens
 
 
 def _t(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.parsed(_t(spark, root, "files")).where("broken").select("path", "content_hash").distinct()
+
+
+def p1_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Broken versions with the line of the first error no parse gets past."""
+    return syntax.parsed(_t(spark, root, "files")).where("broken").select("path", "content_hash", "language", "error_line").distinct()
+
+
+def p1_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Share of broken versions per project and language."""
+    roots = sources.project_roots(_t(spark, root, "projects"), _t(spark, root, "workspace_catalog"))
+    prefixes = spark.createDataFrame(roots, "prefix string, label string")
+    return syntax.rates(syntax.parsed(_t(spark, root, "files")), prefixes)
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return docpairs.documented(*[_t(spark, root, t) for t in ("body_slices", "symbols", "raw_documents")]).select("fqdn").distinct()
 
@@ -59,7 +75,7 @@ def p9_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_pairs, p4_found, p4_kinds, p7_ids, p8_mix, p8_report, p9_found, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p3_found, p3_pairs, p4_found, p4_kinds, p7_ids, p8_mix, p8_report, p9_found, p9_stats)}
 
 
 def oracle_sql() -> dict[str, str]:

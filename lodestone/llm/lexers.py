@@ -114,9 +114,9 @@ def _directives(s: str) -> tuple[str, bool]:
         whole = line
         if m:
             while whole.rstrip("\r").endswith("\\") and i + 1 < len(lines):
+                out.append(" " * len(lines[i]))
                 i += 1
                 whole = lines[i]
-                out.append("")
             word, cond = m.group(1), m.group(2).strip()
             if word in ("if", "ifdef", "ifndef"):
                 off = word == "if" and re.fullmatch(r"(?:0|false)\s*(?:/[/*].*)?", cond) is not None
@@ -133,7 +133,7 @@ def _directives(s: str) -> tuple[str, bool]:
             at = rest.rfind("/*")
             if at >= 0 and "*/" not in rest[at:]:
                 comment = True
-            out.append("")
+            out.append(" " * len(lines[i]))
         else:
             keep = all(x[0] for x in stack)
             bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", '""', line) if not comment else line
@@ -149,14 +149,14 @@ def _directives(s: str) -> tuple[str, bool]:
                     if a < 0 or 0 <= c < a:
                         break
                     comment, pos = True, a + 2
-            out.append(line if keep else "")
+            out.append(line if keep else " " * len(line))
         i += 1
     return "\n".join(out), not stack
 
 
 def lex_c(s: str) -> Tokens:
     t, b, o = [], [], []
-    s = s.removeprefix("\ufeff")
+    s = " " + s[1:] if s.startswith("\ufeff") else s
     s, closed = _directives(s)
     i, n, nl = 0, len(s), False
     match = _C.match
