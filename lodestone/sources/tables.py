@@ -40,7 +40,7 @@ def live_symbols(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "symbols")
     cols = [c for c in s.columns if c not in ("workspace_id", "fqdn")]
     latest = s.groupBy("workspace_id", "fqdn").agg(
-        F.max_by(F.struct(*cols), F.struct("indexed_ms", "last_modified_revision", "symbol_id", F.xxhash64("file_path", "start_line", "start_col", "body_hash"))).alias("r")
+        F.max_by(F.struct(*cols), F.struct("indexed_ms", "last_modified_revision", "symbol_id")).alias("r")
     )
     return latest.select("workspace_id", "fqdn", "r.*").where("deleted_ms is null")
 
@@ -56,3 +56,17 @@ def distinct_edges(spark: SparkSession, root: str, *cols: str) -> DataFrame:
     """Edges once each, however often delivered: one row per edge_id with the columns asked for."""
     e = table(spark, root, "edges").select("edge_id", *[c for c in cols if c != "edge_id"])
     return e.dropDuplicates(["edge_id"])
+
+
+def distinct_calls(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    """Call sites once each: one row per id with the columns asked for."""
+    return table(spark, root, "call_sites").select("id", *[c for c in cols if c != "id"]).dropDuplicates(["id"])
+
+
+def graph_edges(spark: SparkSession, root: str, *more: str) -> DataFrame:
+    """Edges with their target worked out anew: ``target`` is the live symbol that to_symbol_id names (``resolved``), else
+    the text of to_unresolved, else to_fqdn demoted to text. Deletes and renames therefore need no update of edges."""
+    e = distinct_edges(spark, root, "workspace_id", "from_fqdn", "kind", "to_symbol_id", "to_fqdn", "to_unresolved", *more)
+    ids = live_symbols(spark, root).select(F.col("symbol_id").alias("to_symbol_id"), F.col("fqdn").alias("live_fqdn"))
+    j = e.join(ids, "to_symbol_id", "left")
+    return j.withColumn("resolved", F.col("live_fqdn").isNotNull()).withColumn("target", F.coalesce("live_fqdn", "to_unresolved", "to_fqdn")).drop("live_fqdn")
