@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.chart import Recogniser
-from lodestone.llm.lexers import lex_c, lex_lua, lex_rust, lex_script
+from lodestone.functions.lexers import lex_c, lex_lua, lex_rust, lex_script
 from lodestone.session import ship
 
 #: Spellings of languages and endings of their files.
