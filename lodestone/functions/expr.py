@@ -13,7 +13,7 @@ EXTENSIONS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "java
 ROOT_NAMES = ("lib", "main", "mod", "index", "init")
 
 
-def glob_to_regex(pattern: str) -> str:
+def glob_to_regex(pattern: str, many: str = ".*", one: str = ".") -> str:
     """Anchored regular expression of a glob: ``*``, ``?``, ``[abc]``, ``[a-c]``, ``[^x]``; everything else is literal.
 
     An unclosed bracket is literal. Case-sensitive; ``*`` also matches separators and line breaks.
@@ -22,9 +22,9 @@ def glob_to_regex(pattern: str) -> str:
     while i < len(pattern):
         c = pattern[i]
         if c == "*":
-            out += ".*"
+            out += many
         elif c == "?":
-            out += "."
+            out += one
         elif c == "[" and (j := pattern.find("]", i + 2)) > 0:
             body = pattern[i + 1 : j]
             neg = body[:1] in ("^", "!")
