@@ -197,7 +197,7 @@ def says_something(text: str | None, name: str | None) -> bool:
         if not line or heading:
             units.append("")
             continue
-        if units and units[-1] and not _TAG.match(line) and not units[-1][-1] in ".!?:" and not _TAG.match(units[-1]):
+        if units and units[-1] and not _TAG.match(line) and units[-1][-1] not in ".!?:" and not _TAG.match(units[-1]) and units[-1].lower() not in PLACEHOLDERS:
             units[-1] += " " + line
         else:
             units.append(line)

@@ -273,7 +273,7 @@ def rates(judged: DataFrame, prefixes: DataFrame) -> DataFrame:
     once = judged.groupBy("path", "content_hash").agg(F.first("language").alias("language"), F.max("broken").alias("broken"))
     parts = F.split("path", "/")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("prefix")))
-    exploded = once.withColumn("h", F.explode(heads)).select("path", "content_hash", "language", "broken", "h.*")
+    exploded = once.withColumn("h", F.explode_outer(heads)).select("path", "content_hash", "language", "broken", "h.*")
     own = exploded.join(prefixes, "prefix", "left").groupBy("path", "content_hash").agg(
         F.max_by("label", F.when(F.col("label").isNotNull(), F.col("depth"))).alias("label"), F.first("language").alias("language"), F.first("broken").alias("broken"))
     return own.groupBy("label", "language").agg(F.count("*").alias("versions"), F.sum(F.col("broken").cast("int")).alias("broken"), F.avg(F.col("broken").cast("int")).alias("share"))
