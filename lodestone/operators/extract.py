@@ -569,7 +569,9 @@ def extract(files: DataFrame, returns: dict[str, str] | None = None) -> DataFram
     mod = expr.module_path(F.regexp_replace("path", "^ws:[^:]*:", ""))
     module = F.when(mod == "", head).when(head == "", mod).otherwise(F.concat_ws("::", head, mod))
     d = files.where("path is not null and content is not null").select("path", module.alias("module"), "content")
-    return d.mapInArrow(run, SCHEMA)
+    # Files usually come from an aggregate (current versions): a set number of partitions keeps it from being coalesced.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return d.repartition(parts, "path").mapInArrow(run, SCHEMA)
 
 
 #: Most functions whose return type is sent to the executors; beyond it the pre-pass is left out and receivers stay open.

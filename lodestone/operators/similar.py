@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import jaro_winkler, may_reach, profile, tokenize
+from lodestone.functions.text import head_codes, jaro_winkler, may_reach, profile, tokenize
 from lodestone.operators.lookup import first_per
 from lodestone.session import ship
 
@@ -27,7 +27,9 @@ def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6) -> Dat
     """
     spark = ship(names.sparkSession)
     q = queries.where("name is not null").select("name").distinct().orderBy("name")
-    all_names = names.where("name is not null").select("name").distinct()
+    # A set number of partitions keeps the few but costly rows from being coalesced into one task.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    all_names = names.where("name is not null").select("name").distinct().repartition(parts, "name")
     total = q.count()
     out: DataFrame | None = None
     for start in range(0, max(total, 1), BLOCK):
@@ -38,6 +40,7 @@ def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6) -> Dat
             asked = shared.value
             low = [x.lower() for x in asked]
             counts, lengths = profile(low)
+            heads = head_codes(low)
             toks = [set(tokenize(x)) for x in asked]
             by_token: dict[str, list[int]] = {}
             for i, t in enumerate(toks):
@@ -49,7 +52,7 @@ def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6) -> Dat
                     x = name.lower()
                     c, n = profile([x])
                     t = set(tokenize(name))
-                    near = set(np.flatnonzero(may_reach(c[0], int(n[0]), counts, lengths, least)).tolist()) if asked else set()
+                    near = set(np.flatnonzero(may_reach(c[0], int(n[0]), counts, lengths, least, heads, head_codes([x])[0])).tolist()) if asked else set()
                     shared_token = {i for w in t or ("",) for i in by_token.get(w, ())}
                     for i in near | shared_token:
                         if low[i] == x:

@@ -83,3 +83,15 @@ def ship(spark: SparkSession) -> SparkSession:
     spark.sparkContext.addPyFile(where)
     _SHIPPED.add(app)
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan over all cores when its files give fewer tasks than there are (few or unsplittable ones); else unchanged.
+
+    For narrow plans over a scan only: asking for their partitions runs nothing. At scale, where splits outnumber cores,
+    no row is moved.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots * 2, *keys)
