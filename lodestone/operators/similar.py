@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import head_codes, jaro_winkler, may_reach, profile, tokenize
+from lodestone.functions.text import codes, head_codes, jaro_winkler, jaro_winkler_many, may_reach, profile, tokenize
 from lodestone.operators.lookup import first_per
 from lodestone.session import ship
 
 #: Query names per block: what one broadcast holds, however many queries there are.
 BLOCK = 4000
+#: Names up to this length are scored all at once; longer ones one by one.
+WIDTH = 64
 
 
 def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
@@ -38,29 +40,36 @@ def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6) -> Dat
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             asked = shared.value
-            low = [x.lower() for x in asked]
-            counts, lengths = profile(low)
-            heads = head_codes(low)
-            toks = [set(tokenize(x)) for x in asked]
-            by_token: dict[str, list[int]] = {}
-            for i, t in enumerate(toks):
-                for w in t or ("",):
-                    by_token.setdefault(w, []).append(i)
+            toks = [frozenset(tokenize(x)) for x in asked]
             for b in batches:
+                names = b["name"].tolist()
+                low = [x.lower() for x in names]
+                counts, lengths = profile(low)
+                heads = head_codes(low)
+                short = lengths <= WIDTH
+                table = codes([x if k else "" for x, k in zip(low, short)], int(lengths[short].max(initial=0)))
+                own = [frozenset(tokenize(x)) for x in names]
+                by_token: dict[str, list[int]] = {}
+                for i, t in enumerate(own):
+                    for w in t or ("",):
+                        by_token.setdefault(w, []).append(i)
                 rows = []
-                for name in b["name"]:
+                for name, t in zip(asked, toks):
                     x = name.lower()
-                    c, n = profile([x])
-                    t = set(tokenize(name))
-                    near = set(np.flatnonzero(may_reach(c[0], int(n[0]), counts, lengths, least, heads, head_codes([x])[0])).tolist()) if asked else set()
-                    shared_token = {i for w in t or ("",) for i in by_token.get(w, ())}
-                    for i in near | shared_token:
-                        if low[i] == x:
-                            continue
-                        jac = 1.0 if not t and not toks[i] else len(t & toks[i]) / len(t | toks[i])
-                        s = max(jac, jaro_winkler(low[i], x)) if i in near else jac
-                        if s >= least:
-                            rows.append((asked[i], name, s))
+                    q, n = profile([x])
+                    near = np.flatnonzero(may_reach(q[0], int(n[0]), counts, lengths, least, heads, head_codes([x])[0]))
+                    best: dict[int, float] = {}
+                    easy = near[short[near]]
+                    s = jaro_winkler_many(x, table[easy], lengths[easy])
+                    best.update((int(i), float(v)) for i, v in zip(easy[s >= least], s[s >= least]))
+                    for i in near[~short[near]]:
+                        if (v := jaro_winkler(x, low[i])) >= least:
+                            best[int(i)] = v
+                    for i in {i for w in t or ("",) for i in by_token.get(w, ())}:
+                        jac = 1.0 if not t and not own[i] else len(t & own[i]) / len(t | own[i])
+                        if jac >= least:
+                            best[i] = max(best.get(i, 0.0), jac)
+                    rows += [(name, names[i], v) for i, v in best.items() if low[i] != x]
                 yield pd.DataFrame(rows, columns=["query", "name", "score"])
 
         part = all_names.mapInPandas(run, "query string, name string, score double")

@@ -1,5 +1,6 @@
 """Scalar functions against known cases and properties."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +35,14 @@ def test_bounds_never_lose_a_pair(a, b):
         assert tx.may_reach(q[0], int(m[0]), c, n, 0.6)[0]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcde_é", max_size=14), st.lists(st.text("abcde_é", max_size=14), max_size=6))
+def test_many_at_once_equals_one_by_one(a, bs):
+    n = np.array([len(b) for b in bs], np.int64)
+    got = tx.jaro_winkler_many(a, tx.codes(bs, max([0, *n])), n)
+    assert np.allclose(got, [tx.jaro_winkler(a, b) for b in bs])
+
+
 @pytest.mark.parametrize("pattern,text,hit", [("*", "", True), ("a?c", "abc", True), ("a?c", "ac", False), ("[a-c]x*", "bx::y", True), ("[^a]x", "ax", False), ("a.c", "abc", False), ("Foo*", "foo", False), ("x[", "x[", True), ("*\\d*", "\\d", True), ("*a*", "b\na\n", True)])
 def test_glob(spark, pattern, text, hit):
     assert spark.createDataFrame([(text,)], "t string").select(expr.glob(F.col("t"), pattern)).first()[0] is hit
