@@ -41,11 +41,12 @@ def lease_states(runs: DataFrame, now_ms: int | None = None, lease_ms: int = 6 *
 def ledger_states(items: DataFrame, entries: DataFrame, leases: DataFrame) -> DataFrame:
     """State of each wanted (item, version): its row plus ``state`` and the deciding ``token``.
 
-    ``items``: item, version and any other columns (kept as they are); entries with null item or version decide nothing.
+    ``items``: item, version and any other columns (kept as they are). Entries with a null item decide nothing; one with a null
+    version decides like any other and equals no version.
     Entries of unlisted leases are dropped by the join with ``leases``, whose size Spark checks before it broadcasts it.
     Both aggregates fold rows before the shuffle, so an item that holds a third of all entries costs one row per task.
     """
-    known = entries.where("item is not null and version is not null").join(leases.where("lease > 0"), "token")
+    known = entries.where("item is not null").join(leases.where("lease > 0"), "token")
     newest = known.groupBy("item").agg(
         F.max_by(F.struct("version", "token"), F.when(F.col("lease") == 2, F.struct("token", "at_ms", "version"))).alias("done"),
         F.max_by(F.struct("version", "token"), F.when(F.col("lease") == 1, F.struct("token", "at_ms", "version"))).alias("held"),

@@ -65,7 +65,7 @@ done AS (
   SELECT {_CANON} AS item, lower(trim(p.content_hash)) AS version, p.run_id AS token,
          row_number() OVER (PARTITION BY {_CANON} ORDER BY p.run_id DESC, p.processed_ms DESC, lower(trim(p.content_hash)) DESC) AS rn
   FROM processed_files p
-  WHERE p.path IS NOT NULL AND p.content_hash IS NOT NULL
+  WHERE p.path IS NOT NULL
     AND p.run_id IN (SELECT run_id FROM scan_runs WHERE status = 'succeeded')),
 st AS (
   SELECT c.path, c.content_hash, coalesce(d.version = lower(trim(c.content_hash)), false) AS is_done, d.token

@@ -22,7 +22,7 @@ QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 def extracted(spark: SparkSession, root: str) -> DataFrame:
     """Everything the current versions of all files yield, under their project's name."""
     p = table(spark, root, "projects").select("project_id", F.col("label").alias("project"))
-    f = current_files(spark, root).select("path", "content", "project_id").where("content is not null")
+    f = current_files(spark, root, "content", "project_id").select("path", "content", "project_id").where("content is not null")
     return extract.extract(f.join(p, "project_id", "left"), extract.return_types(table(spark, root, "files").select("path", "content")))
 
 
@@ -118,15 +118,15 @@ r AS (SELECT DISTINCT regexp_replace(to_unresolved, '[*?\\[\\]]', '', 'g') AS na
 p AS (SELECT a.name AS query, b.name, {_SCORE} AS score FROM q a JOIN n b ON a.low <> b.low) SELECT query, fqdn, score FROM p JOIN s USING (name) WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, fqdn) <= 5""")
 def o84_did_you_mean(spark: SparkSession, root: str) -> DataFrame:
     """Suggestions for the unresolved names of edges whose id is divisible by 50 (the query set)."""
-    s = live_symbols(spark, root).where("workspace_id = 'primary' and name is not null").select("fqdn", "name").distinct()
+    s = live_symbols(spark, root, "name").where("workspace_id = 'primary' and name is not null").select("fqdn", "name").distinct()
     r = distinct_edges(spark, root, "to_unresolved").where("to_unresolved is not null and edge_id % 50 = 0").select(F.col("to_unresolved").alias("name"))
     return similar.did_you_mean(r, s).drop("rank")
 
 
 def _slices(spark: SparkSession, root: str) -> DataFrame:
     """Live symbols with the text of their file; the content is cut in the same stage that joins it."""
-    f = current_files(spark, root).where("content is not null").select(F.col("path").alias("file_path"), "content")
-    return live_symbols(spark, root).where("kind <> 'module' and start_line is not null and end_line is not null").select("workspace_id", "fqdn", "file_path", "start_line", "end_line").join(f, "file_path")
+    f = current_files(spark, root, "content").where("content is not null").select(F.col("path").alias("file_path"), "content")
+    return live_symbols(spark, root, "kind", "file_path", "start_line", "end_line").where("kind <> 'module' and start_line is not null and end_line is not null").select("workspace_id", "fqdn", "file_path", "start_line", "end_line").join(f, "file_path")
 
 
 @query(f"WITH {LIVE}, {CUR}, l AS (SELECT l.workspace_id, l.fqdn, regexp_split_to_array(c.content, '\\r?\\n')[l.start_line:l.end_line] AS s FROM live l JOIN cur c ON c.path = l.file_path WHERE c.content IS NOT NULL AND l.kind <> 'module' AND l.start_line IS NOT NULL AND l.end_line IS NOT NULL) SELECT workspace_id, fqdn, array_to_string(s, chr(10)) AS body, CAST(len(s) AS INT) AS total_lines FROM l")

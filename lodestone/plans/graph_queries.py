@@ -25,37 +25,37 @@ t AS (SELECT fqdn, 'tests' AS bucket, neighbour, edge_id FROM i WHERE bucket IN
 
 @query(f"WITH {GRAPH} SELECT g.workspace_id, g.from_fqdn AS fqdn, g.edge_id, g.kind, g.target AS neighbour, g.resolved FROM g JOIN live l ON l.workspace_id = g.workspace_id AND l.fqdn = g.from_fqdn")
 def o29_edges_from(spark: SparkSession, root: str) -> DataFrame:
-    return neighbors.outbound(live_symbols(spark, root), graph_edges(spark, root)).drop("bucket")
+    return neighbors.outbound(live_symbols(spark, root, "kind"), graph_edges(spark, root)).drop("bucket")
 
 
 @query(f"WITH {GRAPH} SELECT workspace_id, target AS fqdn, edge_id, kind, from_fqdn AS neighbour FROM g WHERE target IN (SELECT fqdn FROM live)")
 def o30_edges_to(spark: SparkSession, root: str) -> DataFrame:
-    return neighbors.inbound(live_symbols(spark, root), graph_edges(spark, root)).drop("bucket", "resolved")
+    return neighbors.inbound(live_symbols(spark, root, "kind"), graph_edges(spark, root)).drop("bucket", "resolved")
 
 
 @query(f"WITH {LIVE}, d AS (SELECT workspace_id, symbol_fqdn AS fqdn, max(description) AS description, count(DISTINCT description) AS texts FROM raw_documents WHERE description IS NOT NULL GROUP BY ALL) SELECT l.workspace_id, l.fqdn, l.kind, d.description, coalesce(d.texts, 0) AS texts FROM live l LEFT JOIN d USING (workspace_id, fqdn)")
 def o32_context(spark: SparkSession, root: str) -> DataFrame:
     """Each symbol with its documentation, if any (the greatest of several texts)."""
     d = table(spark, root, "raw_documents").where("description is not null").groupBy("workspace_id", F.col("symbol_fqdn").alias("fqdn")).agg(F.max("description").alias("description"), F.countDistinct("description").alias("texts"))
-    return live_symbols(spark, root).select("workspace_id", "fqdn", "kind").join(d, ["workspace_id", "fqdn"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
+    return live_symbols(spark, root, "kind").select("workspace_id", "fqdn", "kind").join(d, ["workspace_id", "fqdn"], "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
 
 
 @query(f"WITH {_GROUPS} SELECT l.fqdn, " + ", ".join(f"count(*) FILTER (WHERE bucket = '{b}') AS {b}" for b in neighbors.COUNTED) + " FROM (SELECT DISTINCT fqdn FROM live) l LEFT JOIN grp USING (fqdn) GROUP BY l.fqdn")
 def o50_context_summary(spark: SparkSession, root: str) -> DataFrame:
     """Callers, callees, imports, importers, dependents and tests of every symbol, counted."""
-    return neighbors.summary(live_symbols(spark, root), graph_edges(spark, root))
+    return neighbors.summary(live_symbols(spark, root, "kind"), graph_edges(spark, root))
 
 
 @query(f"WITH {_GROUPS} SELECT fqdn, bucket, neighbour, edge_id FROM grp")
 def o51_context_groups(spark: SparkSession, root: str) -> DataFrame:
-    return neighbors.grouped(live_symbols(spark, root), graph_edges(spark, root))
+    return neighbors.grouped(live_symbols(spark, root, "kind"), graph_edges(spark, root))
 
 
 @query(f"WITH {_GROUPS} SELECT l.kind AS kind, bucket, count(*) AS pairs FROM (SELECT DISTINCT fqdn, bucket, neighbour FROM grp) x JOIN (SELECT DISTINCT fqdn, kind FROM live) l USING (fqdn) GROUP BY ALL")
 def o58_relation_buckets(spark: SparkSession, root: str) -> DataFrame:
     """Distinct neighbours per family of symbol and relation."""
-    g = neighbors.grouped(live_symbols(spark, root), graph_edges(spark, root)).select("fqdn", "bucket", "neighbour").distinct()
-    s = live_symbols(spark, root).select("fqdn", expr.family(F.col("kind")).alias("kind")).distinct()
+    g = neighbors.grouped(live_symbols(spark, root, "kind"), graph_edges(spark, root)).select("fqdn", "bucket", "neighbour").distinct()
+    s = live_symbols(spark, root, "kind").select("fqdn", expr.family(F.col("kind")).alias("kind")).distinct()
     return g.join(s, "fqdn").groupBy("kind", "bucket").agg(F.count("*").alias("pairs"))
 
 
@@ -66,14 +66,14 @@ o AS (SELECT h.fqdn, h.from_fqdn, min(h.id) AS id FROM h WHERE n <= 200 AND h.fr
 SELECT fqdn, from_fqdn, id FROM o QUALIFY row_number() OVER (PARTITION BY fqdn ORDER BY id) <= 25""")
 def o62_textual_callers(spark: SparkSession, root: str) -> DataFrame:
     """Callers by text of every callable whose id is divisible by 50 (the query set of a search), against all call sites."""
-    r = live_symbols(spark, root).where("kind = 'callable' and symbol_id % 50 = 0").select("fqdn", "name").distinct()
+    r = live_symbols(spark, root, "kind", "symbol_id", "name").where("kind = 'callable' and symbol_id % 50 = 0").select("fqdn", "name").distinct()
     known = graph_edges(spark, root).where("kind = 'CALLS' and resolved").select(F.col("target").alias("fqdn"), "from_fqdn")
     return neighbors.textual_callers(r, distinct_calls(spark, root, "callee_text", "from_fqdn"), known)
 
 
 @query(f"WITH {_GROUPS}, d AS (SELECT DISTINCT fqdn, bucket, neighbour FROM grp) SELECT fqdn, bucket, neighbour, CAST(rank AS INT) AS rank, greatest(n - 5, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY fqdn, bucket ORDER BY neighbour) AS rank, count(*) OVER (PARTITION BY fqdn, bucket) AS n FROM d) WHERE rank <= 5")
 def o65_bucket_top5(spark: SparkSession, root: str) -> DataFrame:
-    return neighbors.top_of_bucket(neighbors.grouped(live_symbols(spark, root), graph_edges(spark, root)))
+    return neighbors.top_of_bucket(neighbors.grouped(live_symbols(spark, root, "kind"), graph_edges(spark, root)))
 
 
 @query(f"WITH {EDGE}, s AS (SELECT edge_id, unnest(sites) AS s FROM e1) SELECT edge_id, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY s.file, s.line, s.col) - 1 AS INT) AS ordinal, s.file AS file, s.line AS line, s.col AS col FROM s")
@@ -84,14 +84,14 @@ def o67_ordered_sites(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {_GROUPS} SELECT fqdn, neighbour, edge_id FROM grp WHERE bucket = 'tests'")
 def o68_tests(spark: SparkSession, root: str) -> DataFrame:
     """Callers and dependents that look like tests, as a bag."""
-    return neighbors.grouped(live_symbols(spark, root), graph_edges(spark, root)).where("bucket = 'tests'").select("fqdn", "neighbour", "edge_id")
+    return neighbors.grouped(live_symbols(spark, root, "kind"), graph_edges(spark, root)).where("bucket = 'tests'").select("fqdn", "neighbour", "edge_id")
 
 
 @query(f"WITH {_GROUPS} SELECT x.fqdn, x.bucket, x.neighbour, x.edge_id, l.kind AS neighbour_kind, l.visibility AS neighbour_visibility FROM grp x LEFT JOIN live l ON l.fqdn = x.neighbour AND l.workspace_id = 'primary'")
 def o77_context_depth2(spark: SparkSession, root: str) -> DataFrame:
     """Context whose neighbours carry their own row where they are symbols of the primary workspace."""
-    g = neighbors.grouped(live_symbols(spark, root), graph_edges(spark, root))
-    s = live_symbols(spark, root).where("workspace_id = 'primary'").select(F.col("fqdn").alias("neighbour"), F.col("kind").alias("neighbour_kind"), F.col("visibility").alias("neighbour_visibility"))
+    g = neighbors.grouped(live_symbols(spark, root, "kind"), graph_edges(spark, root))
+    s = live_symbols(spark, root, "kind", "visibility").where("workspace_id = 'primary'").select(F.col("fqdn").alias("neighbour"), F.col("kind").alias("neighbour_kind"), F.col("visibility").alias("neighbour_visibility"))
     return g.join(s, "neighbour", "left").select("fqdn", "bucket", "neighbour", "edge_id", "neighbour_kind", "neighbour_visibility")
 
 
@@ -100,7 +100,7 @@ AND l.start_line <= c.line AND l.end_line >= c.line AND (l.start_line < c.line O
 def o34_symbol_at_position(spark: SparkSession, root: str) -> DataFrame:
     """Smallest symbol around every call site."""
     p = distinct_calls(spark, root, "file_path", "line", "col").withColumnRenamed("id", "probe_id")
-    return position.symbol_at(p, live_symbols(spark, root)).select("probe_id", "file_path", "line", "col", "fqdn")
+    return position.symbol_at(p, live_symbols(spark, root, "file_path", "start_line", "end_line", "start_col", "end_col")).select("probe_id", "file_path", "line", "col", "fqdn")
 
 
 @query(f"""WITH {LIVE}, h AS (SELECT a.workspace_id, a.fqdn, b.fqdn AS container, row_number() OVER (PARTITION BY a.workspace_id, a.fqdn ORDER BY (b.end_line - b.start_line) * 1000 + (b.end_col - b.start_col), b.fqdn) AS rn FROM live a JOIN live b ON a.file_path = b.file_path
@@ -110,7 +110,7 @@ AND (b.end_line - b.start_line) * 1000 + (b.end_col - b.start_col) > (a.end_line
 SELECT l.workspace_id, l.fqdn, l.file_path, h.container FROM live l LEFT JOIN h ON h.workspace_id = l.workspace_id AND h.fqdn = l.fqdn AND h.rn = 1 WHERE l.start_line IS NOT NULL AND l.end_line IS NOT NULL""")
 def o37_outline(spark: SparkSession, root: str) -> DataFrame:
     """Nearest container of every symbol in its file."""
-    return position.outline(live_symbols(spark, root))
+    return position.outline(live_symbols(spark, root, "file_path", "start_line", "end_line", "start_col", "end_col"))
 
 
 @query("""WITH p AS (SELECT DISTINCT path FROM files), h AS (SELECT p.path, j.project_id, row_number() OVER (PARTITION BY p.path ORDER BY length(j.rel_path) DESC) AS rn FROM p JOIN projects j ON NOT starts_with(j.root_path, '/checkouts/') OR starts_with(j.root_path, '/checkouts/primary')
@@ -143,7 +143,7 @@ seen AS (SELECT focal, node, CAST(min(depth) AS INT) AS depth FROM (SELECT * FRO
 
 
 def _walk(spark: SparkSession, root: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
-    s, e = live_symbols(spark, root), graph_edges(spark, root)
+    s, e = live_symbols(spark, root, "symbol_id"), graph_edges(spark, root)
     focals = s.where("symbol_id % 50 = 0").select(F.col("fqdn").alias("focal"))
     return graph.neighbourhood(focals, e, s, depth=depth, max_nodes=5000), e
 
@@ -167,14 +167,14 @@ _N500 = "n AS (SELECT DISTINCT fqdn FROM live ORDER BY fqdn LIMIT 500)"
 @query(f"WITH {GRAPH}, {_N500} SELECT DISTINCT from_fqdn, target AS to_fqdn, kind FROM g WHERE resolved AND from_fqdn IN (SELECT fqdn FROM n) AND target IN (SELECT fqdn FROM n)")
 def o74_bounded_snapshot(spark: SparkSession, root: str) -> DataFrame:
     """Edges among the first 500 symbols."""
-    return graph.bounded(live_symbols(spark, root), graph_edges(spark, root))[1]
+    return graph.bounded(live_symbols(spark, root, "kind", "is_external"), graph_edges(spark, root))[1]
 
 
 @query(f"WITH {LIVE}, {CUR}, {_N500} SELECT l.fqdn, l.kind, l.visibility, c.project_id, {IS_TEST.replace('file_path', 'l.file_path').replace('fqdn', 'l.fqdn')} AS is_test FROM live l LEFT JOIN cur c ON c.path = l.file_path WHERE l.fqdn IN (SELECT fqdn FROM n)")
 def o76_node_payload(spark: SparkSession, root: str) -> DataFrame:
-    s = live_symbols(spark, root)
+    s = live_symbols(spark, root, "kind", "visibility", "is_external", "file_path")
     nodes, _ = graph.bounded(s, graph_edges(spark, root))
-    f = current_files(spark, root).select(F.col("path").alias("file_path"), "project_id")
+    f = current_files(spark, root, "project_id").select(F.col("path").alias("file_path"), "project_id")
     return s.join(nodes, "fqdn", "left_semi").join(f, "file_path", "left").select("fqdn", "kind", "visibility", "project_id", expr.is_test(F.col("fqdn"), F.col("file_path")).alias("is_test"))
 
 
@@ -194,7 +194,7 @@ def o79_focus_payload(spark: SparkSession, root: str) -> DataFrame:
 n AS (SELECT DISTINCT array_to_string(s[1:d], '::') AS node, CASE WHEN d > 1 THEN array_to_string(s[1:d-1], '::') END AS parent, CAST(d AS INT) AS depth FROM x) SELECT node, parent, depth, node NOT IN (SELECT fqdn FROM m) AS virtual FROM n""")
 def o80_module_tree(spark: SparkSession, root: str) -> DataFrame:
     """Module tree with the ancestors that no symbol stands for."""
-    m = live_symbols(spark, root).where("kind = 'module'").select("fqdn").distinct()
+    m = live_symbols(spark, root, "kind").where("kind = 'module'").select("fqdn").distinct()
     n = m.select(F.explode(expr.prefixes(expr.segments(F.col("fqdn")), "::")).alias("h")).select(F.col("h.prefix").alias("node"), expr.parent(F.col("h.prefix")).alias("parent"), F.col("h.depth").alias("depth")).distinct()
     return n.join(m.withColumnRenamed("fqdn", "node").withColumn("own", F.lit(True)), "node", "left").select("node", "parent", "depth", F.col("own").isNull().alias("virtual"))
 
@@ -211,6 +211,6 @@ def o80_path_tree(spark: SparkSession, root: str) -> DataFrame:
 SELECT l.workspace_id, l.fqdn, h.module AS containing_module FROM live l LEFT JOIN h ON h.workspace_id = l.workspace_id AND h.fqdn = l.fqdn AND h.rn = 1""")
 def o81_containing_module(spark: SparkSession, root: str) -> DataFrame:
     """Nearest module at or above each symbol."""
-    s = live_symbols(spark, root).select("workspace_id", "fqdn")
-    m = live_symbols(spark, root).where("kind = 'module'").select(F.col("fqdn").alias("containing_module")).distinct()
+    s = live_symbols(spark, root, "kind").select("workspace_id", "fqdn")
+    m = live_symbols(spark, root, "kind").where("kind = 'module'").select(F.col("fqdn").alias("containing_module")).distinct()
     return position.longest_prefix(s, "fqdn", m, "containing_module", sep="::").select("workspace_id", "fqdn", "containing_module")

@@ -45,7 +45,7 @@ def o04_pattern_preview(spark: SparkSession, root: str) -> DataFrame:
 def o05_hash_skip(spark: SparkSession, root: str) -> DataFrame:
     """Is the current version of a path new, changed or unchanged against the version before it?"""
     f = table(spark, root, "files").select("path", "content_hash", "last_scanned_ms").distinct()
-    c = current_files(spark, root).select("path", "content_hash", "last_scanned_ms")
+    c = current_files(spark, root, "content_hash", "last_scanned_ms").select("path", "content_hash", "last_scanned_ms")
     prev = f.withColumnsRenamed({"content_hash": "h", "last_scanned_ms": "ms"}).join(c, "path").where("ms < last_scanned_ms").groupBy("path").agg(F.max_by("h", "ms").alias("old"))
     return c.join(prev, "path", "left").select("path", "content_hash", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("content_hash"), "unchanged").otherwise("changed").alias("state"))
 
@@ -66,7 +66,7 @@ def o07_upsert_symbols(spark: SparkSession, root: str) -> DataFrame:
 def o08_upsert_files(spark: SparkSession, root: str) -> DataFrame:
     """Current versions written over all older ones; a project once set stays."""
     f = table(spark, root, "files")
-    c = current_files(spark, root).select("path", "content_hash", "project_id")
+    c = current_files(spark, root, "content_hash", "project_id").select("path", "content_hash", "project_id")
     old = f.groupBy("path").agg(F.max("project_id").alias("project_id")).select("path", F.lit(None).cast("string").alias("content_hash"), "project_id")
     return inc.upsert(old, c, ["path"], keep=("project_id",))
 
@@ -81,7 +81,7 @@ def o69_symbol_diff(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "symbols").where(F.col("indexed_ms") <= LOOK_BACK_MS)
     cols = ["body_hash", "start_line", "start_col", "end_line", "end_col", "deleted_ms"]
     then = s.groupBy("workspace_id", "fqdn").agg(F.max_by(F.struct(*cols), F.struct("indexed_ms", "last_modified_revision", "symbol_id")).alias("r")).select("workspace_id", "fqdn", "r.*").where("deleted_ms is null")
-    return inc.diff(then, live_symbols(spark, root), ["workspace_id", "fqdn"])
+    return inc.diff(then, live_symbols(spark, root, "body_hash", "start_line", "start_col", "end_line", "end_col"), ["workspace_id", "fqdn"])
 
 
 @query(f"WITH x AS (SELECT DISTINCT path, {_A} AS a, {_B} AS b FROM files) SELECT path, CASE WHEN b THEN 'newly_excluded' ELSE 'newly_allowed' END AS change FROM x WHERE a <> b")
@@ -103,21 +103,21 @@ def o119_stream_files(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {LIVE} SELECT workspace_id, max(last_modified_revision) AS revision, count(*) AS symbols FROM live GROUP BY workspace_id")
 def o122_revisions(spark: SparkSession, root: str) -> DataFrame:
-    return live_symbols(spark, root).groupBy("workspace_id").agg(F.max("last_modified_revision").alias("revision"), F.count("*").alias("symbols"))
+    return live_symbols(spark, root, "last_modified_revision").groupBy("workspace_id").agg(F.max("last_modified_revision").alias("revision"), F.count("*").alias("symbols"))
 
 
 @query(f"WITH {LIVE}, r AS (SELECT DISTINCT symbol_fqdn AS fqdn FROM raw_documents WHERE symbol_fqdn IS NOT NULL), s AS (SELECT fqdn, max(last_modified_revision) AS rev FROM live GROUP BY fqdn) SELECT r.fqdn, CAST(6000 AS BIGINT) AS fetched_at, CASE WHEN rev IS NULL THEN 'missing' WHEN rev > 6000 THEN 'stale' ELSE 'fresh' END AS state FROM r LEFT JOIN s USING (fqdn)")
 def o123_staleness(spark: SparkSession, root: str) -> DataFrame:
     """Documented names fetched at revision 6000: missing, stale or fresh now."""
     r = table(spark, root, "raw_documents").where("symbol_fqdn is not null").select(F.col("symbol_fqdn").alias("fqdn"), F.lit(6000).cast("bigint").alias("fetched_at")).distinct()
-    return inc.staleness(r, live_symbols(spark, root))
+    return inc.staleness(r, live_symbols(spark, root, "last_modified_revision"))
 
 
 @query(f"WITH {LIVE} SELECT source_origin, count(*) AS kept FROM live WHERE NOT (coalesce(is_external, false) AND coalesce(source_origin, '') = 'cargo_registry') GROUP BY ALL")
 def o124_purge_externals(spark: SparkSession, root: str) -> DataFrame:
     """What stays when a lockfile change purges one origin's external symbols."""
     gone = F.coalesce("is_external", F.lit(False)) & (F.coalesce("source_origin", F.lit("")) == "cargo_registry")
-    return live_symbols(spark, root).where(~gone).groupBy("source_origin").agg(F.count("*").alias("kept"))
+    return live_symbols(spark, root, "is_external", "source_origin").where(~gone).groupBy("source_origin").agg(F.count("*").alias("kept"))
 
 
 @query(f"WITH {CUR}, g AS (SELECT path, max_by(content_hash, last_scanned_ms) AS good_hash FROM files WHERE coalesce(last_scan_error, '') = '' GROUP BY path) SELECT c.path, c.content_hash, c.last_scan_error AS error, g.good_hash FROM cur c LEFT JOIN g USING (path) WHERE coalesce(c.last_scan_error, '') <> ''")
@@ -143,7 +143,7 @@ _DEAD = "dead AS (SELECT DISTINCT workspace_id, fqdn FROM symbols WHERE (workspa
 @query(f"WITH {LIVE}, {EDGE}, {_DEAD} SELECT edge_id FROM e1 WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.workspace_id = e1.workspace_id AND d.fqdn = e1.from_fqdn)")
 def o135_edges_after_delete(spark: SparkSession, root: str) -> DataFrame:
     """Edges that are left when removed symbols take their outbound edges along."""
-    live = live_symbols(spark, root).select("workspace_id", "fqdn")
+    live = live_symbols(spark, root, "kind").select("workspace_id", "fqdn")
     dead = table(spark, root, "symbols").select("workspace_id", "fqdn").distinct().join(live, ["workspace_id", "fqdn"], "left_anti").withColumnRenamed("fqdn", "from_fqdn")
     return inc.delete_by(distinct_edges(spark, root, "workspace_id", "from_fqdn"), dead, ["workspace_id", "from_fqdn"]).select("edge_id")
 
@@ -151,7 +151,7 @@ def o135_edges_after_delete(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {CUR}, {EDGE}, s AS (SELECT edge_id, unnest(sites) AS s FROM e1) SELECT s.file AS file, count(*) AS sites FROM s WHERE s.file NOT IN (SELECT path FROM cur WHERE coalesce(last_scan_error, '') <> '') GROUP BY 1")
 def o136_sites_after_delete(spark: SparkSession, root: str) -> DataFrame:
     """Edge sites per file when those of files with a recorded error are deleted."""
-    gone = current_files(spark, root).where("coalesce(last_scan_error, '') <> ''").select(F.col("path").alias("file"))
+    gone = current_files(spark, root, "last_scan_error").where("coalesce(last_scan_error, '') <> ''").select(F.col("path").alias("file"))
     s = distinct_edges(spark, root, "sites").select("edge_id", F.inline("sites"))
     return inc.delete_by(s.where("file is not null"), gone, ["file"]).groupBy("file").agg(F.count("*").alias("sites"))
 
@@ -167,8 +167,8 @@ def o137_replace_call_sites(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {LIVE}, {CUR}, {EDGE}, k AS (SELECT workspace_id, fqdn FROM live WHERE file_path NOT IN (SELECT path FROM cur WHERE coalesce(last_scan_error, '') <> '')) SELECT e.edge_id, k2.fqdn AS to_fqdn, CASE WHEN k2.fqdn IS NULL THEN coalesce(e.to_fqdn, e.to_unresolved) END AS to_unresolved FROM e1 e JOIN k k1 ON k1.workspace_id = e.workspace_id AND k1.fqdn = e.from_fqdn LEFT JOIN k k2 ON k2.workspace_id = e.workspace_id AND k2.fqdn = coalesce(e.to_fqdn, e.to_unresolved)")
 def o139_delete_files(spark: SparkSession, root: str) -> DataFrame:
     """Files deleted with their symbols and outbound edges; what pointed at them becomes text again."""
-    gone = current_files(spark, root).where("coalesce(last_scan_error, '') <> ''").select(F.col("path").alias("file_path"))
-    kept = inc.delete_by(live_symbols(spark, root).select("workspace_id", "fqdn", "file_path"), gone, ["file_path"]).select("workspace_id", "fqdn")
+    gone = current_files(spark, root, "last_scan_error").where("coalesce(last_scan_error, '') <> ''").select(F.col("path").alias("file_path"))
+    kept = inc.delete_by(live_symbols(spark, root, "file_path").select("workspace_id", "fqdn", "file_path"), gone, ["file_path"]).select("workspace_id", "fqdn")
     e = distinct_edges(spark, root, "workspace_id", "from_fqdn", "to_fqdn", "to_unresolved").join(kept.withColumnRenamed("fqdn", "from_fqdn"), ["workspace_id", "from_fqdn"], "left_semi")
     e = e.select("edge_id", "workspace_id", F.coalesce("to_fqdn", "to_unresolved").alias("text"))
     return e.join(kept.select("workspace_id", F.col("fqdn").alias("text"), F.col("fqdn").alias("to_fqdn")), ["workspace_id", "text"], "left").select("edge_id", "to_fqdn", F.when(F.col("to_fqdn").isNull(), F.col("text")).alias("to_unresolved"))
@@ -199,7 +199,7 @@ def o145_progress(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {LIVE} SELECT l.workspace_id, l.fqdn FROM live l WHERE NOT {_A.replace('path', 'l.file_path')}")
 def o149_purge_ignored(spark: SparkSession, root: str) -> DataFrame:
     """Symbols that stay when indexed paths that match the ignore rules are purged."""
-    s = live_symbols(spark, root).where("file_path is not null")
+    s = live_symbols(spark, root, "file_path").where("file_path is not null")
     return s.where(~inc.ignored(F.col("file_path"), BEFORE)).select("workspace_id", "fqdn")
 
 

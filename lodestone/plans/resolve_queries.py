@@ -23,7 +23,7 @@ def _tok(c: str) -> str:
 
 @query(f"WITH {LIVE}, n AS (SELECT DISTINCT name FROM live WHERE name IS NOT NULL) SELECT name, array_to_string({_tok('name')}, ' ') AS tokens FROM n")
 def o83_tokens(spark: SparkSession, root: str) -> DataFrame:
-    n = live_symbols(spark, root).where("name is not null").select("name").distinct()
+    n = live_symbols(spark, root, "name").where("name is not null").select("name").distinct()
     return n.select("name", F.array_join(expr.tokens(F.col("name")), " ").alias("tokens"))
 
 
@@ -35,7 +35,7 @@ q AS (SELECT * FROM n WHERE name IN (SELECT name FROM live WHERE symbol_id % 50
 SELECT query, fqdn, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, fqdn) AS INT) AS rank FROM p JOIN s USING (name) WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, fqdn) <= 20""")
 def o86_similar_symbols(spark: SparkSession, root: str) -> DataFrame:
     """The 20 most similar symbols of the primary workspace for the name of every symbol whose id is divisible by 50."""
-    live = live_symbols(spark, root)
+    live = live_symbols(spark, root, "name", "symbol_id")
     q = live.where("symbol_id % 50 = 0").select("name")
     s = live.where("workspace_id = 'primary' and name is not null").select("fqdn", "name").distinct()
     own = q.join(s.select("name").distinct(), "name", "left_semi")
@@ -57,7 +57,7 @@ def o85_sibling_folders(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH {LIVE}, c AS (SELECT * FROM live WHERE kind = 'callable'), f AS (SELECT workspace_id, name, count(*) AS n, min(fqdn) AS def_fqdn FROM c WHERE suffix(file_path, '.c') GROUP BY ALL)
 SELECT c.workspace_id, c.fqdn AS decl_fqdn, CASE WHEN n = 1 THEN def_fqdn END AS def_fqdn, CASE WHEN n = 1 THEN 'joined' WHEN n > 1 THEN 'ambiguous' ELSE 'orphan' END AS outcome FROM c LEFT JOIN f USING (workspace_id, name) WHERE suffix(c.file_path, '.h')""")
 def o38_declaration_twins(spark: SparkSession, root: str) -> DataFrame:
-    return resolve.declaration_twins(live_symbols(spark, root))
+    return resolve.declaration_twins(live_symbols(spark, root, "kind", "name", "file_path"))
 
 
 _OPEN = f"{GRAPH}, o AS (SELECT edge_id, workspace_id, from_fqdn, kind, to_unresolved AS method, receiver_type FROM g WHERE NOT resolved AND to_unresolved IS NOT NULL)"
@@ -73,34 +73,34 @@ ch AS (SELECT edge_id, CASE WHEN tail = '' THEN fqdn ELSE fqdn || '::' || tail E
 
 @query(f"WITH {_OPEN}, {_RECV} SELECT * FROM rv WHERE hit IS NOT NULL")
 def o40_receiver_resolution(spark: SparkSession, root: str) -> DataFrame:
-    return resolve.by_receiver(resolve.open_calls(graph_edges(spark, root, "receiver_type")), live_symbols(spark, root))
+    return resolve.by_receiver(resolve.open_calls(graph_edges(spark, root, "receiver_type")), live_symbols(spark, root, "name"))
 
 
 @query(f"WITH {_OPEN}, {_RECV}, {_TRAIT} SELECT edge_id, hit, 'trait_dispatch' AS route FROM td")
 def o41_trait_dispatch(spark: SparkSession, root: str) -> DataFrame:
     e = graph_edges(spark, root, "receiver_type")
-    return resolve.by_trait(resolve.open_calls(e), live_symbols(spark, root), e)
+    return resolve.by_trait(resolve.open_calls(e), live_symbols(spark, root, "name"), e)
 
 
 @query(f"WITH {_OPEN}, t AS (SELECT name AS method, min(fqdn) AS hit FROM live WHERE starts_with(fqdn, '<builtin>::') AND list_contains(flags, 'trait_method') GROUP BY name) SELECT edge_id, hit, 'builtin_trait' AS route FROM o JOIN t USING (method) WHERE o.kind = 'CALLS'")
 def o42_builtin_trait_methods(spark: SparkSession, root: str) -> DataFrame:
-    return resolve.by_builtin_trait(resolve.open_calls(graph_edges(spark, root, "receiver_type")), live_symbols(spark, root))
+    return resolve.by_builtin_trait(resolve.open_calls(graph_edges(spark, root, "receiver_type")), live_symbols(spark, root, "name", "flags"))
 
 
 @query(f"WITH {_OPEN}, {_CHAIN} SELECT edge_id, hit, 'suffix_chain' AS route, provider FROM ch")
 def o43_suffix_chain(spark: SparkSession, root: str) -> DataFrame:
-    return resolve.by_suffix_chain(resolve.open_calls(graph_edges(spark, root, "receiver_type")), resolve.exports(live_symbols(spark, root)))
+    return resolve.by_suffix_chain(resolve.open_calls(graph_edges(spark, root, "receiver_type")), resolve.exports(live_symbols(spark, root, "module", "name", "visibility")))
 
 
 @query(f"WITH {LIVE} SELECT workspace_id, module, name AS symbol, fqdn FROM live WHERE module IS NOT NULL AND coalesce(visibility, 'public') <> 'private'")
 def o44_root_exports(spark: SparkSession, root: str) -> DataFrame:
-    return resolve.exports(live_symbols(spark, root))
+    return resolve.exports(live_symbols(spark, root, "module", "name", "visibility"))
 
 
 @query(f"WITH {LIVE} SELECT name AS symbol, count(*) AS providers, count(DISTINCT workspace_id) AS workspaces, min(fqdn) AS first_provider FROM live WHERE module IS NOT NULL AND coalesce(visibility, 'public') <> 'private' GROUP BY name")
 def o45_providers(spark: SparkSession, root: str) -> DataFrame:
     """All providers of each exported name over the linked workspaces."""
-    return resolve.exports(live_symbols(spark, root)).groupBy("symbol").agg(F.count("*").alias("providers"), F.countDistinct("workspace_id").alias("workspaces"), F.min("fqdn").alias("first_provider"))
+    return resolve.exports(live_symbols(spark, root, "module", "name", "visibility")).groupBy("symbol").agg(F.count("*").alias("providers"), F.countDistinct("workspace_id").alias("workspaces"), F.min("fqdn").alias("first_provider"))
 
 
 @query(f"WITH {GRAPH} SELECT coalesce(CASE WHEN contains(target, '::') THEN regexp_replace(target, '::[^:]*$', '') END, target) AS origin_module, count(*) AS imports, count(DISTINCT from_fqdn) AS importers FROM g WHERE kind = 'IMPORTS' GROUP BY 1")
@@ -113,7 +113,7 @@ def o46_imports_by_origin(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {LIVE} SELECT workspace_id, fqdn, file_path FROM live WHERE NOT coalesce(is_external, false) AND file_path IS NOT NULL AND file_path NOT IN (SELECT path FROM files WHERE path IS NOT NULL)")
 def o48_unseen_paths(spark: SparkSession, root: str) -> DataFrame:
     """Symbols of files that a walk no longer sees; external ones are exempt."""
-    s = live_symbols(spark, root).where("not coalesce(is_external, false) and file_path is not null").select("workspace_id", "fqdn", "file_path")
+    s = live_symbols(spark, root, "is_external", "file_path").where("not coalesce(is_external, false) and file_path is not null").select("workspace_id", "fqdn", "file_path")
     return s.join(table(spark, root, "files").select(F.col("path").alias("file_path")), "file_path", "left_anti")
 
 
@@ -121,7 +121,7 @@ def o48_unseen_paths(spark: SparkSession, root: str) -> DataFrame:
 def o49_promote_demote(spark: SparkSession, root: str) -> DataFrame:
     """Targets worked out anew by (workspace, name): text that names a live symbol is promoted, dead targets are demoted."""
     e = distinct_edges(spark, root, "workspace_id", "to_fqdn", "to_unresolved").select("edge_id", "workspace_id", F.coalesce("to_fqdn", "to_unresolved").alias("text"))
-    s = live_symbols(spark, root).select("workspace_id", F.col("fqdn").alias("text"), F.col("fqdn").alias("to_fqdn"))
+    s = live_symbols(spark, root, "kind").select("workspace_id", F.col("fqdn").alias("text"), F.col("fqdn").alias("to_fqdn"))
     return e.join(s, ["workspace_id", "text"], "left").select("edge_id", "to_fqdn", F.when(F.col("to_fqdn").isNull(), F.col("text")).alias("to_unresolved"))
 
 
@@ -129,7 +129,7 @@ def o49_promote_demote(spark: SparkSession, root: str) -> DataFrame:
 r AS (SELECT o.edge_id, CASE WHEN EXISTS (SELECT 1 FROM live l WHERE l.workspace_id = o.workspace_id AND l.fqdn = o.method) THEN 'exact_text' WHEN rv.hit IS NOT NULL THEN rv.route WHEN td.hit IS NOT NULL THEN 'trait_dispatch' WHEN o.kind = 'CALLS' AND bt.hit IS NOT NULL THEN 'builtin_trait' WHEN ch.hit IS NOT NULL THEN 'suffix_chain' ELSE 'unresolved' END AS route
 FROM o LEFT JOIN rv ON rv.edge_id = o.edge_id LEFT JOIN td ON td.edge_id = o.edge_id LEFT JOIN bt ON bt.method = o.method LEFT JOIN ch ON ch.edge_id = o.edge_id) SELECT route, count(*) AS edges FROM r GROUP BY route""")
 def o56_resolve_report(spark: SparkSession, root: str) -> DataFrame:
-    return resolve.report(live_symbols(spark, root), graph_edges(spark, root, "receiver_type"))
+    return resolve.report(live_symbols(spark, root, "module", "name", "visibility", "flags"), graph_edges(spark, root, "receiver_type"))
 
 
 _HOME = f"{GRAPH}, {CUR}, cp AS (SELECT project_id, label, min(project_id) OVER (PARTITION BY label) AS cid FROM projects), home AS (SELECT DISTINCT l.fqdn, cp.cid FROM live l JOIN cur c ON c.path = l.file_path JOIN cp ON cp.project_id = c.project_id)"
@@ -137,7 +137,7 @@ _HOME = f"{GRAPH}, {CUR}, cp AS (SELECT project_id, label, min(project_id) OVER
 
 @query(f"WITH {_HOME} SELECT a.cid AS from_project, b.cid AS to_project, g.kind, count(*) AS weight FROM g JOIN home a ON a.fqdn = g.from_fqdn JOIN home b ON b.fqdn = g.target WHERE g.resolved AND a.cid <> b.cid GROUP BY ALL")
 def o52_project_edges(spark: SparkSession, root: str) -> DataFrame:
-    homes = rollup.symbol_projects(live_symbols(spark, root), current_files(spark, root), table(spark, root, "projects"))
+    homes = rollup.symbol_projects(live_symbols(spark, root, "file_path"), current_files(spark, root, "project_id"), table(spark, root, "projects"))
     return rollup.project_edges(graph_edges(spark, root), homes)
 
 
@@ -145,18 +145,18 @@ def o52_project_edges(spark: SparkSession, root: str) -> DataFrame:
 h AS (SELECT i.fqdn, max_by(m.module, length(m.module)) AS module FROM i JOIN m ON i.fqdn = m.module OR starts_with(i.fqdn, m.module || '::') GROUP BY i.fqdn) SELECT module, CAST(len(string_split(module, '::')) - 2 AS INT) AS depth, count(*) AS symbols FROM h GROUP BY module""")
 def o53_scoped_modules(spark: SparkSession, root: str) -> DataFrame:
     """Symbols below one module by their nearest module, one level deep."""
-    return rollup.module_rollup(live_symbols(spark, root), "graphite_core::core")[0].select("module", "depth", "symbols")
+    return rollup.module_rollup(live_symbols(spark, root, "kind"), "graphite_core::core")[0].select("module", "depth", "symbols")
 
 
 @query(f"WITH {LIVE} SELECT module, fqdn AS representative FROM live WHERE module IS NOT NULL QUALIFY row_number() OVER (PARTITION BY module ORDER BY entry_point IS NULL, NOT coalesce(visibility = 'public', false), len(string_split(fqdn, '::')), fqdn) = 1")
 def o54_module_representative(spark: SparkSession, root: str) -> DataFrame:
-    return rollup.representative(live_symbols(spark, root))
+    return rollup.representative(live_symbols(spark, root, "module", "entry_point", "visibility"))
 
 
 @query(f"WITH {LIVE}, {CUR} SELECT DISTINCT c.project_id, l.module FROM live l JOIN cur c ON c.path = l.file_path WHERE l.module IS NOT NULL AND c.project_id IS NOT NULL")
 def o55_modules_by_project(spark: SparkSession, root: str) -> DataFrame:
-    f = current_files(spark, root).where("project_id is not null").select(F.col("path").alias("file_path"), "project_id")
-    return live_symbols(spark, root).where("module is not null").join(f, "file_path").select("project_id", "module").distinct()
+    f = current_files(spark, root, "project_id").where("project_id is not null").select(F.col("path").alias("file_path"), "project_id")
+    return live_symbols(spark, root, "module", "file_path").where("module is not null").join(f, "file_path").select("project_id", "module").distinct()
 
 
 @query(f"WITH {LIVE} SELECT (SELECT count(*) FROM live) AS symbols, (SELECT count(*) FROM live WHERE name IS NOT NULL OR fqdn IS NOT NULL) AS indexed")
@@ -164,7 +164,7 @@ def o57_index_integrity(spark: SparkSession, root: str) -> DataFrame:
     """Symbols against documents of the inverted index; both counts must agree."""
     from lodestone.operators.lookup import postings
 
-    s = live_symbols(spark, root)
+    s = live_symbols(spark, root, "name")
     docs = postings(s.select("workspace_id", "fqdn", "name"), ["workspace_id", "fqdn"], F.concat_ws(" ", "name", "fqdn")).select("workspace_id", "fqdn").distinct()
     return s.agg(F.count("*").alias("symbols")).crossJoin(docs.agg(F.count("*").alias("indexed")))
 
@@ -173,8 +173,8 @@ def o57_index_integrity(spark: SparkSession, root: str) -> DataFrame:
 k AS (SELECT project_id, a, b, list_filter(range(1, len(a) + 1), lambda i: a[1:i] = b[1:i]) AS ok FROM p) SELECT project_id, array_to_string(a[1:len(ok)], '/') AS prefix FROM k""")
 def o59_common_path(spark: SparkSession, root: str) -> DataFrame:
     """Longest common path of each project's files with symbols."""
-    f = current_files(spark, root).where("project_id is not null").select(F.col("path").alias("file_path"), "project_id")
-    return rollup.common_path(live_symbols(spark, root).join(f, "file_path").select("project_id", "file_path"), "project_id", "file_path")
+    f = current_files(spark, root, "project_id").where("project_id is not null").select(F.col("path").alias("file_path"), "project_id")
+    return rollup.common_path(live_symbols(spark, root, "file_path").join(f, "file_path").select("project_id", "file_path"), "project_id", "file_path")
 
 
 @query("SELECT project_id, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' (' || rel_path || ')' ELSE label END AS shown FROM projects")
@@ -186,7 +186,7 @@ def o80_project_labels(spark: SparkSession, root: str) -> DataFrame:
 def o66_stable_ids(spark: SparkSession, root: str) -> DataFrame:
     """Ids in order of (depth, path). A global sort by range partitions, then an offset per partition: no single task
     numbers all modules."""
-    m = live_symbols(spark, root).where("kind = 'module'").select("fqdn", F.size(expr.segments(F.col("fqdn"))).alias("depth")).distinct()
+    m = live_symbols(spark, root, "kind").where("kind = 'module'").select("fqdn", F.size(expr.segments(F.col("fqdn"))).alias("depth")).distinct()
     from lodestone.operators.order import dense_ids
 
     return dense_ids(m, ["depth", "fqdn"]).select("fqdn", "depth", "id")
@@ -194,7 +194,7 @@ def o66_stable_ids(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {LIVE} SELECT workspace_id, fqdn, regexp_replace(CASE WHEN coalesce(signature.is_async, false) THEN 'async ' ELSE '' END || name || '(' || array_to_string(list_transform(coalesce(signature.params, []), lambda p: p.name || coalesce(': ' || p.ty, '') || coalesce(' = ' || p.\"default\", '')), ', ') || ')' || coalesce(' -> ' || signature.\"returns\", ''), '\\s+', ' ', 'g') AS rendered FROM live WHERE signature IS NOT NULL")
 def o93_signatures(spark: SparkSession, root: str) -> DataFrame:
-    s = live_symbols(spark, root).where("signature is not null")
+    s = live_symbols(spark, root, "name", "signature").where("signature is not null")
     return s.select("workspace_id", "fqdn", expr.render_signature(F.col("name"), F.col("signature")).alias("rendered"))
 
 
@@ -202,7 +202,7 @@ def o93_signatures(spark: SparkSession, root: str) -> DataFrame:
 def o94_hover(spark: SparkSession, root: str) -> DataFrame:
     """Markdown of a symbol: name and kind, then its documentation."""
     d = table(spark, root, "raw_documents").where("trim(BOTH ' \t\n\r' FROM description) <> ''").groupBy("workspace_id", F.col("symbol_fqdn").alias("fqdn")).agg(F.max("description").alias("doc"))
-    j = live_symbols(spark, root).join(d, ["workspace_id", "fqdn"], "left")
+    j = live_symbols(spark, root, "name", "kind").join(d, ["workspace_id", "fqdn"], "left")
     return j.select("workspace_id", "fqdn", F.concat(F.lit("**"), "name", F.lit("** "), "kind", F.coalesce(F.concat(F.lit("\n\n"), "doc"), F.lit(""))).alias("hover"))
 
 
@@ -217,7 +217,7 @@ def o95_module_of_path(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {LIVE} SELECT DISTINCT fqdn, string_split(fqdn, '::')[-1] AS last, CASE WHEN contains(fqdn, '::') THEN array_to_string(string_split(fqdn, '::')[1:-2], '::') END AS parent FROM live")
 def o96_segments(spark: SparkSession, root: str) -> DataFrame:
-    s = live_symbols(spark, root).select("fqdn").distinct()
+    s = live_symbols(spark, root, "kind").select("fqdn").distinct()
     return s.select("fqdn", expr.last_segment(F.col("fqdn")).alias("last"), expr.parent(F.col("fqdn")).alias("parent"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
 import uuid
 import zipfile
@@ -35,7 +34,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -65,10 +64,7 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make the package importable on executors that don't have it on their path.
-
-    The zip goes through the driver's file server; nothing is read from a machine-local folder by an executor.
-    """
+    """Make the package importable on executors that don't have it on their path: a zip in the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return spark
@@ -78,8 +74,12 @@ def ship(spark: SparkSession) -> SparkSession:
         for p in sorted(root.rglob("*")):
             if p.is_file() and p.suffix in {".py", ".peg", ".txt"}:
                 z.write(p, f"{root.name}/{p.relative_to(root)}")
-    where = os.path.join(tempfile.mkdtemp(prefix="lodestone-ship-"), "lodestone_pkg.zip")
-    Path(where).write_bytes(buf.getvalue())
+    where = f"{shared_dir(spark)}/lodestone-{app}-{uuid.uuid4().hex}/lodestone_pkg.zip"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    out.write(buf.getvalue())
+    out.close()
     spark.sparkContext.addPyFile(where)
     _SHIPPED.add(app)
     return spark

@@ -31,25 +31,23 @@ def month(ms: Column) -> Column:
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM")
 
 
-def live_symbols(spark: SparkSession, root: str) -> DataFrame:
-    """One row per (workspace_id, fqdn): its latest revision, if that is not a removal.
+def live_symbols(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    """One row per (workspace_id, fqdn): its latest revision, if that is not a removal; only ``cols`` when given.
 
     Latest is by indexed_ms, then revision, then symbol_id; repeated deliveries are one row. The aggregate is a
-    ``max_by``, so hot symbols are folded before the shuffle.
+    ``max_by``, so hot symbols are folded before the shuffle; naming columns keeps the others out of scan and shuffle.
     """
     s = table(spark, root, "symbols")
-    cols = [c for c in s.columns if c not in ("workspace_id", "fqdn")]
-    latest = s.groupBy("workspace_id", "fqdn").agg(
-        F.max_by(F.struct(*cols), F.struct("indexed_ms", "last_modified_revision", "symbol_id")).alias("r")
-    )
-    return latest.select("workspace_id", "fqdn", "r.*").where("deleted_ms is null")
+    kept = [c for c in s.columns if c not in ("workspace_id", "fqdn") and (not cols or c in cols or c == "deleted_ms")]
+    latest = s.groupBy("workspace_id", "fqdn").agg(F.max_by(F.struct(*kept), F.struct("indexed_ms", "last_modified_revision", "symbol_id")).alias("r"))
+    return latest.select("workspace_id", "fqdn", "r.*").where("deleted_ms is null").select("workspace_id", "fqdn", *[c for c in kept if not cols or c in cols])
 
 
-def current_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per path: the version with the greatest last_scanned_ms, ties by content_hash."""
+def current_files(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    """One row per path: the version with the greatest last_scanned_ms, ties by content_hash; only ``cols`` when given."""
     f = table(spark, root, "files")
-    cols = [c for c in f.columns if c != "path"]
-    return f.groupBy("path").agg(F.max_by(F.struct(*cols), F.struct("last_scanned_ms", "content_hash", "byte_size")).alias("r")).select("path", "r.*")
+    kept = [c for c in f.columns if c != "path" and (not cols or c in cols)]
+    return f.groupBy("path").agg(F.max_by(F.struct(*kept), F.struct("last_scanned_ms", "content_hash", "byte_size")).alias("r")).select("path", "r.*")
 
 
 def distinct_edges(spark: SparkSession, root: str, *cols: str) -> DataFrame:
@@ -67,6 +65,6 @@ def graph_edges(spark: SparkSession, root: str, *more: str) -> DataFrame:
     """Edges with their target worked out anew: ``target`` is the live symbol that to_symbol_id names (``resolved``), else
     the text of to_unresolved, else to_fqdn demoted to text. Deletes and renames therefore need no update of edges."""
     e = distinct_edges(spark, root, "workspace_id", "from_fqdn", "kind", "to_symbol_id", "to_fqdn", "to_unresolved", *more)
-    ids = live_symbols(spark, root).select(F.col("symbol_id").alias("to_symbol_id"), F.col("fqdn").alias("live_fqdn"))
+    ids = live_symbols(spark, root, "symbol_id").select(F.col("symbol_id").alias("to_symbol_id"), F.col("fqdn").alias("live_fqdn"))
     j = e.join(ids, "to_symbol_id", "left")
     return j.withColumn("resolved", F.col("live_fqdn").isNotNull()).withColumn("target", F.coalesce("live_fqdn", "to_unresolved", "to_fqdn")).drop("live_fqdn")
