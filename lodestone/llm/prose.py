@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import ship, spread
 
 #: Function words added to the table of common words, which lacks some languages and many short words.
 FUNCTION_WORDS = {
@@ -34,6 +34,7 @@ OPENERS = frozenset("from how when what by all where which who whose of for with
 VERBS = frozenset("is are was were be been has have had will would can could does do did may might must should fails returns calls wraps takes gives ist sind war waren wird werden hat haben kann lag dauerte ruf est sont était a ont peut faut vient es son era fue está hay ha han puede is was wordt werd heeft kan zat".split())
 
 _INVISIBLE = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"), None) | {0xA0: " ", 0x202F: " ", 0x2009: " ", 0x3000: " "}
+_OTHER, _SYMBOLS = re.compile(r"[^\w\s]|[\d_]"), re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"`[^`\n]*`|<[^<>\s]*>|[^\W_]+(?:[_:./'’-]+[^\W_]+)*")
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -103,7 +104,7 @@ def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC) -> b
     spans = sum(t[0] == "`" for t in tokens)
     if len(words) < 3 or len(words) + spans < 0.6 * len(tokens):
         return False
-    letters = sum(c.isalpha() or c.isspace() for c in text)
+    letters = len(_OTHER.sub("", text))
     if letters + sum(len(t) for t in tokens if t[0] == "`") < 0.75 * len(text):
         return False
     if len(words) >= 6 and len(set(words)) < 0.4 * len(words) and len(set(words)) < 12:
@@ -283,14 +284,14 @@ def statistics(text: str | None, lang: str | None, common: dict[str, frozenset[s
     body = text.translate(_INVISIBLE)
     words = _WORD.findall(body)
     lines = [s for s in body.splitlines() if s.strip()]
-    ink = sum(len(w) for w in body.split())
-    alnum = sum(c.isalnum() for c in body)
+    ink = sum(map(len, body.split()))
+    alnum = len(_SYMBOLS.sub("", body))
     known = common.get((lang or "").strip().lower().split("-")[0].split("_")[0], everywhere)
     prose, tables, lists, size = prose_chars(text, everywhere)
     return (
         len(words), sum(map(len, words)) / len(words) if words else 0.0, (ink - alnum) / ink if ink else 0.0, len(lines),
         sum(s.rstrip().endswith(_PUNCT_END) for s in lines) / len(lines) if lines else 0.0,
-        sum(w.lower() in known for w in words) / len(words) if words else 0.0, autocorrelation([len(s) for s in lines]),
+        sum(map(known.__contains__, map(str.lower, words))) / len(words) if words else 0.0, autocorrelation([len(s) for s in lines]),
         tables / size if size else 0.0, lists / size if size else 0.0, prose / size if size else 0.0,
     )
 
@@ -327,7 +328,7 @@ def text_statistics(docs: DataFrame, words: DataFrame, key: str = "doc_id") -> D
             out.insert(0, key, b[key].array)
             yield out
 
-    d = docs.select(F.col(key), F.col("text").alias("__text"), F.col("lang").alias("__lang"))
+    d = spread(docs.select(F.col(key), F.col("text").alias("__text"), F.col("lang").alias("__lang")), key)
     return d.mapInPandas(run, f"`{key}` {dict(d.dtypes)[key]}, {STATS}")
 
 
