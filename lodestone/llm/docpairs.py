@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import ship, spread
 
 GAP = 1
 
@@ -253,6 +253,7 @@ def documented_bodies(bodies: DataFrame, with_code: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(codes, pa.string())] if with_code else cols, ["workspace_id", "fqdn", "good", "doc", *(["code"] if with_code else [])])
 
     d = bodies.where("fqdn is not null and body rlike '\\\\S'").select("workspace_id", "fqdn", "file", "body")
+    d = spread(d, "workspace_id", "fqdn")
     return d.mapInArrow(run, "workspace_id string, fqdn string, good boolean, doc string" + (", code string" if with_code else ""))
 
 

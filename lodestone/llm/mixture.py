@@ -73,9 +73,8 @@ def sized_texts(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
     Only digests are shuffled, never texts, and equal digests meet in a partial aggregate first.
     """
     listed = targets.where("source is not null").select("source").distinct()
-    d = docs.where("text is not null and text <> ''").join(listed, "source", "left_semi")
-    d = d.select("doc_id", "text", "source", F.sha2("text", 256).alias("digest"))
-    counted = encode(d, vocabulary=vocabulary, count_only=True, keep=("source", "digest"))
+    d = docs.where("text is not null and text <> ''").select("doc_id", "text", "source", F.sha2("text", 256).alias("digest"))
+    counted = encode(d, vocabulary=vocabulary, count_only=True, keep=("source", "digest")).join(listed, "source", "left_semi")
     one = counted.groupBy("digest").agg(F.min_by(F.struct("doc_id", "source", "tokens"), F.struct("doc_id", "source")).alias("r"))
     return cut(one.select("r.*"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.chart import Recogniser
 from lodestone.functions.lexers import lex_c, lex_lua, lex_rust, lex_script
-from lodestone.session import ship
+from lodestone.session import ship, spread
 
 #: Spellings of languages and endings of their files.
 LANGUAGES = {
@@ -243,6 +243,8 @@ def judge(content: str | None, language: str | None, path: str | None, error: st
     lang = language_of(language, path)
     if lang is None or not content.strip():
         return False, None
+    if "\r" in content:
+        content = content.replace("\r\n", "\n").replace("\r", "\n")
     at = first_error(content, lang, path or "")
     return at is not None, None if at is None else content.count("\n", 0, at) + 1
 
@@ -260,7 +262,7 @@ def parsed(files: DataFrame) -> DataFrame:
                 ["path", "content_hash", "language", "project_id", "broken", "error_line"],
             )
 
-    d = files.select("path", "content_hash", "content", "language", F.col("project_id").cast("int").alias("project_id"), "last_scan_error")
+    d = spread(files.select("path", "content_hash", "content", "language", F.col("project_id").cast("int").alias("project_id"), "last_scan_error"), "path", "content_hash")
     return d.mapInArrow(run, "path string, content_hash string, language string, project_id int, broken boolean, error_line int")
 
 

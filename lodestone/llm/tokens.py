@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
+from lodestone.session import ship, spread
 
 #: The public pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -177,4 +177,4 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
     kind = dict(df.dtypes)
     out = f"`{key}` {kind[key]}, " + ("tokens bigint" if count_only else "ids array<int>") + "".join(f", `{c}` {kind[c]}" for c in keep)
-    return df.select(F.col(key), F.col(text), *keep).mapInArrow(run, out)
+    return spread(df.select(F.col(key), F.col(text), *keep), key).mapInArrow(run, out)
