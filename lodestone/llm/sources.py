@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.heavy import skew_safe_semi
-from lodestone.session import ship, stored
+from lodestone.session import ship, spread, stored
 
 #: Most rows of the project and workspace tables that are sent to the executors (they name projects, not files).
 MAX_PROJECTS = 20_000
@@ -133,7 +133,7 @@ def blocks(text: str) -> list[int]:
     m = _LEAD.match(text)
     code = _COMMENTS.sub("", text[m.end() :] if m else text).replace("\r\n", "\n").replace("\r", "\n")
     flat = (_BLANKS.sub("", x) for x in _GAP.split(code))
-    return list({xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in flat if len(x) >= BLOCK})
+    return sorted({xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in flat if len(x) >= BLOCK})
 
 
 def project_roots(projects: DataFrame, workspaces: DataFrame) -> list[tuple[str, str]]:
@@ -176,7 +176,7 @@ def signals(files: DataFrame, projects: DataFrame, workspaces: DataFrame) -> Dat
                 rows.append((path, tool or gen or serial, minified, data, foreign or other or external, blocks(text)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIGNALS.split(", ")])
 
-    d = files.where("path is not null").select("path", "content", "language", "is_external")
+    d = spread(files.where("path is not null").select("path", "content", "language", "is_external"), "path")
     return d.mapInPandas(run, _SIGNALS)
 
 
@@ -193,17 +193,18 @@ def external_paths(symbols: DataFrame, least: int = 2, share: float = 0.3) -> Da
 def not_handwritten(files: DataFrame, symbols: DataFrame, projects: DataFrame, workspaces: DataFrame) -> DataFrame:
     """path, generated, minified, data, foreign, copied of each path that isn't hand-written source of its own project.
 
-    A copy has at least COPIED of its blocks in files known to be foreign. Block hashes (never texts) are joined, salted,
-    so that a block found in a third of all files doesn't meet in one task.
+    A copy has a version of which at least COPIED of the blocks occur in files known to be foreign. Block hashes (never
+    texts) are joined, salted, so that a block found in a third of all files doesn't meet in one task.
     """
-    per_path = signals(files, projects, workspaces).groupBy("path").agg(
-        *[F.max(c).alias(c) for c in ("generated", "minified", "data", "foreign")], F.max_by("blocks", F.size("blocks")).alias("blocks")
-    )
+    sig = stored(signals(files, projects, workspaces), "signals")
     ext = external_paths(symbols).withColumn("ext", F.lit(True))
-    known = stored(per_path.join(ext, "path", "left").withColumn("foreign", F.col("foreign") | F.col("ext").isNotNull()).drop("ext"), "signals")
+    flags = sig.groupBy("path").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "data", "foreign")]).join(ext, "path", "left")
+    flags = flags.withColumn("foreign", F.col("foreign") | F.col("ext").isNotNull()).drop("ext")
+    versions = sig.where("size(blocks) > 0").select("path", F.xxhash64("blocks").alias("version"), "blocks").dropDuplicates(["path", "version"])
+    known = versions.join(flags.select("path", "foreign"), "path")
     origin = known.where("foreign").select(F.explode("blocks").alias("block")).distinct()
-    own = known.where("not foreign and size(blocks) > 0").select("path", F.size("blocks").alias("all"), F.explode("blocks").alias("block"))
+    own = known.where("not foreign").select("path", "version", F.size("blocks").alias("all"), F.explode("blocks").alias("block"))
     hits = skew_safe_semi(own, origin, ["block"], spread=F.col("path"))
-    copies = hits.groupBy("path").agg(F.count("*").alias("hit"), F.first("all").alias("all")).where(F.col("hit") >= F.lit(COPIED) * F.col("all"))
-    flat = known.drop("blocks").join(copies.select("path", F.lit(True).alias("copied")), "path", "left")
+    copies = hits.groupBy("path", "version").agg(F.count("*").alias("hit"), F.first("all").alias("all")).where(F.col("hit") >= F.lit(COPIED) * F.col("all"))
+    flat = flags.join(copies.select("path", F.lit(True).alias("copied")).distinct(), "path", "left")
     return flat.withColumn("copied", F.coalesce("copied", F.lit(False))).where("generated or minified or data or foreign or copied")
