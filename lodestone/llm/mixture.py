@@ -161,7 +161,7 @@ def mix(sized: DataFrame, quota: list[tuple[str, float, int, int, float]], seed:
     limit = spark.createDataFrame([(n, g * large) for n, g in goal.items()], "source string, most double")
     tagged = sized.join(F.broadcast(limit), "source")
     big, small = tagged.where("tokens > most"), tagged.where("tokens <= most")
-    first = cut(_rounded(_wanted(big, [(n, c) for n, _, _, _, c in quota if c > 0]), max(1, parts // FAN_IN), seed))
+    first = _rounded(_wanted(big, [(n, c) for n, _, _, _, c in quota if c > 0]), max(1, parts // FAN_IN), seed)
     taken = {r.source: r.n for r in first.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
     there = {r.source: r.n for r in small.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     left = [(n, min(float(cap), max(0.0, goal[n] - taken.get(n, 0)) / there[n])) for n, _, cap, _, c in quota if c > 0 and there.get(n)]
