@@ -53,9 +53,10 @@ _LEAD = re.compile(r"﻿?(?:#![^\n]*\n)?(?:\s*(?:/\*.*?\*/|//[^\n]*(?:\n|$)|--\[
 _COMMENTS = re.compile(r"/\*.*?\*/|//[^\n]*|--\[\[.*?\]\]|--[^\n]*|<!--.*?-->", re.S)
 _BLANKS = re.compile(r"\s+")
 _NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d[\d_.]*)\b")
-_RUN = re.compile(r"(?:[A-Za-z0-9+/=_-]|\\x[0-9a-fA-F]{2}|%[0-9A-F]{2}){40,}")
+_RUN = re.compile(r"[A-Za-z0-9+/=_%\\-]{40,}")
 _QUOTED = re.compile(r"([\"'`])((?:[A-Za-z0-9+/=]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){16,})\1")
 _FUNC = re.compile(r"(?:\bfn|\bfunction|\bfunc|\bdef)\s+(?:[\w.:]+[.:])?(\w+)\s*[(<]|^\s*(?:(?:public|private|protected|static|async|inline|const|unsigned|export|void|int|bool|char|size_t|uint32_t)\s+)+\**(\w+)\s*\(", re.M)
+_NOT_ALNUM = re.compile(r"[\W_]+")
 _GAP = re.compile(r"\n[ \t]*\n")
 _QUOTE = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 _SERIAL = re.compile(r"^\w*?[a-zA-Z]_?(\d+)$")
@@ -112,7 +113,7 @@ def layout(text: str, language: str) -> dict[str, float]:
     encoded = max(sum(len(x) for x in _RUN.findall(text) if any(c.isdigit() for c in x) and any(c.isupper() for c in x)), sum(len(x) for _, x in _QUOTED.findall(text)))
     return {
         "longest": max(map(len, lines), default=0), "mean": sum(map(len, lines)) / max(1, len(lines)), "lines": len(lines),
-        "white": 1 - ink / max(1, len(text)), "alnum": sum(c.isalnum() for c in text) / ink,
+        "white": 1 - ink / max(1, len(text)), "alnum": len(_NOT_ALNUM.sub("", text)) / ink,
         "numeric": sum(map(len, _NUMBER.findall(text))) / ink, "encoded": encoded / ink,
         "repeated": Counter(_NUMBER.sub("0", _QUOTE.sub("''", x.strip())) for x in lines).most_common(1)[0][1] / len(lines) if len(lines) >= 8 and literals > len(lines) else 0.0,
         "serial": (steps + 1) / len(names) if steps >= 2 else 0.0,
