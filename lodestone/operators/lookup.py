@@ -77,7 +77,8 @@ def search(docs: DataFrame, key: list[str], text: Column, requests: DataFrame, l
     per = per.where(adjacent).drop("flat", "phrases").withColumn("all_terms", F.col("have") == F.col("want"))
     best = per.withColumn("any_full", F.max(F.col("all_terms").cast("int")).over(Window.partitionBy("request_id")))
     kept = best.where(F.col("all_terms") | (F.col("any_full") == 0))
-    return first_per(kept, ["request_id"], [F.desc("score"), *key], limit).select("request_id", *key, F.round("score", 6).alias("score"), "rank")
+    # Equal scores may differ in their last bits by the order of summation; ties go by key.
+    return first_per(kept, ["request_id"], [F.desc(F.round("score", 9)), *key], limit).select("request_id", *key, F.round("score", 6).alias("score"), "rank")
 
 
 def call_sites(calls: DataFrame, from_fqdn: str | None = None, callee: str | None = None, pattern: str | None = None, limit: int | None = None) -> DataFrame:
