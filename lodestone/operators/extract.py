@@ -554,35 +554,42 @@ def extract_text(path: str, text: str, module: str, returns: dict[str, str] | No
     return f.rows
 
 
-def extract(files: DataFrame, returns: dict[str, str] | None = None) -> DataFrame:
-    """Rows of SCHEMA for files (path, content, project): ``project`` heads the module path; null contents yield nothing."""
+def extract(files: DataFrame, returns: DataFrame | None = None) -> DataFrame:
+    """Rows of SCHEMA for files (path, content, project): ``project`` heads the module path; null contents yield nothing.
+
+    ``returns`` are the rows of :func:`return_types`. Each file gets those of the names it may call, by a join on the name.
+    """
     spark = ship(files.sparkSession)
-    known = spark.sparkContext.broadcast(returns or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(x, pa.int32() if x.endswith("_line") else pa.string()) for x in _COLS])
         for b in batches:
-            rows = [r for p, m, text in zip(*(b.column(i).to_pylist() for i in range(3))) for r in extract_text(p, text, m, known.value)]
+            rows = [r for p, m, text, known in zip(*(b.column(i).to_pylist() for i in range(4))) for r in extract_text(p, text, m, dict(known or ()))]
             yield pa.RecordBatch.from_pydict({x: [r.get(x) for r in rows] for x in _COLS}, schema=schema)
 
     head = F.coalesce(F.regexp_replace("project", "-", "_"), F.lit(""))
     mod = expr.module_path(F.regexp_replace("path", "^ws:[^:]*:", ""))
-    module = F.when(mod == "", head).when(head == "", mod).otherwise(F.concat_ws("::", head, mod))
-    d = files.where("path is not null and content is not null").select("path", module.alias("module"), "content")
+    # Never null, also for the planner: else the join filters one of its two branches, and the exchange isn't shared.
+    module = F.coalesce(F.when(mod == "", head).when(head == "", mod).otherwise(F.concat_ws("::", head, mod)), head)
     # Files usually come from an aggregate (current versions): a set number of partitions keeps it from being coalesced.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return d.repartition(parts, "path").mapInArrow(run, SCHEMA)
+    d = files.where("path is not null and content is not null").select("path", module.alias("module"), "content").repartition(parts, "path", "module")
+    if returns is None:
+        return d.withColumn("known", F.lit(None).cast("map<string,string>")).mapInArrow(run, SCHEMA)
+    # Both branches read the same columns of one exchange, so that texts are shuffled once.
+    names = F.array_distinct(F.when(F.endswith("path", F.lit(".rs")), F.regexp_extract_all("content", F.lit(_ASSIGNED), 1)))
+    called = d.select("path", "module", F.explode_outer(names).alias("name")).join(returns, "name")
+    known = called.groupBy("path", "module").agg(F.map_from_entries(F.collect_set(F.struct("name", "return_type"))).alias("known"))
+    return d.join(known, ["path", "module"], "left").select("path", "module", "content", "known").mapInArrow(run, SCHEMA)
 
 
-#: Most functions whose return type is sent to the executors; beyond it the pre-pass is left out and receivers stay open.
-MAX_RETURNS = 200_000
+#: Names that may be called in a ``let`` (a superset of what :func:`rust` asks for), with Python's classes.
+_ASSIGNED = r"(?U)=[\s\x1c-\x1f]*(\w+)[\s\x1c-\x1f]*\("
 
 
-def return_types(files: DataFrame, limit: int = MAX_RETURNS) -> dict[str, str]:
-    """name to nominal return type of Rust functions whose name has one return type in all files; empty when there are more
-    than ``limit`` (its size is checked before it is collected)."""
+def return_types(files: DataFrame) -> DataFrame:
+    """name, return_type: the nominal return type of Rust functions whose name has one return type in all files."""
     sig = files.where("path like '%.rs' and content is not null").select(F.explode(F.regexp_extract_all("content", F.lit(r"(fn\s+\w+\s*(?:<[^>{}]*>)?\s*\([^{};]*\)\s*->\s*[^{;]+)"), 1)).alias("s"))
     one = sig.select(F.regexp_extract("s", r"fn\s+(\w+)", 1).alias("name"), F.regexp_extract("s", r"->\s*&?(?:'\w+\s+)?(?:mut\s+)?([A-Za-z_][\w:]*)", 1).alias("ty")).where("ty <> ''")
-    single = one.groupBy("name").agg(F.min("ty").alias("ty"), F.max("ty").alias("t2")).where("ty = t2").select("name", "ty")
-    rows = single.limit(limit + 1).collect()
-    return {} if len(rows) > limit else {r.name: r.ty.rsplit("::", 1)[-1] for r in rows}
+    single = one.groupBy("name").agg(F.min("ty").alias("ty"), F.max("ty").alias("t2")).where("ty = t2")
+    return single.select("name", F.substring_index("ty", "::", -1).alias("return_type"))

@@ -66,8 +66,7 @@ def o105_implements(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def o107_return_types(spark: SparkSession, root: str) -> DataFrame:
     """Return types of functions over the whole workspace, where a name has just one."""
-    rows = sorted(extract.return_types(table(spark, root, "files").select("path", "content")).items())
-    return spark.createDataFrame(rows, "name string, return_type string")
+    return extract.return_types(table(spark, root, "files").select("path", "content"))
 
 
 @query()

@@ -158,3 +158,13 @@ def test_extract_frames(spark):
     out = extract.extract(f, extract.return_types(f))
     assert {(r.fqdn, r.kind) for r in out.where("what = 'symbol'").collect()} == {("my_crate", "module"), ("my_crate::a", "callable"), ("e", "module")}
     assert extract.extract(f.limit(0)).count() == 0
+
+
+def test_return_types_of_any_number(spark):
+    """More single-typed names than were once collected: all come out, and each file gets those it calls."""
+    many = spark.range(200_100).select(F.format_string("f%d.rs", "id").alias("path"), F.format_string("fn f%d() -> a::T%d { }", "id", "id").alias("content"))
+    returns = extract.return_types(many)
+    assert returns.count() == 200_100
+    f = spark.createDataFrame([("u.rs", "fn g() { let x = f7(); x.go(); let y = f200099 (); y.stop(); let z = h(); z.no(); }", "p"), ("v.rs", "fn k() { f7(); }", "p")], "path string, content string, project string")
+    e = {(r.target, r.receiver_type) for r in extract.extract(f, returns).where("kind = 'CALLS'").collect()}
+    assert {("go", "T7"), ("stop", "T200099"), ("no", None)} <= e
