@@ -36,6 +36,8 @@ _COLS = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Derives and the traits they stand for; wrappers that are transparent for method calls.
 DERIVES = {d: d for d in ("Clone", "Copy", "Debug", "Default", "Eq", "Hash", "Ord", "PartialEq", "PartialOrd")}
 TRANSPARENT = frozenset(("Arc", "Rc", "Box"))
+#: Names of the language's own objects, which no REFERENCES edge leads to.
+JS_GLOBALS = frozenset("console window document globalThis self undefined NaN Infinity Math Date Object Array Number String Boolean JSON RegExp Symbol Error TypeError RangeError Map Set WeakMap WeakSet Promise Proxy Reflect parseInt parseFloat isNaN isFinite encodeURI encodeURIComponent decodeURI decodeURIComponent".split())
 _SKIP_CALLS = frozenset("if while for switch match return sizeof function catch typeof await elseif until and or not".split())
 
 
@@ -197,6 +199,33 @@ def rust(f: _File) -> None:
     def offset(i: int) -> int:
         return o[i] if i < n else len(f.text)
 
+    def variants(a: int, z: int, owner: str, vis: str, generics: set[str]) -> None:
+        """Variants between an enum's braces, with the types of their fields."""
+        i = a + 1
+        while i < z:
+            if t[i] == "#" and i + 1 < z and t[i + 1] == "[":
+                i = close.get(i + 1, i + 1) + 1
+                continue
+            e = i + 1
+            while e < z and t[e] != ",":
+                e = close.get(e, e) + 1
+            if t[i] == "IDENT":
+                last = close.get(i + 1, i + 1) if i + 1 < z and t[i + 1] in ("(", "{") else i
+                stop = offset(last) + 1 if last > i else offset(i) + len(w[i].split("//")[0].split("/*")[0].split(",")[0].split("=")[0].strip())
+                fq = f.symbol(_name(w[i]), "type", "enum_variant", owner, offset(i), stop, visibility=vis)
+                x = i + 2
+                while x < last:
+                    if t[x] == "#" and t[x + 1] == "[":
+                        x = close.get(x + 1, x + 1)
+                    elif t[x] == "IDENT" and _name(w[x])[:1].isupper() and _name(w[x]) not in generics:
+                        path = [_name(w[x])]
+                        while x + 2 < last and t[x + 1] == "::" and t[x + 2] == "IDENT":
+                            path.append(_name(w[x + 2]))
+                            x += 2
+                        f.put("edge", fqdn=fq, kind="USES_TYPE", target="::".join(path), attribute="type-annotation", start_line=f.line(offset(i)))
+                    x += 1
+            i = e + 1
+
     def walk(a: int, z: int, owner: str, ctx: dict) -> None:
         i, pub, attrs = a, False, []
         while i < z:
@@ -263,6 +292,8 @@ def rust(f: _File) -> None:
                     walk(e + 1, end, fq, {"trait": name})
                 elif k == "mod" and e < z and t[e] == "{":
                     walk(e + 1, end, fq, {})
+                elif k == "enum" and e < z and t[e] == "{":
+                    variants(e, end, fq, vis, set(re.findall(r"[<,]\s*(?:const\s+)?(\w+)", f.text[offset(j) : offset(e)])))
                 elif k in ("struct", "union") and e < z and t[e] == "{":
                     for m in re.finditer(r"(?m)(pub(?:\([^)]*\))?\s+)?(\w+)\s*:\s*([^,\n}]+)", f.text[offset(e) + 1 : offset(end)]):
                         f.put("symbol", name=m.group(2), fqdn=f"{fq}::{m.group(2)}", kind="value", language_kind="field", module=fq, visibility="public" if m.group(1) else "private", target=m.group(3).strip(), start_line=f.line(offset(e) + 1 + m.start(2)), end_line=f.line(offset(e) + 1 + m.end()))
@@ -309,6 +340,91 @@ def rust(f: _File) -> None:
     walk(0, n, f.module, {})
 
 
+def _re_export(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int, int], i: int) -> int:
+    """IMPORTS edges of an ``export ... from``; the index behind it, or 0 if the export at ``i`` is none."""
+    n = len(t)
+    j = i + 2 if i + 2 < n and t[i + 1] == "type" and t[i + 2] in ("*", "{") else i + 1
+    if j >= n or t[j] not in ("*", "{"):
+        return 0
+    names: list[str] = []
+    tag, e = "re-export", close.get(j, j) + 1
+    if t[j] == "*":
+        tag, e = ("re-export,namespace", j + 3) if j + 1 < n and t[j + 1] == "as" else ("re-export,wildcard", j + 1)
+    if e + 1 >= n or t[e] != "from" or t[e + 1] != "STR":
+        return 0
+
+    def shown(x: int) -> str:
+        m = re.match(r"'([^'\n]*)'|\"([^\"\n]*)\"", f.text[o[x] :])
+        return (m.group(1) or m.group(2) or "") if m else _name(w[x])
+
+    x = j + 1
+    while t[j] == "{" and x < e - 1:
+        if t[x] == "type" and t[x + 1] not in (",", "}", "as"):
+            x += 1
+        names.append(shown(x))
+        while x < e - 1 and t[x] != ",":
+            x += 1
+        x += 1
+    module = resolve_module(shown(e + 1), f.path)
+    for nm in names or [None]:
+        f.put("edge", fqdn=f.module, kind="IMPORTS", target=f"{module}::{nm}" if nm else module, attribute=tag, start_line=f.line(o[i]))
+    return e + 2
+
+
+def _elements(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int, int], spans: list[tuple[int, int, str]]) -> None:
+    """REFERENCES of JSX: components, and the names read in attributes and between tags. ``spans``: who owns which tokens."""
+    if "JSXB" not in t:
+        return
+    n = len(t)
+    owner = [f.module] * n
+    for a, z, fq in spans:  # outer ones come first
+        owner[a : z + 1] = [fq] * (min(z + 1, n) - a)
+    params: dict[int, int] = {}
+    for x, z in close.items():
+        if t[x] == "(" and z + 1 < n and t[z + 1] == "=>":
+            params[x] = z
+    #: Open elements and braces: [kind, end of the last piece, behind the opening tag?] and [tag, index of the closing brace].
+    stack: list[list] = []
+    bound = 0
+
+    def gap(at: int) -> None:
+        el = stack[-1]
+        el[2] = el[2] or ">" in re.sub(r"\"[^\"]*\"|'[^']*'", "", f.text[el[1] : at])
+
+    def put(i: int, name: str, tag: str) -> None:
+        f.put("edge", fqdn=owner[i], kind="REFERENCES", target=name, attribute=tag, start_line=f.line(o[i]))
+
+    i = 0
+    while i < n:
+        k = t[i]
+        inside = bool(stack) and stack[-1][0] == "element"
+        if i in params:
+            bound = max(bound, params[i])
+        if k == "JSXB":
+            if inside:
+                gap(o[i])
+            m = re.match(r"<\s*([\w$.:-]*)", f.text[o[i] :])
+            if m and re.fullmatch(r"[A-Z][\w$-]*", m.group(1)):
+                put(i, m.group(1), "template-component-ref")
+            stack.append(["element", o[i] + m.end() if m else o[i] + 1, False])
+        elif k == "JSXE" and inside:
+            stack.pop()
+            if stack and stack[-1][0] == "element":
+                stack[-1][1] = f.text.find(">", o[i]) + 1
+        elif k == "{" and inside:
+            gap(o[i])
+            spread = not stack[-1][2] or i + 1 < n and t[i + 1] == "..."
+            stack.append(["template-bind" if spread else "template-interpolation", close.get(i, n)])
+        elif stack and not inside:
+            if i >= stack[-1][1]:
+                stack.pop()
+                if stack and stack[-1][0] == "element":
+                    stack[-1][1] = o[i] + 1
+            elif k == "IDENT" and t[i - 1] not in (".", "?.", "as", "satisfies", "const", "let", "var", "function", "class", ":" if i < bound else "") and t[i + 1] != "=>" and not (t[i + 1] == ":" and t[i - 1] in ("{", ",")) and not (i < bound and t[i - 1] in ("(", ",", "{", "[", "...")) and _name(w[i]) not in JS_GLOBALS:
+                put(i, _name(w[i]), stack[-1][0])
+        i += 1
+
+
 def script(f: _File, base: int = 0) -> None:
     ending = f.path.rsplit(".", 1)[-1]
     t, w, o, close = _words(f, lex_script(f.text, ending in ("tsx", "jsx", "js")))
@@ -319,6 +435,7 @@ def script(f: _File, base: int = 0) -> None:
 
     i, exported, depth_end = 0, False, []
     owners: list[tuple[int, str]] = []
+    spans: list[tuple[int, int, str]] = []
 
     def owner() -> str:
         while owners and owners[-1][0] < i:
@@ -342,6 +459,10 @@ def script(f: _File, base: int = 0) -> None:
             exported = False
             continue
         if k == "export":
+            j = _re_export(f, t, w, o, close, i)
+            if j:
+                i, exported = j, False
+                continue
             exported = True
             i += 1
             continue
@@ -392,6 +513,7 @@ def script(f: _File, base: int = 0) -> None:
                 types = {"this": own.rsplit("::", 1)[-1]} if in_class else {}
                 types |= dict(re.findall(r"(?:const|let|var)\s+(\w+)\s*=\s*new\s+(\w+)", f.text[offset(e) : offset(end)]))
                 _calls(f, t, w, o, close, e, end, fq, types)
+                spans.append((e, end, fq))
                 i, exported = end + 1, False
                 continue
         if k in ("const", "let", "var") and not in_class and i + 1 < n and t[i + 1] == "IDENT":
@@ -401,11 +523,14 @@ def script(f: _File, base: int = 0) -> None:
             fn = re.match(r"(?:const|let|var)\s+\w+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|\w+\s*=>)", f.text[offset(i) : offset(e)])
             fq = f.symbol(_name(w[i + 1]), "callable" if fn else "value", "function" if fn else "const" if k == "const" else "var", own, offset(i), offset(e), visibility=vis)
             _calls(f, t, w, o, close, i + 2, min(e, n), fq if fn else f.module, {})
+            if fn:
+                spans.append((i + 2, min(e, n) - 1, fq))
             i, exported = e, False
             continue
         if k == ";" or k == "}":
             exported = False
         i += 1
+    _elements(f, t, w, o, close, spans)
 
 
 def resolve_module(spec: str, path: str) -> str:

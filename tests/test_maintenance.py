@@ -168,3 +168,19 @@ def test_return_types_of_any_number(spark):
     f = spark.createDataFrame([("u.rs", "fn g() { let x = f7(); x.go(); let y = f200099 (); y.stop(); let z = h(); z.no(); }", "p"), ("v.rs", "fn k() { f7(); }", "p")], "path string, content string, project string")
     e = {(r.target, r.receiver_type) for r in extract.extract(f, returns).where("kind = 'CALLS'").collect()}
     assert {("go", "T7"), ("stop", "T200099"), ("no", None)} <= e
+
+
+def test_extract_variants_re_exports_elements():
+    src = "pub enum E<T> {\n    /// None.\n    A,\n    #[x(Y)]\n    B(Foo, Option<T>, m::Bar) ,\n    C { q: Baz::Q } = 3,\n}\n"
+    s = {(r["fqdn"], r["kind"], r["visibility"], r["start_line"]) for r in rows("a.rs", src) if r["language_kind"] == "enum_variant"}
+    assert s == {("m::E::A", "type", "public", 3), ("m::E::B", "type", "public", 5), ("m::E::C", "type", "public", 6)}
+    assert {(r["fqdn"], r["target"]) for r in rows("a.rs", src, what="edge") if r["kind"] == "USES_TYPE"} == {("m::E::B", "Foo"), ("m::E::B", "Option"), ("m::E::B", "Bar"), ("m::E::C", "Baz::Q")}
+    assert ("m::E::A", "None.") in {(r["fqdn"], r["target"]) for r in rows("a.rs", src, what="doc")}
+    ts = "export * from './a';\nexport * as ns from './n';\nexport { x, y as z, default as d, type T } from '../b';\nexport type { U } from 'pkg';\nexport {} from './e'\nexport { own };\nexport const k = 1;\n"
+    e = {(r["target"], r["attribute"]) for r in rows("src/p/t.ts", ts, what="edge") if r["kind"] == "IMPORTS"}
+    assert e == {("p::a", "re-export,wildcard"), ("p::n", "re-export,namespace"), ("b::x", "re-export"), ("b::y", "re-export"), ("b::default", "re-export"), ("b::T", "re-export"), ("pkg::U", "re-export"), ("p::e", "re-export")}
+    assert [r["visibility"] for r in rows("src/p/t.ts", ts) if r["name"] == "k"] == ["public"]
+    jsx = "function A(p) { return <Foo a={q.r} {...rest} b=\"> s\" on={(ev) => go(ev)}>{name} text {cond ? <Baz t={u}/> : {v: x}}<div c={y}>{z}</div></Foo>; }\nrender(<App/>);\n"
+    e = {(r["fqdn"], r["target"], r["attribute"][9:]) for r in rows("j.jsx", jsx, what="edge") if r["kind"] == "REFERENCES"}
+    bind, text = {("m::A", x, "bind") for x in ("q", "rest", "go", "ev", "u", "y")}, {("m::A", x, "interpolation") for x in ("name", "cond", "x", "z")}
+    assert e == bind | text | {("m::A", "Foo", "component-ref"), ("m::A", "Baz", "component-ref"), ("m", "App", "component-ref")}
