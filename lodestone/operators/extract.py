@@ -5,7 +5,7 @@ Everything a file yields comes out as rows of one table, told apart by ``what``:
 
 ``symbol`` name, fqdn, kind, language_kind, module, visibility, receiver_type, target (trait or base), lines
 ``edge``   fqdn (source), kind (CALLS, IMPORTS, EXTENDS, IMPLEMENTS, USES_TYPE, REFERENCES), target, receiver_type, attribute
-``call``   fqdn (source), target (text as written), lines, args
+``call``   fqdn (source), target (text as written), lines, attribute (all arguments as one text), args (one by one)
 ``doc``    fqdn, target (text)
 ``ffi``    fqdn, kind (import or export), target (name at the boundary), attribute (abi)
 
@@ -30,7 +30,7 @@ from lodestone.session import ship
 
 SCHEMA = (
     "path string, what string, name string, fqdn string, kind string, language_kind string, module string, visibility string, receiver_type string, "
-    "target string, attribute string, start_line int, end_line int, entry_point string, body_hash string"
+    "target string, attribute string, start_line int, end_line int, entry_point string, body_hash string, args array<struct<value:string,is_string_literal:boolean>>"
 )
 _COLS = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Derives and the traits they stand for; wrappers that are transparent for method calls.
@@ -118,6 +118,79 @@ def _name(w: str) -> str:
     return m.group(0).removeprefix("r#") if m else w
 
 
+_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f_]+)\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(\r?\n[ \t\r\n]*)|(.))", re.S)
+_ESCAPED = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "b": "\b", "f": "\f", "v": "\v", "a": "\a"}
+
+
+def _literal(text: str, language: str) -> str | None:
+    """What a string literal stands for; None for any other text."""
+    if language == "rust" and (m := re.fullmatch(r"r(#*)\"(.*)\"\1", text, re.S)) or language == "lua" and (m := re.fullmatch(r"\[(=*)\[\n?(.*)\]\1\]", text, re.S)):
+        return m.group(2)
+    if len(text) < 2 or text[0] != text[-1] or text[0] not in ("\"" if language in ("rust", "c") else "\"'"):
+        return None
+
+    def plain(m: re.Match) -> str:
+        code = m.group(1) or m.group(2) or m.group(3)
+        if code:
+            n = int(code.replace("_", "") or "0", 16)
+            return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else m.group(0)
+        if m.group(4) is not None:  # a line that goes on: Rust drops the next one's indent, Lua keeps the break
+            return "" if language == "rust" else "\n" + m.group(4).split("\n", 1)[1] if language == "lua" else m.group(4).split("\n", 1)[1]
+        return _ESCAPED.get(m.group(5), m.group(5))
+
+    return _ESCAPE.sub(plain, text[1:-1])
+
+
+def _generics_end(t: list[str], i: int, z: int) -> int:
+    """Index of the ``>`` that ends type arguments from the ``<`` at ``i``; 0 if they are none."""
+    depth = 0
+    while i < z:
+        depth += {"<": 1, ">": -1, ">>": -2, ">>>": -3}.get(t[i], 0)
+        if depth <= 0:
+            return i
+        if t[i] in (";", "{", "&&", "||", "STR", "NUM"):
+            return 0
+        i += 1
+    return 0
+
+
+def _arguments(f: _File, t: list[str], o: list[int], close: dict[int, int], a: int, z: int) -> list[dict]:
+    """Arguments between the parentheses at ``a`` and ``z``, split at the commas that stand in no bracket, type argument list,
+    closure head or template text. String literals come without quotes and escapes."""
+    first, i, template = a + 1, a + 1, 0
+    out: list[dict] = []
+
+    def put(b: int) -> None:
+        if first >= b:
+            return
+        text = f.text[o[first] : o[b] if b < len(o) else len(f.text)].strip()
+        value = _literal(text, f.language) if b == first + 1 else None
+        out.append({"value": re.sub(r"\s+", " ", text) if value is None else value, "is_string_literal": value is not None})
+
+    while i < z:
+        k = t[i]
+        if k == "TPLB":
+            template += 1
+        elif k == "TPLE":
+            template -= 1
+        elif k == "|" and f.language == "rust" and (i == first or t[i - 1] in ("move", "async", "=", "=>")):
+            i += 1
+            while i < z and t[i] != "|":
+                i = close.get(i, i) + 1
+        elif k == "<" and (i == first or t[i - 1] in ("::", "as", "IDENT")) and f.language in ("rust", "typescript", "vue", "svelte"):
+            # Rust writes ``::<`` in expressions; TypeScript takes ``a < b, c > (d)`` for a call with type arguments.
+            e = _generics_end(t, i, z) if f.language != "rust" or i == first or t[i - 1] != "IDENT" else 0
+            i = e if e and (f.language == "rust" or e + 1 < z and t[e + 1] == "(") else i
+        elif k == "function" and f.language == "lua":
+            i = min(_lua_end(t, i), z - 1)
+        elif k == "," and not template:
+            put(i)
+            first = i + 1
+        i = close.get(i, i) + 1
+    put(z)
+    return out
+
+
 def _calls(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int, int], a: int, z: int, source: str, types: dict[str, str]) -> None:
     """Call sites and CALLS edges between two token indexes."""
     path_sep = "::" if f.language == "rust" else "."
@@ -138,7 +211,7 @@ def _calls(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int,
             if not (len(chain) == 1 and chain[0] in _SKIP_CALLS) and not (j - 1 >= 0 and t[j - 1] in ("fn", "function")):
                 shown = "".join(x + (seps[k] if k < len(seps) else "") for k, x in enumerate(chain)) + ("!" if macro else "")
                 end = close.get(i, z)
-                f.put("call", fqdn=source, target=shown, start_line=f.line(o[i]), end_line=f.line(o[min(end, len(o) - 1)]), attribute=re.sub(r"\s+", " ", f.text[o[i] + 1 : o[end] if end < len(o) else len(f.text)])[:200])
+                f.put("call", fqdn=source, target=shown, start_line=f.line(o[i]), end_line=f.line(o[min(end, len(o) - 1)]), attribute=re.sub(r"\s+", " ", f.text[o[i] + 1 : o[end] if end < len(o) else len(f.text)]), args=_arguments(f, t, o, close, i, min(end, len(t))))
                 method = dangling or (seps and seps[-1] in (".", "?.", ":", "->") and path_sep != ".") or (f.language == "rust" and seps and seps[-1] == ".")
                 recv = types.get(chain[-2]) if len(chain) > 1 else None
                 if macro:
@@ -548,6 +621,25 @@ def resolve_module(spec: str, path: str) -> str:
     return re.sub(r"\.\w+$", "", p).replace("/", "::")
 
 
+def _lua_end(t: list[str], i: int) -> int:
+    """Index of the ``end`` of the block at ``i``."""
+    n = len(t)
+    depth, loop = 0, False
+    while i < n:
+        if t[i] in ("function", "if", "repeat"):
+            depth += 1
+        elif t[i] in ("while", "for"):
+            depth, loop = depth + 1, True
+        elif t[i] == "do":
+            depth, loop = depth + (not loop), False
+        elif t[i] in ("end", "until"):
+            depth -= 1
+            if depth <= 0:
+                return i
+        i += 1
+    return n - 1
+
+
 def lua(f: _File) -> None:
     t, w, o, close = _words(f, lex_lua(f.text))
     n = len(t)
@@ -555,22 +647,6 @@ def lua(f: _File) -> None:
     def offset(i: int) -> int:
         return o[i] if i < n else len(f.text)
 
-    def body_end(i: int) -> int:
-        depth, loop = 0, False
-        while i < n:
-            if t[i] in ("function", "if", "repeat"):
-                depth += 1
-            elif t[i] in ("while", "for"):
-                depth, loop = depth + 1, True
-            elif t[i] == "do":
-                depth, loop = depth + (not loop), False
-            elif t[i] in ("end", "until"):
-                depth -= 1
-                if depth <= 0:
-                    return i
-            i += 1
-        return n - 1
-
     i = 0
     while i < n:
         if t[i] == "function" and i + 1 < n and t[i + 1] == "IDENT":
@@ -579,7 +655,7 @@ def lua(f: _File) -> None:
             while j + 2 < n and t[j + 1] in (".", ":"):
                 parts.append(_name(w[j + 2]))
                 j += 2
-            end = body_end(i)
+            end = _lua_end(t, i)
             owner = "::".join([f.module, *parts[:-1]]) if f.module else "::".join(parts[:-1])
             fq = f.symbol(parts[-1], "callable", "method" if t[j - 1] == ":" else "local_function" if local else "function", owner, offset(i - 1 if local else i), offset(end) + 3, visibility="private" if local else "public", receiver_type=parts[-2] if len(parts) > 1 else None)
             _calls(f, t, w, o, close, j + 2, end, fq, {"self": parts[-2]} if len(parts) > 1 else {})
@@ -687,7 +763,8 @@ def extract(files: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     spark = ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(x, pa.int32() if x.endswith("_line") else pa.string()) for x in _COLS])
+        args = pa.list_(pa.struct([("value", pa.string()), ("is_string_literal", pa.bool_())]))
+        schema = pa.schema([(x, args if x == "args" else pa.int32() if x.endswith("_line") else pa.string()) for x in _COLS])
         for b in batches:
             rows = [r for p, m, text, known in zip(*(b.column(i).to_pylist() for i in range(4))) for r in extract_text(p, text, m, dict(known or ()))]
             yield pa.RecordBatch.from_pydict({x: [r.get(x) for r in rows] for x in _COLS}, schema=schema)

@@ -45,7 +45,7 @@ def o101_rust_symbols(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def o102_rust_calls(spark: SparkSession, root: str) -> DataFrame:
-    return _symbols(extracted(spark, root), ".rs").where("(what = 'edge' and kind = 'CALLS') or what = 'call'").select("path", "what", "fqdn", "target", "receiver_type", "attribute", "start_line")
+    return _symbols(extracted(spark, root), ".rs").where("(what = 'edge' and kind = 'CALLS') or what = 'call'").select("path", "what", "fqdn", "target", "receiver_type", "attribute", "start_line", "args")
 
 
 @query()

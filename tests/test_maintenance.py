@@ -184,3 +184,19 @@ def test_extract_variants_re_exports_elements():
     e = {(r["fqdn"], r["target"], r["attribute"][9:]) for r in rows("j.jsx", jsx, what="edge") if r["kind"] == "REFERENCES"}
     bind, text = {("m::A", x, "bind") for x in ("q", "rest", "go", "ev", "u", "y")}, {("m::A", x, "interpolation") for x in ("name", "cond", "x", "z")}
     assert e == bind | text | {("m::A", "Foo", "component-ref"), ("m::A", "Baz", "component-ref"), ("m", "App", "component-ref")}
+
+
+def test_extract_arguments_whole():
+    def args(path, text):
+        return {r["target"]: [(x["value"], x["is_string_literal"]) for x in r["args"]] for r in rows(path, text, what="call")}
+
+    long = "x" * 500
+    src = f"fn f() {{ g(\"{long}\", a::<B, C>(1, 2), |p, q| p + q, x < y, r#\"r\"q\"#, \"t\\n\\u{{41}}\", b\"z\", [1, 2],); none(); log!(\"a, b\", k); h({long}); }}"
+    a = args("a.rs", src)
+    assert a["g"] == [(long, True), ("a::<B, C>(1, 2)", False), ("|p, q| p + q", False), ("x < y", False), ("r\"q", True), ("t\nA", True), ("b\"z\"", False), ("[1, 2]", False)]
+    assert a["none"] == [] and a["log!"] == [("a, b", True), ("k", False)] and a["h"] == [(long, False)]
+    assert [r["attribute"] for r in rows("a.rs", src, what="call") if r["target"] == "h"] == [long]
+    a = args("a.js", "function f() { g('a\\'b', (x, y) => x, `t ${p(1), q} u`, i < j, k > (l), {m, n}, ...o); }")
+    assert a["g"] == [("a'b", True), ("(x, y) => x", False), ("`t ${p(1), q} u`", False), ("i < j", False), ("k > (l)", False), ("{m, n}", False), ("...o", False)]
+    assert args("a.lua", "function f() g('a', [[b]], function(x, y) return x, y end, c) end")["g"] == [("a", True), ("b", True), ("function(x, y) return x, y end", False), ("c", False)]
+    assert args("a.ts", "function f() { g(new Map<K, V>(z), i < j); }")["g"] == [("new Map<K, V>(z)", False), ("i < j", False)]
