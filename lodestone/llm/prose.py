@@ -214,6 +214,31 @@ def _paragraph(lines: list[str], common: frozenset[str]) -> int:
     return total
 
 
+def indent_period(lines: list[str]) -> int:
+    """Least period (2 to 4 lines, run through twice) in which indents that differ come again and again; 0 for none."""
+    indents = [len(s) - len(s.lstrip()) for s in (x.expandtabs(4) for x in lines)]
+    if len(set(indents)) < 2:
+        return 0
+    return next((p for p in (2, 3, 4) if len(indents) >= 2 * p and indents[p:] == indents[:-p]), 0)
+
+
+#: Lines of a listing without bullets: so many at least, with so few end marks a line, and lengths so much alike.
+LISTING_LINES, LISTING_MARKS, LISTING_EVEN = 4, 0.25, 0.9
+
+
+def is_listing(lines: list[str]) -> bool:
+    """Does a block without bullets list things? Its indents are periodic, or its lines are about as long as their
+    neighbours and all begin with a capital or a digit. Wrapped text is told by its end marks and by lines that hang over."""
+    if len(lines) < LISTING_LINES or len(re.findall(r"[.?!…。！？](?=\s|$|[\"'”)])|[。！？]", "\n".join(lines))) > LISTING_MARKS * len(lines):
+        return False
+    if any((w := _TOKEN.findall(s.lower())) and w[-1] in HANGING for s in lines):
+        return False
+    if indent_period(lines):
+        return True
+    heads = [s.lstrip()[:1] for s in lines]
+    return all(c.isupper() or c.isdigit() for c in heads) and autocorrelation([len(s.strip()) for s in lines]) >= LISTING_EVEN
+
+
 def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int, int, int]:
     """(characters in running sentences, in tables, in lists, all) of a text."""
     text = text.translate(_INVISIBLE).replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\x0b", "\n").replace("\x0c", "\n").replace("\x85", "\n")
@@ -248,6 +273,9 @@ def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int
         para: list[str] = []
         item = False
         n_items = sum(bool(_BULLET.match(s)) for s in b)
+        if not n_items and not any(marks) and is_listing(b):
+            lists += sum(len(s) + 1 for s in b)
+            continue
         for s, m, c in zip(b, marks, code):
             skip = m or _STAMP.match(s) or _FRAME.match(s) or s.lstrip().startswith("#") or (coded and (c or s[:1] in " \t}")) or s.count("»") + s.count("›") > 0 and s.count("|") > 1
             starts = _BULLET.match(s)

@@ -201,3 +201,16 @@ def test_syntax_frames(spark):
     pre = spark.createDataFrame([("ws:1:a", "proj")], "prefix string, label string")
     assert {(r.label, r.language): (r.versions, r.broken) for r in syntax.rates(j, pre).collect()} == {("proj", "rust"): (2, 1), (None, "lua"): (1, 1), (None, None): (1, 0)}
     assert syntax.rates(syntax.parsed(f.limit(0)), pre).count() == 0
+
+
+def test_listings_without_bullets():
+    unit = ("Shows how the new parser reads each table of the report", "Keeps what the old reader found in most of the folders")
+    even = "\n".join(unit * 3)
+    periodic = "\n".join(f"{a}\n    {b} and then writes all of it to the shared disk" for a, b in [unit] * 3)
+    for t in (even, periodic):
+        p, _, lists, n = prose.prose_chars(t)
+        assert p == 0 and lists == n
+    wrapped = "The reader keeps what it found in most of the folders, and then\nit writes all of it to the shared disk, where the parser of the\nreport looks for it again. Nobody has to wait for the others to\nfinish, because each of them works on a table of its own now."
+    p, _, lists, n = prose.prose_chars(wrapped)
+    assert p > 0.9 * n and lists == 0
+    assert prose.indent_period(["a", "  b", "a", "  b"]) == 2 and prose.indent_period(["a", "b", "c", "d"]) == 0 and prose.indent_period(["  a", "b", "c", "d"]) == 0
