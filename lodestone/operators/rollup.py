@@ -49,6 +49,33 @@ def module_rollup(symbols: DataFrame, scope: str, levels: int = 1) -> tuple[Data
     return nodes, homes
 
 
+def scoped_edges(symbols: DataFrame, edges: DataFrame, levels: int = 1) -> DataFrame:
+    """scope, from_module, to_module, edge_kind, kind, weight: what joins modules, for every module (or folder of modules) as scope.
+
+    ``parent_child`` leads from a module to those right below it (weight 1, no kind); ``cross`` counts the edges between the
+    modules of their ends by kind, without those inside a module and those between a module and its parent.
+    """
+    # Folders that only hold modules are nodes and scopes too, although no symbol stands for them.
+    mods = symbols.where("kind = 'module'").select(F.explode(expr.prefixes(expr.segments(F.col("fqdn")), "::")).alias("h")).select("h.prefix").distinct()
+    heads = symbols.select("fqdn").distinct().select("fqdn", F.explode(expr.prefixes(expr.segments(F.col("fqdn")), "::")).alias("h")).select("fqdn", "h.depth", "h.prefix")
+    ups = heads.join(mods, "prefix").groupBy("fqdn").agg(F.collect_list(F.struct("depth", "prefix")).alias("m"))
+    # A symbol has few modules above it: its home in each scope is picked from its own row.
+    near = F.transform("m", lambda a: F.struct(a["prefix"].alias("scope"), F.array_max(F.filter("m", lambda b: (b["depth"] >= a["depth"]) & (b["depth"] <= a["depth"] + levels)))["prefix"].alias("module")))
+    homes = ups.select("fqdn", F.explode(near).alias("h")).select("fqdn", "h.scope", "h.module")
+    parent = F.regexp_replace("module", "::[^:]*$", "")
+    nodes = homes.select("scope", "module").distinct()
+    tree = nodes.where(F.col("module") != F.col("scope")).select("scope", parent.alias("from_module"), F.col("module").alias("to_module"))
+    tree = tree.join(nodes.withColumnRenamed("module", "from_module"), ["scope", "from_module"], "left_semi")
+    tree = tree.select("scope", "from_module", "to_module", F.lit("parent_child").alias("edge_kind"), F.lit(None).cast("string").alias("kind"), F.lit(1).cast("bigint").alias("weight"))
+    e = edges.where("resolved").groupBy("from_fqdn", "target", "kind").agg(F.count("*").alias("n"))
+    ends = e.join(homes.select(F.col("fqdn").alias("from_fqdn"), "scope", F.col("module").alias("from_module")), "from_fqdn")
+    ends = ends.join(homes.select(F.col("fqdn").alias("target"), "scope", F.col("module").alias("to_module")), ["target", "scope"])
+    up = lambda c: F.regexp_replace(c, "::[^:]*$", "")
+    apart = (F.col("from_module") != F.col("to_module")) & (up("from_module") != F.col("to_module")) & (up("to_module") != F.col("from_module"))
+    cross = ends.where(apart).groupBy("scope", "from_module", "to_module", F.lit("cross").alias("edge_kind"), "kind").agg(F.sum("n").alias("weight"))
+    return tree.unionByName(cross)
+
+
 def common_path(rows: DataFrame, by: str, path: str) -> DataFrame:
     """``by``, prefix: the longest folder path that all of a group's paths share. Folds by the least and greatest path: what
     those two share, all in between share, so no group is gathered."""

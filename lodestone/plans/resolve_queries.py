@@ -148,6 +148,12 @@ def o53_scoped_modules(spark: SparkSession, root: str) -> DataFrame:
     return rollup.module_rollup(live_symbols(spark, root, "kind"), "graphite_core::core")[0].select("module", "depth", "symbols")
 
 
+@query()
+def o53_scoped_edges(spark: SparkSession, root: str) -> DataFrame:
+    """Edges between the modules right below each module."""
+    return rollup.scoped_edges(live_symbols(spark, root, "kind"), graph_edges(spark, root))
+
+
 @query(f"WITH {LIVE} SELECT module, fqdn AS representative FROM live WHERE module IS NOT NULL QUALIFY row_number() OVER (PARTITION BY module ORDER BY entry_point IS NULL, NOT coalesce(visibility = 'public', false), len(string_split(fqdn, '::')), fqdn) = 1")
 def o54_module_representative(spark: SparkSession, root: str) -> DataFrame:
     return rollup.representative(live_symbols(spark, root, "module", "entry_point", "visibility"))

@@ -162,3 +162,14 @@ def test_empty_tables(spark):
     s, e = spark.createDataFrame([], S), spark.createDataFrame([], E)
     assert neighbors.summary(s, e).count() == 0 and resolve.sweep(s, e).count() == 0 and position.outline(s).count() == 0
     assert graph.neighbourhood(spark.createDataFrame([], "focal string"), e, s).count() == 0
+
+
+def test_scoped_edges(spark):
+    s = syms(spark, *({"fqdn": x, "kind": "module"} for x in ("p", "p::a", "p::b", "p::a::c", "p::a::d")), *({"fqdn": x} for x in ("p::a::f", "p::b::g", "p::a::c::h", "p::a::d::i", "p::k")))
+    e = spark.createDataFrame([("primary", n, a, "CALLS", None, t is not None, t, None) for n, (a, t) in enumerate((("p::a::f", "p::b::g"), ("p::a::c::h", "p::b::g"), ("p::a::c::h", "p::a::d::i"), ("p::k", "p::b::g"), ("p::a::f", "p::a::f"), ("p::b::g", None)))], E)
+    r = {tuple(x) for x in rollup.scoped_edges(s, e).collect()}
+    assert {x for x in r if x[3] == "cross"} == {("p", "p::a", "p::b", "cross", "CALLS", 2), ("p::a", "p::a::c", "p::a::d", "cross", "CALLS", 1)}
+    assert {x[:3] for x in r if x[3] == "parent_child"} == {("p", "p", "p::a"), ("p", "p", "p::b"), ("p::a", "p::a", "p::a::c"), ("p::a", "p::a", "p::a::d")}
+    deep = syms(spark, {"fqdn": "q::x::m", "kind": "module"}, {"fqdn": "q::y::n", "kind": "module"})
+    cross = spark.createDataFrame([("primary", 1, "q::x::m", "CALLS", None, True, "q::y::n", None)], E)
+    assert ("q", "q::x", "q::y", "cross", "CALLS", 1) in {tuple(x) for x in rollup.scoped_edges(deep, cross).collect()}
