@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import accumulate
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -141,24 +144,23 @@ def jaro_winkler_many(query: str, table: np.ndarray, lengths: np.ndarray, boost_
 # -- source slices ---------------------------------------------------------------------------------------------------
 
 
+#: A line that says nothing about the code below it: blank, a line comment, the inside of a comment block, or a whole block.
+_QUIET = re.compile(r"[^\S\n]*(?:(?P<attr>#!?\[)[^\n]*|//[^\n]*|/\*.*?(?:\*/[^\n]*|\Z)|\*(?!/)[^\n]*)?(?:\n|\Z)", re.S)
+
+
 def leading_noise(lines: list[str]) -> int:
-    """How many leading lines are comments, attributes (with balanced continuation lines) or blank."""
-    i, depth, block = 0, 0, False
-    for i, raw in enumerate(lines):
-        s = raw.lstrip()
-        if block:
-            block = "*/" not in s
-        elif depth > 0:
-            depth += sum(raw.count(c) for c in "([") - sum(raw.count(c) for c in ")]")
-        elif not s or s.startswith("//"):
-            pass
-        elif s.startswith("/*"):
-            block = "*/" not in s
-        elif s.startswith(("#[", "#![")):
-            depth += sum(raw.count(c) for c in "([") - sum(raw.count(c) for c in ")]")
-        elif not (s.startswith("*") and not s.startswith("*/")):
-            return i
-    return len(lines)
+    """How many leading lines are comments, blank, or attributes with the lines on which their brackets stay open."""
+    text = "\n".join(lines)
+    balance = list(accumulate(len(re.findall(r"[(\[]", s)) - len(re.findall(r"[)\]]", s)) for s in lines))
+    at = n = 0
+    while n < len(lines) and (m := _QUIET.match(text, at)):
+        last = n + m.group().rstrip("\n").count("\n")
+        if m.group("attr"):
+            before = balance[n - 1] if n else 0
+            last = next((k for k in range(last, len(lines)) if balance[k] <= before), len(lines) - 1)
+        at += sum(len(s) + 1 for s in lines[n : last + 1])
+        n = last + 1
+    return n
 
 
 _PIECES = re.compile(r"(?P<line>//[^\n]*)|(?P<block>/\*.*?(?:\*/|\Z))|(?P<raw>(?<![A-Za-z0-9_])b?r(?P<h>#*)\".*?(?:\"(?P=h)|\Z))|(?P<str>\"(?:\\.|[^\"\\])*(?:\"|\Z))|(?P<tpl>`(?:\\.|[^`\\])*(?:`|\Z))", re.S)
@@ -178,39 +180,32 @@ def collapse_blanks(body: str) -> str:
     return "\n".join(out)
 
 
-def _indent(s: str) -> str:
-    return s[: len(s) - len(s.lstrip(" \t"))]
+_LEAD = re.compile(r"[ \t]*")
 
 
 def compact_indent(lines: list[str]) -> tuple[str, int, str]:
-    """(text, width of the common indent taken away, unit): what is left in steps of four or else two blanks becomes tabs;
-    mixed or odd indents stay as they are with an empty unit."""
-    full = [s for s in lines if s.strip()]
-    common = _indent(full[0]) if full else ""
-    for s in full[1:]:
-        w = _indent(s)
-        n = 0
-        while n < min(len(common), len(w)) and common[n] == w[n]:
-            n += 1
-        common = common[:n]
-    cut = [s[len(common) :] if s.startswith(common) else "" for s in lines]
-    leads = [w for s in cut if s.strip() and (w := _indent(s))]
-    if any(" " in w and "\t" in w for w in leads):
-        return "\n".join(cut), len(common), ""
-    spaces = [len(w) for w in leads if w[0] == " "]
-    if leads and not spaces:
-        return "\n".join(cut), len(common), "\t"
-    if not spaces or len(spaces) != len(leads):
-        return "\n".join(cut), len(common), ""
-    unit = next((k for k in (4, 2) if all(n % k == 0 for n in spaces)), 0)
-    if not unit:
-        return "\n".join(cut), len(common), ""
-    return "\n".join("\t" * (len(_indent(s)) // unit) + s[len(_indent(s)) // unit * unit :] if _indent(s).startswith(" ") else s for s in cut), len(common), "\t"
+    """(text, width of the common indent taken away, unit): the indent all inked lines share goes; if what is left consists
+    of blanks whose widths have a common measure of four or two, it becomes tabs; anything else stays, with an empty unit."""
+    common = commonprefix([_LEAD.match(s).group() for s in lines if s.strip()])
+    bare = [s.removeprefix(common) if s.startswith(common) else "" for s in lines]
+    leads = {_LEAD.match(s).group() for s in bare if s.strip()} - {""}
+    kinds = set("".join(leads))
+    if kinds == {"\t"}:
+        return "\n".join(bare), len(common), "\t"
+    measure = math.gcd(*map(len, leads)) if kinds == {" "} else 0
+    step = 4 if measure and measure % 4 == 0 else 2 if measure and measure % 2 == 0 else 0
+    if not step:
+        return "\n".join(bare), len(common), ""
+    return re.sub(rf"(?m)^(?: {{{step}}})+", lambda m: "\t" * (len(m.group()) // step), "\n".join(bare)), len(common), "\t"
+
+
+#: Lines end here, as in the JVM-side slices, and nowhere else.
+_BREAK = re.compile(r"\r?\n")
 
 
 def slice_body(content: str, start: int, end: int, max_lines: int | None = None, strip_attrs: bool = False, signature_only: bool = False, strip_inline: bool = False, collapse: bool = False) -> dict:
     """Lines ``start`` to ``end`` (from 1) of a file, options applied in fixed order; out of range gives an empty body."""
-    lines = content.splitlines()[max(0, start - 1) : end]
+    lines = _BREAK.split(content)[max(0, start - 1) : end]
     total = len(lines)
     noise = leading_noise(lines) if strip_attrs else 0
     rest, cut = lines[noise:], False
