@@ -33,8 +33,8 @@ SCHEMA = (
     "target string, attribute string, start_line int, end_line int, entry_point string, body_hash string, args array<struct<value:string,is_string_literal:boolean>>"
 )
 _COLS = [c.split()[0] for c in SCHEMA.split(", ")]
-#: Derives and the traits they stand for; wrappers that are transparent for method calls.
-DERIVES = {d: d for d in ("Clone", "Copy", "Debug", "Default", "Eq", "Hash", "Ord", "PartialEq", "PartialOrd")}
+#: Derives and the traits they stand for (traits without methods give no edge); wrappers that are transparent for method calls.
+DERIVES = {d: d for d in ("Clone", "Debug", "Default", "Deserialize", "Hash", "Ord", "PartialEq", "PartialOrd", "Serialize")}
 TRANSPARENT = frozenset(("Arc", "Rc", "Box"))
 #: Names of the language's own objects, which no REFERENCES edge leads to.
 JS_GLOBALS = frozenset("console window document globalThis self undefined NaN Infinity Math Date Object Array Number String Boolean JSON RegExp Symbol Error TypeError RangeError Map Set WeakMap WeakSet Promise Proxy Reflect parseInt parseFloat isNaN isFinite encodeURI encodeURIComponent decodeURI decodeURIComponent".split())

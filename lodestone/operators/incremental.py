@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from lodestone.functions.expr import glob_to_regex
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """The snapshot after writing ``new`` over ``old`` by key; columns of ``keep`` stay as they were where they were set.
-    Repeated rows are one row; several new rows of a key: the greatest by all columns. ``max_by`` folds before the shuffle."""
+
+    Of several new rows of a key the last by ``order`` wins (columns of ``new``, which needn't be stored), then the greatest
+    by all columns, compared one after the other, nulls least. Repeated rows are one row. ``max_by`` folds before the
+    shuffle."""
     cols = [c for c in old.columns if c not in key]
-    both = old.withColumn("__gen", F.lit(0)).unionByName(new.select(*old.columns).withColumn("__gen", F.lit(1)))
-    order = F.struct("__gen", F.xxhash64(*cols)) if cols else F.struct("__gen")
-    agg = both.groupBy(*key).agg(F.max_by(F.struct(*cols) if cols else F.struct(F.lit(0)), order).alias("__r"), *[F.max(F.when(F.col("__gen") == 0, F.col(c))).alias(f"__k_{c}") for c in keep])
+    rank = F.struct(*[F.col(c) for c in order]) if order else F.struct(F.lit(0).alias("none"))
+    both = old.withColumn("__gen", F.lit(0)).withColumn("__order", F.lit(None)).unionByName(new.select(*old.columns, F.lit(1).alias("__gen"), rank.alias("__order")))
+    by = F.struct("__gen", "__order", *cols)
+    agg = both.groupBy(*key).agg(F.max_by(F.struct(*cols) if cols else F.struct(F.lit(0)), by).alias("__r"), *[F.max(F.when(F.col("__gen") == 0, F.col(c))).alias(f"__k_{c}") for c in keep])
     return agg.select(*key, *[F.coalesce(f"__k_{c}", F.col("__r")[c]).alias(c) if c in keep else F.col("__r")[c].alias(c) for c in cols]).select(*old.columns)
 
 

@@ -8,13 +8,17 @@ written by a run that holds the lease numbered ``token``. Lease numbers grow, so
 among the entries of one item only that of the greatest *committed* token counts, a stale writer's entry is rejected
 whenever it arrives. A lease is committed once its run has succeeded; it is live while the run is unfinished and younger
 than ``lease_ms``; otherwise (failed, aborted, never reported, or unlisted) it has expired and its items are pending again.
+
+:class:`Ledger` keeps such a ledger in a shared folder. Tokens and outcomes are files created only if they don't exist, so
+two coordinators never share a token and a lease has one outcome; entries and results lie at paths made from the token.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import cut
@@ -61,55 +65,144 @@ def ledger_states(items: DataFrame, entries: DataFrame, leases: DataFrame) -> Da
     )
 
 
-def output_path(base: str, item: Column, version: Column) -> Column:
-    """Where the result of a work item goes: a function of item and version alone, so a retry overwrites itself."""
-    return F.concat(F.lit(base.rstrip("/") + "/part="), F.sha2(F.concat_ws("\u0000", item, version), 256))
+FENCED = "fenced"
 
 
 class Ledger:
-    """A ledger kept as Parquet in a shared folder: ``leases/`` and ``entries/`` are append-only, one file set per write.
+    """A ledger in a shared folder.
+
+    ``leases/<token>``       when the lease was taken; created exclusively, which also hands out the token
+    ``outcomes/<token>``     how it ended; created exclusively, so the first word on a lease is the last
+    ``entries/t=<token>``    its items, ``results/t=<token>`` what its run wrote: paths made from the token alone, so a retry
+                             overwrites its own output and nobody else's
+    ``compact/c=<token>``    the deciding entries of all leases up to that token
 
-    The three verbs are ``lease`` (take pending items under a new token), ``commit`` (mark the lease done) and
-    ``states``. One coordinator (the driver) hands out tokens; writers only append, so two of them can't clobber a file.
+    Whoever takes over the items of an expired lease first gives that lease the outcome ``fenced``: its stale writer can
+    then neither commit nor write results. The file system must create files atomically (HDFS, local disks, object stores
+    with conditional writes).
     """
 
+    ENTRY = "item string, version string, token bigint, at_ms bigint"
+
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    # -- files ---------------------------------------------------------------------------------------------------------
+
+    def _path(self, name: str):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
-        return self.spark.createDataFrame([], schema)
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _create(self, name: str, content: dict) -> bool:
+        """Write a small file unless it is there already: False if it is."""
+        p, fs = self._path(name)
+        if fs.exists(p):
+            return False
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(json.dumps(content).encode())
+        out.close()
+        return True
+
+    def _numbers(self, name: str, prefix: str = "") -> list[int]:
+        """Tokens that have a file or finished folder below ``name``: one per run, however many items a run holds."""
+        p, fs = self._path(name)
+        if not fs.exists(p):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(p)]
+        found = [n[len(prefix) :] for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit()]
+        return sorted(int(n) for n in found if not prefix or fs.exists(self._path(f"{name}/{prefix}{n}/_SUCCESS")[0]))
+
+    def _folders(self, name: str, tokens: list[int], schema: str, prefix: str = "t=") -> DataFrame:
+        if not tokens:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.base}/{name}/{prefix}{t}" for t in tokens])
+
+    # -- views ---------------------------------------------------------------------------------------------------------
 
     def leases(self) -> DataFrame:
-        return self._read("leases", "run_id bigint, started_ms bigint, finished_ms bigint, status string")
+        """run_id, started_ms, finished_ms, status of every lease: one small file each, read in one job."""
+        schema = "started_ms bigint, finished_ms bigint, status string"
+
+        def read(name: str) -> DataFrame:
+            ids = self._numbers(name)
+            if not ids:
+                return self.spark.createDataFrame([], "run_id bigint, " + schema)
+            d = self.spark.read.schema(schema).json([f"{self.base}/{name}/{t}" for t in ids])
+            return d.select(F.regexp_extract(F.input_file_name(), r"/(\d+)$", 1).cast("bigint").alias("run_id"), "started_ms", "finished_ms", "status")
+
+        ends = read("outcomes").select("run_id", "finished_ms", "status")
+        return read("leases").select("run_id", "started_ms").join(ends, "run_id", "left").select("run_id", "started_ms", "finished_ms", "status")
 
     def entries(self) -> DataFrame:
-        return self._read("entries", "item string, version string, token bigint, at_ms bigint")
+        done = max(self._numbers("compact", "c="), default=0)
+        rest = self._folders("entries", [t for t in self._numbers("entries", "t=") if t > done], self.ENTRY)
+        return rest.unionByName(self._folders("compact", [done], self.ENTRY, "c=")) if done else rest
 
     def states(self, items: DataFrame, now_ms: int, lease_ms: int) -> DataFrame:
         return ledger_states(items, self.entries(), lease_states(self.leases(), now_ms, lease_ms))
 
+    def results(self, schema: str) -> DataFrame:
+        """Rows written under committed leases; those of other leases don't exist for readers."""
+        won = {r.run_id for r in self.leases().where("status = 'succeeded'").select("run_id").collect()}
+        return self._folders("results", [t for t in self._numbers("results", "t=") if t in won], schema)
+
+    # -- verbs ---------------------------------------------------------------------------------------------------------
+
     def lease(self, items: DataFrame, now_ms: int, lease_ms: int) -> tuple[int, DataFrame]:
-        """Take every pending item: returns the token and the leased rows (cut from their lineage, so that a recomputed
-        task can't see the lease it is part of)."""
-        token = (self.leases().agg(F.max("run_id")).first()[0] or 0) + 1
-        taken = cut(self.states(items, now_ms, lease_ms).where(F.col("state") == PENDING).drop("state", "token"))
-        row = self.spark.createDataFrame([(token, now_ms, None, None)], "run_id bigint, started_ms bigint, finished_ms bigint, status string")
-        row.coalesce(1).write.mode("append").parquet(f"{self.base}/leases")
-        taken.select("item", "version", F.lit(token).cast("bigint").alias("token"), F.lit(now_ms).cast("bigint").alias("at_ms")).write.mode("append").parquet(f"{self.base}/entries")
+        """Take every pending item: returns the token and the leased rows, read back from the token's own folder joined with
+        ``items``' columns (cut from their lineage, so that a recomputed task can't see the lease it is part of)."""
+        token = max(self._numbers("leases"), default=0) + 1
+        while not self._create(f"leases/{token}", {"started_ms": now_ms}):
+            token += 1
+        known = self.leases()
+        for r in known.where((F.col("run_id") < token) & F.col("status").isNull() & (F.col("started_ms") + lease_ms <= now_ms)).select("run_id").collect():
+            self._create(f"outcomes/{r.run_id}", {"finished_ms": now_ms, "status": FENCED})
+        # A smaller lease that is live but hasn't written its entries yet may be about to take anything: leave all to it.
+        written, ended = set(self._numbers("entries", "t=")), set(self._numbers("outcomes"))
+        busy = any(t < token and t not in written and t not in ended for t in self._numbers("leases") if t > max(self._numbers("compact", "c="), default=0))
+        pending = self.states(items, now_ms, lease_ms).where(F.col("state") == PENDING).drop("state", "token")
+        taken = cut(pending.limit(0) if busy else pending)
+        taken.select("item", "version", F.lit(token).cast("bigint").alias("token"), F.lit(now_ms).cast("bigint").alias("at_ms")).write.mode("overwrite").parquet(f"{self.base}/entries/t={token}")
         return token, taken
 
-    def commit(self, token: int, now_ms: int, status: str = "succeeded") -> bool:
-        """Report the end of a lease. A token that a later lease has overtaken on expiry may still commit: fencing is per
-        item, so its entries count only where no greater committed token exists."""
-        if self.leases().where((F.col("run_id") == token) & F.col("status").isNotNull()).limit(1).count():
+    def write(self, token: int, rows: DataFrame) -> bool:
+        """Results of a lease at its own path, overwritten by a retry; False once the lease has an outcome."""
+        if token in self._numbers("outcomes"):
             return False
-        self.spark.createDataFrame([(token, None, now_ms, status)], "run_id bigint, started_ms bigint, finished_ms bigint, status string").coalesce(1).write.mode("append").parquet(f"{self.base}/leases")
+        rows.write.mode("overwrite").parquet(f"{self.base}/results/t={token}")
         return True
 
+    def commit(self, token: int, now_ms: int, status: str = "succeeded") -> bool:
+        """Report the end of a lease; False if it has ended already, also by being fenced when a later lease took its items."""
+        return token in self._numbers("leases") and self._create(f"outcomes/{token}", {"finished_ms": now_ms, "status": status})
+
+    def compact(self) -> int | None:
+        """Fold the entries of the leases up to the last one before any undecided lease into one folder with one entry per
+        item; returns that token. Older folders go only after the new one is complete, so readers and retries see either."""
+        leased, ended = self._numbers("leases"), set(self._numbers("outcomes"))
+        upto = 0
+        for t in leased:
+            if t not in ended:
+                break
+            upto = t
+        before = max(self._numbers("compact", "c="), default=0)
+        if upto <= before:
+            return None
+        won = self.leases().where("status = 'succeeded'").select(F.col("run_id").alias("token"))
+        kept = self.entries().where(F.col("token") <= upto).join(won, "token", "left_semi")
+        one = kept.groupBy("item").agg(F.max_by(F.struct("version", "token", "at_ms"), F.struct("token", "at_ms", "version")).alias("r")).select("item", "r.*")
+        one.write.mode("overwrite").parquet(f"{self.base}/compact/c={upto}")
+        for name in [f"entries/t={t}" for t in leased if t <= upto] + ([f"compact/c={before}"] if before else []):
+            p, fs = self._path(name)
+            fs.delete(p, True)
+        return upto
+
 
 def current_versions(files: DataFrame) -> DataFrame:
     """The current version of each path: item (canonical path), version (canonical hash), path and content_hash as stored.
@@ -135,8 +228,3 @@ def scan_entries(processed: DataFrame) -> DataFrame:
 def file_states(spark: SparkSession, root: str) -> DataFrame:
     """Ledger state of the current version of each file."""
     return ledger_states(current_versions(table(spark, root, "files")), scan_entries(table(spark, root, "processed_files")), lease_states(table(spark, root, "scan_runs")))
-
-
-def stable_id(*parts: str) -> str:
-    """Driver-side twin of :func:`output_path`'s last part."""
-    return hashlib.sha256("\u0000".join(parts).encode()).hexdigest()

@@ -64,19 +64,21 @@ def search(docs: DataFrame, key: list[str], text: Column, requests: DataFrame, l
     stats = docs.select(F.size(expr.search_terms(text)).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))
     req = requests.select("request_id", F.array_distinct(expr.search_terms(F.col("query"))).alias("terms"), F.filter(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"), lambda x: F.contains(x, F.lit("_"))).alias("phrases"))
     terms = req.select("request_id", F.size("terms").alias("want"), F.explode("terms").alias("term"))
-    hits = post.join(F.broadcast(terms), "term")
-    df = post.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    hits = post.join(terms, "term")
+    df = post.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    scored = hits.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
-    per = scored.groupBy("request_id", *key).agg(F.sum(part).alias("score"), F.count("*").alias("have"), F.first("want").alias("want"))
+    per = scored.groupBy("request_id", *key).agg(F.sum(part).alias("score"), F.count("*").alias("have"), F.first("want").alias("want")).withColumn("all_terms", F.col("have") == F.col("want"))
+    # Only the hits of requests with phrases meet the texts again.
     phrased = req.where(F.size("phrases") > 0).select("request_id", "phrases")
     padded = docs.select(*key, F.concat(F.lit(" "), F.array_join(expr.search_terms(text), " "), F.lit(" ")).alias("flat"))
-    per = per.join(F.broadcast(phrased), "request_id", "left").join(padded, key)
-    adjacent = F.forall(F.coalesce("phrases", F.array().cast("array<string>")), lambda p: F.contains(F.col("flat"), F.concat(F.lit(" "), F.array_join(F.filter(F.split(p, "_"), lambda x: x != ""), " "), F.lit(" "))))
-    per = per.where(adjacent).drop("flat", "phrases").withColumn("all_terms", F.col("have") == F.col("want"))
-    best = per.withColumn("any_full", F.max(F.col("all_terms").cast("int")).over(Window.partitionBy("request_id")))
-    kept = best.where(F.col("all_terms") | (F.col("any_full") == 0))
+    adjacent = F.forall("phrases", lambda p: F.contains(F.col("flat"), F.concat(F.lit(" "), F.array_join(F.filter(F.split(p, "_"), lambda x: x != ""), " "), F.lit(" "))))
+    checked = per.join(phrased, "request_id").join(padded, key).where(adjacent).select(*per.columns)
+    per = per.join(phrased.select("request_id"), "request_id", "left_anti").select(*per.columns).unionByName(checked)
+    # Whether a request has a full hit is a partial aggregate, so no task gathers all hits of a common word.
+    full = per.groupBy("request_id").agg(F.max("all_terms").alias("any_full"))
+    kept = per.join(full, "request_id").where(F.col("all_terms") | ~F.col("any_full"))
     # Equal scores may differ in their last bits by the order of summation; ties go by key.
     return first_per(kept, ["request_id"], [F.desc(F.round("score", 9)), *key], limit).select("request_id", *key, F.round("score", 6).alias("score"), "rank")
 

@@ -64,14 +64,16 @@ def textual_callers(requests: DataFrame, calls: DataFrame, known: DataFrame, cap
 
     requests: fqdn, name. known: fqdn, from_fqdn of resolved callers. A name may stand anywhere in the text, so each
     distinct text is cut into all its substrings of the lengths that occur, and those are joined by equality; per request
-    the ``fetch`` oldest sites are looked at, then one per caller, at most ``cap``.
+    the ``fetch`` oldest sites are looked at, then one per caller, at most ``cap``. Those are among the ``fetch`` oldest
+    sites of each text, and only these meet the requests, however often a text occurs.
     """
     r = requests.where("length(trim(name)) > 0").select("fqdn", F.trim("name").alias("name"))
     sizes = r.groupBy().agg(F.sort_array(F.collect_set(F.length("name"))).alias("sizes"))
     texts = calls.where("callee_text is not null").select("callee_text").distinct().crossJoin(F.broadcast(sizes))
     cuts = texts.select("callee_text", F.explode("sizes").alias("n")).where(F.col("n") <= F.length("callee_text"))
     grams = cuts.select("callee_text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("callee_text") - F.col("n") + 1), lambda i: F.substring(F.col("callee_text"), i, F.col("n"))))).alias("name"))
-    hits = grams.join(r, "name").join(calls.select("callee_text", "from_fqdn", "id"), "callee_text")
+    oldest = first_per(calls.where("callee_text is not null").select("callee_text", "from_fqdn", "id"), ["callee_text"], ["id"], fetch).drop("rank")
+    hits = grams.join(r, "name").join(oldest, "callee_text")
     seen = first_per(hits, ["fqdn"], ["id"], fetch).drop("rank").where(F.col("from_fqdn").isNotNull() & (F.col("from_fqdn") != F.col("fqdn")))
     fresh = seen.join(known.select("fqdn", "from_fqdn").distinct(), ["fqdn", "from_fqdn"], "left_anti")
     once = fresh.groupBy("fqdn", "from_fqdn").agg(F.min("id").alias("id"))

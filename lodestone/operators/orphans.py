@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.heavy import skew_safe_semi
+from lodestone.operators.heavy import hot_keys, skew_safe_semi
 from lodestone.sources.tables import month, table
 
 ANY, BY_ID = "*", "#"
@@ -51,13 +51,13 @@ def parent_keys(symbols: DataFrame) -> DataFrame:
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """The references whose (scope, key) no parent has, one row per stored reference.
 
-    A null scope matches no workspace, so such a reference is an orphan. The distinct keys shrink map-side before the
-    anti-join's shuffle; the join back goes through :func:`skew_safe_semi`, so an orphan key that holds a third of all
-    references is spread over all tasks.
+    A null scope matches no workspace, so such a reference is an orphan. The keys fold to one row with its count map-side
+    before the anti-join's shuffle; the join back goes through :func:`skew_safe_semi`, which spreads an orphan key that
+    holds a third of all references over all shuffle partitions.
     """
-    keys = refs.select(F.coalesce("scope", F.lit("")).alias("scope"), "key").distinct()
+    keys = refs.groupBy(F.coalesce("scope", F.lit("")).alias("scope"), "key").agg(F.count("*").alias("n"))
     orphans = keys.join(parents.where("scope is not null"), ["scope", "key"], "left_anti")
-    return skew_safe_semi(refs.withColumn("scope", F.coalesce("scope", F.lit(""))), orphans, ["scope", "key"], spread=F.col("record_id"))
+    return skew_safe_semi(refs.withColumn("scope", F.coalesce("scope", F.lit(""))), orphans, ["scope", "key"], spread=F.col("record_id"), hot=hot_keys(orphans, ["scope", "key"]))
 
 
 def graph_orphans(spark: SparkSession, root: str) -> DataFrame:

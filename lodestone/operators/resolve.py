@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import expr
+from lodestone.session import cut
 
 BUILTIN = "<builtin>::"
 
@@ -120,13 +121,15 @@ def local_names(uses: DataFrame, scopes: DataFrame, bindings: DataFrame) -> Data
     """use_id, target: names looked up through the scope chain, innermost scope first, in one scope the latest binding.
 
     scopes: module, scope_idx, parent_idx; bindings: module, scope_idx, ordinal, name, target; uses: use_id, module,
-    scope_idx, name. Chains are climbed one parent per round by a join, at most 32 deep.
+    scope_idx, name. Chains are climbed one parent per round by a join, at most 32 deep; each round is written to the shared
+    folder, so none is worked out again.
     """
     at = uses.select("use_id", "module", "name", F.col("scope_idx").alias("cur"), F.lit(0).alias("up"))
     chain = at
     step = scopes.select("module", F.col("scope_idx").alias("cur"), "parent_idx")
     for _ in range(32):
         at = at.join(step, ["module", "cur"]).where("parent_idx is not null and parent_idx <> cur").select("use_id", "module", "name", F.col("parent_idx").alias("cur"), (F.col("up") + 1).alias("up"))
+        at = cut(at)
         if at.isEmpty():
             break
         chain = chain.unionByName(at)

@@ -33,13 +33,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """Folder that all executors see: ``spark.checkpoint.dir``. Where that is unset, a local master (tests) gets a folder of
+    its own; anywhere else this raises, since other machines wouldn't see it."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return str(jsc.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     path = tempfile.mkdtemp(prefix="lodestone-")
     spark.sparkContext.setCheckpointDir(path)
     return path

@@ -63,8 +63,11 @@ def distinct_calls(spark: SparkSession, root: str, *cols: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, root: str, *more: str) -> DataFrame:
     """Edges with their target worked out anew: ``target`` is the live symbol that to_symbol_id names (``resolved``), else
-    the text of to_unresolved, else to_fqdn demoted to text. Deletes and renames therefore need no update of edges."""
+    the text of to_unresolved, else to_fqdn demoted to text. Deletes and renames therefore need no update of edges.
+
+    Most edges have no to_symbol_id: the join's second key scatters those, so that null isn't one hash partition."""
     e = distinct_edges(spark, root, "workspace_id", "from_fqdn", "kind", "to_symbol_id", "to_fqdn", "to_unresolved", *more)
     ids = live_symbols(spark, root, "symbol_id").select(F.col("symbol_id").alias("to_symbol_id"), F.col("fqdn").alias("live_fqdn"))
-    j = e.join(ids, "to_symbol_id", "left")
+    e = e.withColumn("__scatter", F.when(F.col("to_symbol_id").isNull(), F.xxhash64("edge_id")).otherwise(F.lit(0)))
+    j = e.join(ids.withColumn("__scatter", F.lit(0).cast("bigint")), ["to_symbol_id", "__scatter"], "left").drop("__scatter")
     return j.withColumn("resolved", F.col("live_fqdn").isNotNull()).withColumn("target", F.coalesce("live_fqdn", "to_unresolved", "to_fqdn")).drop("live_fqdn")

@@ -40,6 +40,47 @@ def test_ledger_hands_out_each_item_once_and_again_after_a_failure(spark, tmp_pa
     assert one == 1
 
 
+def test_stale_writer_is_fenced_and_retries_overwrite_their_own(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    items = spark.createDataFrame([("a", "1"), ("b", "1")], "item string, version string")
+    old, _ = book.lease(items, 0, 100)
+    assert book.write(old, items.withColumn("by", F.lit("old")))
+    new, taken = book.lease(items, 150, 100)
+    assert taken.count() == 2
+    assert not book.commit(old, 160) and not book.write(old, items.withColumn("by", F.lit("stale")))
+    for _ in range(2):  # a retry
+        assert book.write(new, taken.withColumn("by", F.lit("new")))
+    assert book.results("item string, version string, by string").count() == 0  # nothing is committed yet
+    assert book.commit(new, 170)
+    assert sorted(tuple(r) for r in book.results("item string, version string, by string").collect()) == [("a", "1", "new"), ("b", "1", "new")]
+    assert book.compact() == new and book.compact() is None
+    assert {r.state for r in book.states(items, 200, 100).collect()} == {"done"}
+    assert not book.commit(99, 1)  # never leased
+
+
+def test_two_coordinators_get_two_tokens(spark, tmp_path):
+    a, b = (ledger.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    items = spark.createDataFrame([("a", "1")], "item string, version string")
+    seen = a._numbers
+    first, got = a.lease(items, 0, 100)
+    b._numbers = lambda name, prefix="": [] if name == "leases" and b.stale else seen(name, prefix)  # reads before a's file was there
+    b.stale = True
+    token = None
+    orig = b._create
+    def create(name, content):
+        ok = orig(name, content)
+        b.stale = b.stale and not ok
+        return ok
+    b._create = create
+    token, none = b.lease(items, 10, 100)
+    assert (first, token) == (1, 2) and got.count() == 1 and none.count() == 0
+    # A coordinator that has its token but no entries yet: the next one leaves everything to it until that lease expires.
+    assert a._create("leases/3", {"started_ms": 20})
+    more = items.unionByName(spark.createDataFrame([("z", "1")], "item string, version string"))
+    assert a.lease(more, 30, 100)[1].count() == 0
+    assert {r.item for r in a.lease(more, 500, 100)[1].collect()} == {"a", "z"}
+
+
 def test_current_versions_and_paths(spark):
     f = spark.createDataFrame([("a/b.rs", "AB", 1), ("./a/b.rs", "cd", 2), ("a\\c.rs", None, 1), (None, "x", 9), ("ws:1:./q//r.rs", "e", 1), ("ws:1:./q//r.rs", "e", 1)], "path string, content_hash string, last_scanned_ms bigint")
     got = {r.item: (r.version, r.path) for r in ledger.current_versions(f).collect()}
@@ -82,6 +123,26 @@ def test_orphans_against_brute_force(spark):
     assert empty.count() == 0 and orphans.orphan_report(empty).count() == 0
 
 
+def test_many_heavy_keys_are_all_found(spark):
+    rows = [(f"k{i % 700}",) for i in range(35_000)] + [(f"x{i}",) for i in range(15_000)]
+    df = spark.createDataFrame(rows, "k string")
+    got = {r.k for r in heavy.heavy_keys(df, "k", share=0.001).collect()}
+    assert got == {f"k{i}" for i in range(700)}
+    assert heavy.sketch_size(0.001)[0] == 2000
+    for bad in (0.0, -1, 1e-9, 2):
+        with pytest.raises(ValueError):
+            heavy.sketch_size(bad)
+
+
+def test_semi_join_with_hot_keys(spark):
+    big = spark.createDataFrame([(("hot" if i % 3 else f"k{i}") if i % 7 else None, i) for i in range(3000)], "k string, i int")
+    keys = spark.createDataFrame([("hot",), ("k3",), ("none",), (None,)], "k string")
+    want = {i for i in range(3000) if i % 7 and (i % 3 or i == 3)}
+    for hot in (None, heavy.hot_keys(big.where("k is not null").groupBy("k").agg(F.count("*").alias("n")), ["k"])):
+        assert {r.i for r in heavy.skew_safe_semi(big, keys, ["k"], F.col("i"), hot).collect()} == want
+    assert heavy.skew_safe_semi(big.limit(0), keys, ["k"], F.col("i")).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 3000])
 def test_heavy_keys_and_per_key(spark, n):
     rnd = random.Random(n)
