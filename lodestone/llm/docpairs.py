@@ -34,7 +34,11 @@ SIGNATURES = {
 }
 BY_EXTENSION = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript", "mjs": "typescript", "vue": "typescript", "svelte": "typescript", "lua": "lua", "c": "c", "h": "c", "py": "python", "rb": "ruby"}
 
-_BRACES = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`|[{}]", re.S)
+_MARKS_OF = r"|=>|[{}()\[\];\n]"
+_REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/"
+#: Comments and literals, which hide marks, and the marks themselves; scripts have long strings in either quotes and patterns.
+_BRACES = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'" + _MARKS_OF, re.S)
+_SCRIPT_BRACES = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<=[(=,:;!&|?\[{}] )" + _REGEX + r"|(?<=[(=,:;!&|?\[{}\n])" + _REGEX + r"|(?<=return )" + _REGEX + _MARKS_OF, re.S)
 _ENDS = re.compile(r"--\[(=*)\[.*?(?:\]\1\]|\Z)|--[^\n]*|\[(=*)\[.*?\]\2\]|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|\b(?:function|if|do|repeat|end|until|while|for|def|class|module|begin|case|unless)\b", re.S)
 _DOC_LINE = {"rust": ("///", "//!", "/**"), "typescript": ("/**",), "c": ("/**", "/*!", "///", "//!"), "lua": ("---", "--[["), "python": ("#",), "ruby": ("#",)}
 _SKIP_LINE = re.compile(r"^\s*(?:#!?\[.*\]|@\w[\w.]*(?:\(.*\))?|//\s*(?:eslint|prettier|tslint|@ts-|NOLINT|clang-format|istanbul|biome|rustfmt|noinspection|c8|jshint|jscs|spell-?check|cspell).*|--\s*(?:luacheck|selene|stylua|@diagnostic).*|#\s*(?:noqa|pylint|type:|rubocop).*|/\*\s*(?:eslint|istanbul|jshint|global|prettier).*\*/)\s*$", re.I)
@@ -69,18 +73,40 @@ def body_end(text: str, start: int, language: str) -> int:
                 if stack <= 0:
                     return m.end()
         return len(text)
-    depth, seen = 0, False
-    for m in _BRACES.finditer(text, start):
+    stack: list[str] = []
+    arrow = False
+    for m in (_SCRIPT_BRACES if language == "typescript" else _BRACES).finditer(text, start):
         w = m.group(0)
-        if w == "{":
-            depth, seen = depth + 1, True
-        elif w == "}":
-            depth -= 1
-            if seen and depth <= 0:
+        if w in _OPENING:
+            stack.append(w)
+        elif w in _CLOSING:
+            # An unmatched mark belongs to what the function stands in.
+            if not stack:
+                return m.start()
+            while stack and stack.pop() != _CLOSING[w]:
+                pass
+            if not stack and w == "}" and not _GOES_ON.match(text, m.end()):
                 return m.end()
+        elif stack:
+            continue
+        elif w == ";":
+            return m.end()
+        elif w == "=>":
+            arrow = _BODY_BRACE.match(text, m.end()) is None
+        elif w == "\n" and arrow and not _NEXT_LINE.match(text, m.end()) and not _OPEN_LINE.search(text, max(start, m.start() - 16), m.start()):
+            return m.start()
     return len(text)
 
 
+_OPENING, _CLOSING = frozenset("([{"), {")": "(", "]": "[", "}": "{"}
+#: Behind a closing brace: a type that goes on, or the body of a function whose type was in braces.
+_GOES_ON = re.compile(r"[ \t]*(?:\{|[>|&]|=>|\[\])")
+_BODY_BRACE = re.compile(r"\s*\{")
+#: An expression without braces goes on over a line break before or behind these.
+_NEXT_LINE = re.compile(r"\s*(?:[.?:+*/%&|,=<>)\]}-]|&&|\|\||instanceof\b|in\b|as\b)")
+_OPEN_LINE = re.compile(r"(?:[.?:+*/%&|,=<>(\[{-]|=>)[ \t]*\Z")
+
+
 def comment_above(lines: list[str], at: int, language: str) -> str | None:
     """The documentation comment that ends at most GAP blank lines above line ``at``; lint and attribute lines are passed
     over on either side of it."""
@@ -110,7 +136,8 @@ def comment_above(lines: list[str], at: int, language: str) -> str | None:
 
 
 def functions(text: str, language: str, first: bool = False) -> list[tuple[str, int, int, str | None]]:
-    """(name, start, end, documentation comment) of each function of a text in text order; nested ones included."""
+    """(name, start, end, documentation comment) of each function of a text in text order; nested ones included. ``first``:
+    no more than one."""
     rx = SIGNATURES.get(language)
     if rx is None:
         return []
@@ -119,7 +146,7 @@ def functions(text: str, language: str, first: bool = False) -> list[tuple[str,
     for m in rx.finditer(text):
         start = m.start() + len(m.group(0)) - len(m.group(0).lstrip())
         doc = comment_above(lines, text.count("\n", 0, start), language)
-        out.append((next(g for g in m.groups() if g), start, 0 if first else body_end(text, start, language), doc))
+        out.append((next(g for g in m.groups() if g), start, body_end(text, start, language), doc))
         if first:
             break
     return out
@@ -235,26 +262,30 @@ def last_segment(fqdn: str | None) -> str | None:
 
 
 def documented_bodies(bodies: DataFrame, with_code: bool) -> DataFrame:
-    """workspace_id, fqdn, good (the comment that opens the body says something), doc and, on request, code: one row per
-    stored non-blank body. Narrow."""
+    """workspace_id, fqdn, good (the comment that opens the body says something), size (of the delimited function), doc and, on
+    request, code: one row per stored non-blank body. Narrow.
+
+    The function is the first signature's, from its line to the end of its body; a body without a signature is taken whole.
+    """
     spark = ship(bodies.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good, docs, codes = [], [], []
+            good, sizes, docs, codes = [], [], [], []
             for fqdn, file, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 language = BY_EXTENSION.get((file or "").rsplit(".", 1)[-1].lower(), "typescript")
-                found = functions(body, language, first=not with_code)[:1]
+                found = functions(body, language, first=True)
                 doc = found[0][3] if found else None
                 good.append(says_something(doc, last_segment(fqdn)))
                 docs.append(doc)
                 codes.append(body[found[0][1] : found[0][2]] if found else body)
-            cols = [b.column(0), b.column(1), pa.array(good, pa.bool_()), pa.array(docs, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(codes, pa.string())] if with_code else cols, ["workspace_id", "fqdn", "good", "doc", *(["code"] if with_code else [])])
+                sizes.append(len(codes[-1].strip()))
+            cols = [b.column(0), b.column(1), pa.array(good, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(docs, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(codes, pa.string())] if with_code else cols, ["workspace_id", "fqdn", "good", "size", "doc", *(["code"] if with_code else [])])
 
     d = bodies.where("fqdn is not null and body rlike '\\\\S'").select("workspace_id", "fqdn", "file", "body")
     d = spread(d, "workspace_id", "fqdn")
-    return d.mapInArrow(run, "workspace_id string, fqdn string, good boolean, doc string" + (", code string" if with_code else ""))
+    return d.mapInArrow(run, "workspace_id string, fqdn string, good boolean, size int, doc string" + (", code string" if with_code else ""))
 
 
 def telling_documents(documents: DataFrame) -> DataFrame:
@@ -277,7 +308,7 @@ def _callables(symbols: DataFrame) -> DataFrame:
 def documented(bodies: DataFrame, symbols: DataFrame, documents: DataFrame) -> DataFrame:
     """workspace_id, fqdn of each callable with a body and documentation that says something. Only keys and flags are
     shuffled; keys fold map-side before they meet."""
-    body = documented_bodies(bodies, with_code=False).groupBy("workspace_id", "fqdn").agg(F.max("good").alias("good"))
+    body = documented_bodies(bodies, with_code=False).where("size > 0").groupBy("workspace_id", "fqdn").agg(F.max("good").alias("good"))
     told = telling_documents(documents).select("workspace_id", "fqdn").distinct().withColumn("told", F.lit(True))
     both = body.join(told, ["workspace_id", "fqdn"], "left").where("good or told")
     return both.join(_callables(symbols), ["workspace_id", "fqdn"], "left_semi").select("workspace_id", "fqdn")
@@ -289,7 +320,7 @@ def pairs(bodies: DataFrame, symbols: DataFrame, documents: DataFrame) -> DataFr
     Code is the function without the comment above it. The comment in the body wins over the table; among several texts of
     the table the least by (length, text) descending, so that a run repeats itself.
     """
-    b = documented_bodies(bodies, with_code=True).groupBy("workspace_id", "fqdn").agg(F.max_by(F.struct("good", "doc", "code"), F.struct("good", F.length("code"), "code")).alias("b"))
+    b = documented_bodies(bodies, with_code=True).where("size > 0").groupBy("workspace_id", "fqdn").agg(F.max_by(F.struct("good", "doc", "code"), F.struct("good", F.length("code"), "code")).alias("b"))
     t = telling_documents(documents).groupBy("workspace_id", "fqdn").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     j = b.join(t, ["workspace_id", "fqdn"], "left").where("b.good or text is not null").join(_callables(symbols), ["workspace_id", "fqdn"], "left_semi")
     return j.select("workspace_id", "fqdn", "b.code", F.when(F.col("b.good"), F.col("b.doc")).otherwise(F.col("text")).alias("description"), F.col("b.good").alias("from_body"))

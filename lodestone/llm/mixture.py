@@ -153,7 +153,8 @@ def mix(sized: DataFrame, quota: list[tuple[str, float, int, int, float]], seed:
     """doc_id, source, tokens, copies (at least 1) of the mixture.
 
     Texts of more than ``large`` times their source's wanted tokens are decided first; the others then make up what is
-    left, so that one long text can't move a source's share. ``quota`` has a row per source and travels by broadcast.
+    left, so that one long text can't move a source's share. Both go through the same tree over all partitions: as the goal
+    is bound by the scarcest source, most texts of a small source may count as long. ``quota`` has a row per source and travels by broadcast.
     """
     spark = ship(sized.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -161,7 +162,7 @@ def mix(sized: DataFrame, quota: list[tuple[str, float, int, int, float]], seed:
     limit = spark.createDataFrame([(n, g * large) for n, g in goal.items()], "source string, most double")
     tagged = sized.join(F.broadcast(limit), "source")
     big, small = tagged.where("tokens > most"), tagged.where("tokens <= most")
-    first = _rounded(_wanted(big, [(n, c) for n, _, _, _, c in quota if c > 0]), max(1, parts // FAN_IN), seed)
+    first = _rounded(_wanted(big, [(n, c) for n, _, _, _, c in quota if c > 0]), parts, seed)
     taken = {r.source: r.n for r in first.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
     there = {r.source: r.n for r in small.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     left = [(n, min(float(cap), max(0.0, goal[n] - taken.get(n, 0)) / there[n])) for n, _, cap, _, c in quota if c > 0 and there.get(n)]

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
@@ -61,12 +62,40 @@ _GAP = re.compile(r"\n[ \t]*\n")
 _QUOTE = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 _SERIAL = re.compile(r"^\w*?[a-zA-Z]_?(\d+)$")
 
-#: Thresholds per language: longest line that hand-written code of good layout has, mean line, least share of white space.
-LAYOUT = {"javascript": (500, 160, 0.06), "typescript": (500, 160, 0.06), "css": (500, 160, 0.06)}
-LAYOUT_ELSE = (1000, 250, 0.05)
-NUMERIC, ENCODED, SERIAL, REPEATED = 0.35, 0.4, 0.6, 0.7
+class Layout(NamedTuple):
+    """What hand-written code of a language looks like: longest line; mean line; least share of white space; least and greatest
+    share of letters and digits among its ink (minified code lies below, encoded data above); greatest share of ink in numeric
+    literals and in encoded runs. Whatever says minified by white space or letters needs a line beyond the longest as well."""
+
+    longest: int
+    mean: int
+    white: float
+    dense: float
+    wordy: float
+    numeric: float
+    encoded: float
+
+
+#: Thresholds per language. Scripts are the ones that get minified, so their lines are held to be short; components carry
+#: long attribute lines; register tables and shader constants make C and Lua more numeric than the others.
+LAYOUT = {
+    "javascript": Layout(500, 160, 0.060, 0.71, 0.955, 0.35, 0.40),
+    "typescript": Layout(500, 160, 0.060, 0.71, 0.955, 0.35, 0.40),
+    "css": Layout(500, 160, 0.060, 0.66, 0.970, 0.45, 0.40),
+    "rust": Layout(700, 200, 0.050, 0.68, 0.960, 0.35, 0.40),
+    "c": Layout(700, 200, 0.050, 0.66, 0.960, 0.40, 0.40),
+    "lua": Layout(700, 200, 0.050, 0.70, 0.970, 0.40, 0.40),
+    "vue": Layout(900, 220, 0.055, 0.66, 0.960, 0.35, 0.40),
+    "svelte": Layout(900, 220, 0.055, 0.66, 0.960, 0.35, 0.40),
+}
+LAYOUT_ELSE = Layout(1000, 250, 0.05, 0.64, 0.970, 0.40, 0.40)
+SERIAL, REPEATED = 0.6, 0.7
+#: Endings of the languages that have thresholds of their own.
+BY_ENDING = {"js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "c": "c", "h": "c", "lua": "lua", "vue": "vue", "svelte": "svelte", "css": "css"}
 #: Least size of a block of code that tells a copy, and the share of a file's blocks that makes it one.
 BLOCK, COPIED = 80, 0.5
+#: Least code of a file without such blocks that is compared as a whole.
+WHOLE = 24
 
 
 def own_project(path: str, roots: list[tuple[str, str]]) -> str | None:
@@ -122,18 +151,22 @@ def layout(text: str, language: str) -> dict[str, float]:
 
 def verdict(stats: dict[str, float], language: str) -> tuple[bool, bool, bool]:
     """(minified, data, numbered like a tool's output) by layout."""
-    longest, mean, white = LAYOUT.get(language, LAYOUT_ELSE)
-    minified = stats["longest"] > longest and (stats["mean"] > mean or stats["white"] < white) or stats["mean"] > 2 * mean
-    data = stats["numeric"] > NUMERIC or stats["encoded"] > ENCODED or stats["repeated"] > REPEATED
+    t = LAYOUT.get(language, LAYOUT_ELSE)
+    long = stats["longest"] > t.longest
+    minified = long and (stats["mean"] > t.mean or stats["white"] < t.white or stats["alnum"] < t.dense) or stats["mean"] > 2 * t.mean
+    data = stats["numeric"] > t.numeric or stats["encoded"] > t.encoded or stats["repeated"] > REPEATED or long and stats["alnum"] > t.wordy
     return minified and not data, data, stats["serial"] >= SERIAL
 
 
 def blocks(text: str) -> list[int]:
     """64-bit hashes of the blocks of code between blank lines, without comments and white space; short ones, which files
-    share by chance, are left out."""
+    share by chance, are left out. A file of short blocks only has one hash, that of all its code, if that isn't tiny."""
     m = _LEAD.match(text)
     code = _COMMENTS.sub("", text[m.end() :] if m else text).replace("\r\n", "\n").replace("\r", "\n")
-    flat = (_BLANKS.sub("", x) for x in _GAP.split(code))
+    flat = [_BLANKS.sub("", x) for x in _GAP.split(code)]
+    if all(len(x) < BLOCK for x in flat):
+        flat = ["whole:" + x for x in ["".join(flat)] if len(x) >= WHOLE]
+        return [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in flat]
     return sorted({xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in flat if len(x) >= BLOCK})
 
 
@@ -172,7 +205,8 @@ def signals(files: DataFrame, projects: DataFrame, workspaces: DataFrame) -> Dat
                     rows.append((path, tool, False, data_dir, foreign or external, []))
                     continue
                 gen, other = notice(text, own_project(path, roots.value), labels)
-                language = {"js": "javascript", "ts": "typescript"}.get(x := (lang or "").strip().lower(), x)
+                language = (lang or "").strip().lower()
+                language = language if language in LAYOUT else BY_ENDING.get(path.rsplit(".", 1)[-1].lower(), language)
                 minified, data, serial = verdict(layout(text, language), language)
                 rows.append((path, tool or gen or serial, minified, data, foreign or other or external, blocks(text)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SIGNALS.split(", ")])
@@ -195,17 +229,18 @@ def not_handwritten(files: DataFrame, symbols: DataFrame, projects: DataFrame, w
     """path, generated, minified, data, foreign, copied of each path that isn't hand-written source of its own project.
 
     A copy has a version of which at least COPIED of the blocks occur in files known to be foreign. Block hashes (never
-    texts) are joined, salted, so that a block found in a third of all files doesn't meet in one task.
+    texts) are joined, hot ones salted, so that a block found in a third of all files doesn't meet in one task. Everything
+    else is joined by path with what is grouped by path already, so these joins ask for a merge: nothing is broadcast.
     """
     sig = stored(signals(files, projects, workspaces), "signals")
     ext = external_paths(symbols).withColumn("ext", F.lit(True))
-    flags = sig.groupBy("path").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "data", "foreign")]).join(ext, "path", "left")
+    flags = sig.groupBy("path").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "data", "foreign")]).join(ext.hint("merge"), "path", "left")
     flags = flags.withColumn("foreign", F.col("foreign") | F.col("ext").isNotNull()).drop("ext")
     versions = sig.where("size(blocks) > 0").select("path", F.xxhash64("blocks").alias("version"), "blocks").dropDuplicates(["path", "version"])
-    known = versions.join(flags.select("path", "foreign"), "path")
+    known = versions.join(flags.select("path", "foreign").hint("merge"), "path")
     origin = known.where("foreign").select(F.explode("blocks").alias("block")).distinct()
     own = known.where("not foreign").select("path", "version", F.size("blocks").alias("all"), F.explode("blocks").alias("block"))
     hits = skew_safe_semi(own, origin, ["block"], spread=F.col("path"))
     copies = hits.groupBy("path", "version").agg(F.count("*").alias("hit"), F.first("all").alias("all")).where(F.col("hit") >= F.lit(COPIED) * F.col("all"))
-    flat = flags.join(copies.select("path", F.lit(True).alias("copied")).distinct(), "path", "left")
+    flat = flags.join(copies.select("path", F.lit(True).alias("copied")).distinct().hint("merge"), "path", "left")
     return flat.withColumn("copied", F.coalesce("copied", F.lit(False))).where("generated or minified or data or foreign or copied")

@@ -214,3 +214,30 @@ def test_listings_without_bullets():
     p, _, lists, n = prose.prose_chars(wrapped)
     assert p > 0.9 * n and lists == 0
     assert prose.indent_period(["a", "  b", "a", "  b"]) == 2 and prose.indent_period(["a", "b", "c", "d"]) == 0 and prose.indent_period(["  a", "b", "c", "d"]) == 0
+
+
+@pytest.mark.parametrize("language,text,want", [
+    ("typescript", "const f = (x) => x + 1;\nfunction g() { return {a: 1}; }\n", ["const f = (x) => x + 1;", "function g() { return {a: 1}; }"]),
+    ("typescript", "const h = y =>\n  y\n    .map(z => ({a: z}))\nfunction g(): { a: number } { return '}'; }\nlet q = 1;", ["const h = y =>\n  y\n    .map(z => ({a: z}))", "function g(): { a: number } { return '}'; }"]),
+    ("rust", "trait T {\n    fn decl(&self) -> u8;\n    fn next(&self) -> [u8; 4] { [0; 4] }\n}\n", ["fn decl(&self) -> u8;", "fn next(&self) -> [u8; 4] { [0; 4] }"]),
+    ("c", "static int f(int a) {\n  /* } */ return a; }\nint g(void) { }", ["static int f(int a) {\n  /* } */ return a; }", "int g(void) { }"]),
+    ("typescript", "function f(a) {\n  const r = /[{(]x/.test(a);\n  log('a } b');\n}\n", ["function f(a) {\n  const r = /[{(]x/.test(a);\n  log('a } b');\n}"]),
+])
+def test_bodies_end_where_their_marks_close(language, text, want):
+    assert [text[a:b] for _, a, b, _ in docpairs.functions(text, language)] == want
+
+
+def test_layout_of_each_language_and_short_copies(spark):
+    base64 = "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9wcXJzdHV2d3h5ejAxMjM0NTY3ODk" * 12
+    words = " ".join(f"word{i}" for i in range(200))
+    assert sources.verdict(sources.layout(f"const T = /{words.replace(' ', 'X')}/;\n", "typescript"), "typescript")[1]  # letters only, one long line
+    assert sources.verdict(sources.layout(f'let x = "{base64}";\n', "rust"), "rust")[1]
+    dense = "var a=[(b+c)*d,{e:f}];if(!g){h(i,j)||k&&l}" * 30
+    assert sources.verdict(sources.layout(dense, "javascript"), "javascript")[0] and not sources.verdict(sources.layout("let a = 1;\n" * 5, "javascript"), "javascript")[0]
+    assert set(sources.LAYOUT) >= {"rust", "typescript", "javascript", "lua", "c", "vue", "svelte"}
+    short = "int twice(int a) {\n  return 2 * a;\n}\n"
+    files = spark.createDataFrame([("vendor/t.c", short, "c", True), ("src/mine.c", "/* own words */\n" + short, "c", None), ("src/other.c", short.replace("2", "3"), "c", None)], "path string, content string, language string, is_external boolean")
+    none = spark.createDataFrame([], "file_path string, is_external boolean, source_origin string")
+    projects, ws = spark.createDataFrame([], "root_path string, label string"), spark.createDataFrame([], "workspace_id string, root_path string")
+    got = {r.path: r.copied for r in sources.not_handwritten(files, none, projects, ws).collect()}
+    assert got == {"vendor/t.c": False, "src/mine.c": True}
