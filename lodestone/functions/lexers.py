@@ -99,65 +99,95 @@ def lex_rust(s: str) -> Tokens:
     return t, b, o
 
 
-def _directives(s: str) -> tuple[str, bool]:
-    """C text without its preprocessing lines; of conditional groups the first that isn't ``#if 0`` is kept. False when
-    the conditionals don't close."""
+def _directives(s: str, pick: tuple[int, ...] = (), seen: set[tuple[int, ...]] | None = None) -> tuple[str, bool]:
+    """C text without its preprocessing lines and, of each conditional, all groups but one. False when the conditionals
+    don't close.
+
+    ``pick`` numbers the group kept at each depth of nesting (the first beyond its end); where there are fewer groups, the
+    last one is kept. A group under ``#if 0`` is never kept. ``seen`` collects the numbers of all groups met, outer first.
+    """
     if "#" not in s:
         return s, True
     out: list[str] = []
-    stack: list[list[bool]] = []
     lines = s.split("\n")
-    i, comment = 0, False
-    while i < len(lines):
-        line = lines[i]
-        m = None if comment else re.match(r"\s*#\s*(\w*)\s*(.*)", line)
-        whole = line
-        if m:
-            while whole.rstrip("\r").endswith("\\") and i + 1 < len(lines):
-                out.append(" " * len(lines[i]))
-                i += 1
-                whole = lines[i]
-            word, cond = m.group(1), m.group(2).strip()
-            if word in ("if", "ifdef", "ifndef"):
-                off = word == "if" and re.fullmatch(r"(?:0|false)\s*(?:/[/*].*)?", cond) is not None
-                stack.append([not off, not off])
-            elif word in ("elif", "else", "elifdef", "elifndef"):
-                if not stack:
-                    return s, False
-                stack[-1][0], stack[-1][1] = not stack[-1][1], True
-            elif word == "endif":
-                if not stack:
-                    return s, False
-                stack.pop()
-            rest = re.sub(r"\"(?:\\.|[^\"\\])*\"|//.*", "", line)
-            at = rest.rfind("/*")
-            if at >= 0 and "*/" not in rest[at:]:
-                comment = True
-            out.append(" " * len(lines[i]))
-        else:
-            keep = all(x[0] for x in stack)
-            bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", '""', line) if not comment else line
-            pos = 0
-            while True:
-                if comment:
-                    z = bare.find("*/", pos)
-                    if z < 0:
-                        break
-                    comment, pos = False, z + 2
-                else:
-                    a, c = bare.find("/*", pos), bare.find("//", pos)
-                    if a < 0 or 0 <= c < a:
-                        break
-                    comment, pos = True, a + 2
-            out.append(line if keep else " " * len(line))
-        i += 1
+    # First the number of groups of each conditional, so that picks beyond the last one can be told.
+    sizes: list[int] = []
+    for final in (False, True):
+        stack: list[list] = []  # [kept?, number of this group, groups that count, which conditional]
+        i, comment, nth = 0, False, 0
+        while i < len(lines):
+            line = lines[i]
+            m = None if comment else re.match(r"\s*#\s*(\w*)\s*(.*)", line)
+            if m:
+                whole, first = line, i
+                while whole.rstrip("\r").endswith("\\") and i + 1 < len(lines):
+                    i += 1
+                    whole = lines[i]
+                word, cond = m.group(1), m.group(2).strip()
+                if word in ("if", "ifdef", "ifndef"):
+                    off = word == "if" and re.fullmatch(r"(?:0|false)\s*(?:/[/*].*)?", cond) is not None
+                    if not final:
+                        sizes.append(0 if off else 1)
+                        stack.append([True, 0, 0, len(sizes) - 1])
+                    else:
+                        want = min(pick[len(stack)] if len(stack) < len(pick) else 0, sizes[nth] - 1)
+                        at = -1 if off else 0
+                        stack.append([at == want, at, want, nth])
+                    nth += 1
+                elif word in ("elif", "else", "elifdef", "elifndef"):
+                    if not stack:
+                        return s, False
+                    if not final:
+                        sizes[stack[-1][3]] += 1
+                    else:
+                        stack[-1][1] += 1
+                        stack[-1][0] = stack[-1][1] == stack[-1][2]
+                elif word == "endif":
+                    if not stack:
+                        return s, False
+                    stack.pop()
+                if final and seen is not None and word not in ("endif",) and stack and stack[-1][1] >= 0:
+                    seen.add(tuple(max(x[1], 0) for x in stack))
+                rest = re.sub(r"\"(?:\\.|[^\"\\])*\"|//.*", "", line)
+                at = rest.rfind("/*")
+                if at >= 0 and "*/" not in rest[at:]:
+                    comment = True
+                if final:
+                    out += [" " * len(x) for x in lines[first : i + 1]]
+            else:
+                bare = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", '""', line) if not comment else line
+                pos = 0
+                while True:
+                    if comment:
+                        z = bare.find("*/", pos)
+                        if z < 0:
+                            break
+                        comment, pos = False, z + 2
+                    else:
+                        a, c = bare.find("/*", pos), bare.find("//", pos)
+                        if a < 0 or 0 <= c < a:
+                            break
+                        comment, pos = True, a + 2
+                if final:
+                    out.append(line if all(x[0] for x in stack) else " " * len(line))
+            i += 1
     return "\n".join(out), not stack
 
 
-def lex_c(s: str) -> Tokens:
+def c_picks(s: str) -> list[tuple[int, ...]]:
+    """The picks under which every group of every conditional of a C text is kept at least once; ``()`` is among them."""
+    seen: set[tuple[int, ...]] = set()
+    if "#el" in s.replace(" ", "").replace("\t", ""):
+        _directives(s, seen=seen)
+    picks = [p for p in sorted(seen) if any(p) and not any(q != p and q[: len(p)] == p for q in seen)]
+    return [(), *picks]
+
+
+def lex_c(s: str, pick: tuple[int, ...] = ()) -> Tokens:
+    """Tokens of a C text with the groups of ``pick`` (see :func:`_directives`), else the first of each conditional."""
     t, b, o = [], [], []
     s = " " + s[1:] if s.startswith("\ufeff") else s
-    s, closed = _directives(s)
+    s, closed = _directives(s, pick)
     i, n, nl = 0, len(s), False
     match = _C.match
     while i < n:

@@ -82,3 +82,12 @@ def test_source_slices():
 def test_signature(spark):
     d = spark.sql("select 'f' n, named_struct('params', array(named_struct('name','a','ty','&  T','default',null), named_struct('name','b','ty',null,'default','1')), 'returns', 'R', 'is_async', true) s union all select 'g', null")
     assert [r[0] for r in d.select(expr.render_signature(F.col("n"), F.col("s"))).collect()] == ["async f(a: & T, b = 1) -> R", None]
+
+
+def test_every_group_of_a_conditional_is_in_some_variant():
+    from lodestone.functions.lexers import c_picks, lex_c
+
+    text = "#ifdef A\nint a;\n#if B\nint b;\n#elif C\nint c;\n#else\nint e;\n#endif\n#else\nint z;\n#if 0\nno 'C\n#else\nint y;\n#endif\n#endif\n#ifdef X\nint x;\n#endif\n"
+    met = {text[o : o + 1] for p in c_picks(text) for t, _, os in [lex_c(text, p)] for k, o in zip(t, os) if k == "IDENT"}
+    assert met == set("abcezyx") and c_picks(text)[0] == () and c_picks("#if A\nint a;\n#endif\n") == [()]
+    assert lex_c("#if A\nint a;\n")[0][-1] == "ERR" and lex_c("#else\n")[0][-1] == "ERR"
