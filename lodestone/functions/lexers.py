@@ -248,7 +248,7 @@ def lex_lua(s: str) -> Tokens:
     return t, b, o
 
 
-class _Script:
+class Script:
     """ECMAScript needs to know what came before: a slash divides after an operand and opens a pattern elsewhere."""
 
     def __init__(self, s: str, jsx: bool):
@@ -448,7 +448,7 @@ _BEFORE_OPERAND = frozenset("return typeof instanceof in of new delete void thro
 
 
 def lex_script(s: str, jsx: bool) -> Tokens:
-    p = _Script(s, jsx)
+    p = Script(s, jsx)
     i = 1 if s.startswith("\ufeff") else 0
     if s.startswith("#!", i):
         i = s.find("\n", i) if "\n" in s else len(s)
