@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import cached_property
 
 _PIECE = re.compile(r"\s*(?:(#[^\n]*)|'((?:[^'\\]|\\.)+)'|([A-Za-z_][A-Za-z0-9_]*)|([()/?*+&!~]))")
 EOF, ERR = "EOF", "ERR"
@@ -295,8 +296,8 @@ class Recogniser:
     def check(self, types: list[str], breaks: list[bool]) -> int:
         self.types[:] = [*types, EOF]
         self.breaks[:] = [*breaks, True]
-        if sys.getrecursionlimit() < 150_000:
-            sys.setrecursionlimit(150_000)
+        if sys.getrecursionlimit() < DEPTH:
+            sys.setrecursionlimit(DEPTH)
         for c in self.charts:
             c.clear()
         try:
@@ -306,7 +307,170 @@ class Recogniser:
                 c.clear()
             self.far[0] = 0
             self.slow[0](0)
+        except RecursionError:
+            return self.machine.check(self.types, self.breaks)
         finally:
             for c in self.charts:
                 c.clear()
         return min(self.far[0], len(types))
+
+    @cached_property
+    def machine(self) -> Machine:
+        return Machine(self)
+
+
+#: Nesting of calls up to which the compiled functions run; deeper texts go through :class:`Machine`, with the same result.
+DEPTH = 150_000
+#: Instructions: match a type, a set of types, anything but closing marks, an optional end of statement, no line break; call,
+#: return; push a point to come back to, give it up; the ends of look-aheads and repetitions; fail; done.
+_TOK, _SET, _ANY, _ASI, _NONL, _CALL, _RET, _CHOICE, _COMMIT, _BACK, _FAILTWICE, _LOOP, _FAIL, _END = range(14)
+
+
+class Machine:
+    """The same grammar run with a stack of its own, for texts nested deeper than Python's calls may be.
+
+    Rules become instructions; the stack holds places to return to (two fields) and points to come back to after a failure
+    (three fields). Rules with a chart look there first and note both success and failure.
+    """
+
+    def __init__(self, of: Recogniser):
+        self.of = of
+        self.code: list[tuple] = []
+        self.entry: dict[str, int] = {}
+        self.code += [(_CALL, of.start), (_END,)]
+        for name, node in of.rules.items():
+            self.entry[name] = len(self.code)
+            self._emit(node)
+            self.code.append((_RET,))
+        self.code = [(_CALL, self.entry[c[1]], c[1] if c[1] in of.memo_names else None) if c[0] == _CALL else c for c in self.code]
+
+    def _emit(self, node: tuple) -> None:
+        code, of, kind = self.code, self.of, node[0]
+        if kind == "tok":
+            code.append((_TOK, node[1]))
+        elif kind == "ref":
+            n = node[1]
+            code.append((_CALL, n) if n in of.rules else (_ASI,) if n == "ASI" else (_ANY,) if n == "ANY" else (_SET, of.sets[n]) if n in of.sets else (_TOK, n))
+        elif kind == "nonl":
+            code.append((_NONL,))
+        elif kind == "seq":
+            for x in node[1]:
+                self._emit(x)
+        elif kind == "alt":
+            ends = []
+            for x in node[1][:-1]:
+                at = len(code)
+                code.append(())
+                self._emit(x)
+                ends.append(len(code))
+                code.append(())
+                code[at] = (_CHOICE, len(code), self._starts(x))
+            self._emit(node[1][-1])
+            for e in ends:
+                code[e] = (_COMMIT, len(code))
+        elif kind == "?":
+            at = len(code)
+            code.append(())
+            self._emit(node[1])
+            code.append((_COMMIT, len(code) + 1))
+            code[at] = (_CHOICE, len(code), self._starts(node[1]))
+        elif kind in "*+":
+            if kind == "+":
+                self._emit(node[1])
+            at = len(code)
+            code.append(())
+            self._emit(node[1])
+            code.append((_LOOP, at))
+            code[at] = (_CHOICE, len(code), self._starts(node[1]))
+        else:
+            at = len(code)
+            code.append(())
+            self._emit(node[1])
+            code.append((_BACK, len(code) + 2) if kind == "&" else (_FAILTWICE,))
+            if kind == "&":
+                code.append((_FAIL,))
+            code[at] = (_CHOICE, len(code) - (kind == "&"), None, kind == "!")
+
+    def _starts(self, node: tuple) -> frozenset[str] | None:
+        first, empty = self.of._first(node)
+        return None if empty or "\0any" in first else first
+
+    def check(self, types: list[str], breaks: list[bool]) -> int:
+        """As :meth:`Recogniser.check`; ``types`` end with EOF."""
+        code, closed = self.code, frozenset([EOF, ERR, "(", ")", "[", "]", "{", "}"])
+        chart: dict[tuple[str, int], int] = {}
+        stack: list[tuple] = []  # (return to, rule with chart or None, its start) or (go on at, position, farthest failure to restore or -1)
+        pc = p = far = 0
+        while True:
+            ins = code[pc]
+            op = ins[0]
+            pc += 1
+            ok = True
+            if op == _TOK:
+                ok = types[p] == ins[1]
+                p += ok
+            elif op == _SET:
+                ok = types[p] in ins[1]
+                p += ok
+            elif op == _CALL:
+                known = chart.get((ins[2], p)) if ins[2] else None
+                if known is None:
+                    if ins[2]:
+                        stack.append((-2, ins[2], p))  # a failure ends here: note it
+                    stack.append((-1, pc, ins[2], p))
+                    pc = ins[1]
+                elif known < 0:
+                    ok = False
+                else:
+                    p = known
+            elif op == _RET:
+                _, pc, rule, start = stack.pop()
+                if rule:
+                    stack.pop()
+                    chart[rule, start] = p
+            elif op == _CHOICE:
+                if ins[2] is not None and types[p] not in ins[2]:
+                    far = max(far, p)
+                    pc = ins[1]
+                else:
+                    stack.append((ins[1], p, far if len(ins) > 3 and ins[3] else -1))
+            elif op == _COMMIT:
+                stack.pop()
+                pc = ins[1]
+            elif op == _LOOP:
+                go, at, _ = stack.pop()
+                pc = ins[1] if p > at else go
+            elif op == _BACK:
+                _, p, _ = stack.pop()
+                pc = ins[1]
+            elif op == _FAILTWICE:
+                _, _, far = stack.pop()
+                ok = False
+            elif op == _ASI:
+                if types[p] == ";":
+                    p += 1
+                else:
+                    ok = types[p] in ("}", EOF) or breaks[p]
+            elif op == _NONL:
+                ok = not breaks[p]
+            elif op == _ANY:
+                ok = types[p] not in closed
+                p += ok
+            elif op == _FAIL:
+                ok = False
+            else:
+                return -1
+            if ok:
+                continue
+            if op in (_TOK, _SET, _ASI):
+                far = max(far, p)
+            while stack:
+                top = stack.pop()
+                if top[0] == -2:
+                    chart[top[1], top[2]] = -1
+                elif top[0] >= 0:
+                    pc, p = top[0], top[1]
+                    far = far if top[2] < 0 else top[2]  # what a look-ahead for absence saw doesn't count
+                    break
+            else:
+                return min(far, len(types) - 1)

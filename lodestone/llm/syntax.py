@@ -6,8 +6,7 @@ must nest. A text that only redeclares or misuses names is fine: only syntax cou
 
 Defined cases: empty texts and texts of comments are valid; a null content counts as broken if the recorded error reports
 broken syntax, not if it reports reading, limits or set-up; a language that is unknown or null is taken from the path's
-ending, and where that says nothing either, the text is not judged (valid). Very deep nesting that exhausts the parser is
-judged by its brackets alone.
+ending, and where that says nothing either, the text is not judged (valid). Of C conditionals every group is parsed.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.chart import Recogniser
-from lodestone.functions.lexers import lex_c, lex_lua, lex_rust, lex_script
+from lodestone.functions.lexers import Script, c_picks, lex_c, lex_lua, lex_rust, lex_script
 from lodestone.session import ship, spread
 
 #: Spellings of languages and endings of their files.
@@ -55,31 +54,14 @@ def reports_syntax(error: str | None) -> bool:
 
 
 @lru_cache
-def _recogniser(*names: str) -> Recogniser:
-    return Recogniser([pkgutil.get_data("lodestone.llm", f"grammars/{n}.peg").decode() for n in names])
+def _recogniser(*names: str, start: str = "start") -> Recogniser:
+    return Recogniser([pkgutil.get_data("lodestone.llm", f"grammars/{n}.peg").decode() for n in names], start)
 
 
-def _bracket_error(types: list[str]) -> int:
-    stack = []
-    pairs = {")": "(", "]": "[", "}": "{"}
-    for i, t in enumerate(types):
-        if t in "([{" and len(t) == 1:
-            stack.append(t)
-        elif t in pairs:
-            if not stack or stack.pop() != pairs[t]:
-                return i
-        elif t == "ERR":
-            return i
-    return len(types) if stack else -1
-
-
-def _run(tokens: tuple, *grammar: str) -> int | None:
+def _run(tokens: tuple, *grammar: str, start: str = "start") -> int | None:
     """Offset of the first unrecoverable error, or None."""
     types, breaks, offsets = tokens
-    try:
-        at = _recogniser(*grammar).check(types, breaks)
-    except RecursionError:
-        at = _bracket_error(types)
+    at = _recogniser(*grammar, start=start).check(types, breaks)
     if at < 0:
         return None
     return offsets[at] if at < len(offsets) else (offsets[-1] if offsets else 0)
@@ -94,46 +76,83 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\w[^>]*>|<(/?)([A-Za-z][\w.:-]*)", re.S)
 _ATTRS = re.compile(r"(?:[^\s\"'>/{}=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|[^\s\"'>{}]+))?|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|\s+|/(?!>))*", re.S)
 _CONFLICT = re.compile(r"^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?|\|{7}(?: .*)?)\r?$", re.M)
-_MUSTACHE = re.compile(r"\{([#/:@])\s*(\w+)")
-
-
-def _tag_end(text: str, i: int) -> tuple[int, bool]:
+_MUSTACHE = re.compile(r"\{\s*(?:([#/:@])\s*(\w*)(?:\s+if\b)?)?")
+_EXPRESSION = frozenset(("#if", "#key", ":else", "@html", "@render"))
+_NAMED = re.compile(r"[^\s\"'>/{}=]+(?:\s*=\s*)?")
+
+
+def _mustache(text: str, i: int, typed: bool, stack: list[str]) -> int:
+    """Offset behind the braces at ``i``, whose inside is cut into tokens and, where it is an expression, parsed; -1 when it
+    isn't well formed. Opening and closing blocks go on and off ``stack``."""
+    m = _MUSTACHE.match(text, i)
+    inner = Script(text, False)
+    end = inner.run(m.end(), True)
+    if end < 0:
+        return -1
+    mark, word = m.group(1), m.group(2)
+    if mark == "#":
+        stack.append("{" + word)
+    elif mark == "/":
+        return end + 1 if stack and stack.pop() == "{" + word and not inner.t else -1
+    elif mark == ":" and not (stack and stack[-1][0] == "{"):
+        return -1
+    if inner.t and (not mark or mark + word in _EXPRESSION):
+        if _run((inner.t, inner.b, inner.o), "javascript", *(["typescript"] if typed else []), start="mustache") is not None:
+            return -1
+    return end + 1
+
+
+def _tag_end(text: str, i: int, svelte: bool = False, typed: bool = False) -> tuple[int, bool]:
     """(offset behind a tag's ``>``, self-closing?) from behind its name; (-1, ...) when it isn't well formed."""
-    j = _ATTRS.match(text, i).end()
+    if not svelte:
+        j = _ATTRS.match(text, i).end()
+    else:
+        j, n = i, len(text)
+        while j < n and text[j] != ">" and not text.startswith("/>", j):
+            c = text[j]
+            if c == "{":
+                j = _mustache(text, j, typed, [])
+            elif c in "\"'":
+                j += 1
+                while 0 <= j < n and text[j] != c:
+                    j = _mustache(text, j, typed, []) if text[j] == "{" else j + 1
+                j = j + 1 if 0 <= j < n else -1
+            elif c.isspace() or c == "/":
+                j += 1
+            else:
+                m = _NAMED.match(text, j)
+                j = m.end() if m else -1
+            if j < 0:
+                return -1, False
     if text.startswith("/>", j):
         return j + 2, True
     return (j + 1, False) if text.startswith(">", j) else (-1, False)
 
 
-def markup_error(text: str, base: int, svelte: bool) -> int | None:
-    """Offset of the first tag or block that doesn't nest."""
+def markup_error(text: str, base: int, svelte: bool, typed: bool = False) -> int | None:
+    """Offset of the first tag, block or embedded expression that isn't well formed or doesn't nest."""
     m = _CONFLICT.search(text)
     if m and m.group(0)[0] in "<>|":
         return base + m.start()
     stack: list[str] = []
-    i = 0
-    while True:
-        m = _OPEN.search(text, i)
-        chunk = text[i : m.start() if m else len(text)]
-        if svelte:
-            for x in _MUSTACHE.finditer(chunk):
-                if x.group(1) == "#":
-                    stack.append("{" + x.group(2))
-                elif x.group(1) == "/":
-                    if not stack or stack.pop() != "{" + x.group(2):
-                        return base + i + x.start()
-            if chunk.count("{") != chunk.count("}"):
-                return base + i
-        elif chunk.count("{{") != chunk.count("}}"):
-            return base + i
-        if m is None:
-            return base + len(text) if stack else None
+    i, nxt = 0, re.compile(_OPEN.pattern + (r"|[{}]" if svelte else r"|\{\{|\}\}"), re.S)
+    while m := nxt.search(text, i):
+        w = m.group(0)
+        if w in ("{", "{{"):
+            i = _mustache(text, m.start(), typed, stack) if svelte else Script(text, False).run(m.end(), True)
+            if not svelte and i >= 0:
+                i = i + 2 if text.startswith("}}", i) else -1
+            if i < 0:
+                return base + m.start()
+            continue
+        if w in ("}", "}}"):
+            return base + m.start()
         if m.group(2) is None:
-            if m.group(0).startswith("<!--") and not m.group(0).endswith("-->"):
+            if w.startswith("<!--") and not w.endswith("-->"):
                 return base + m.start()
             i = m.end()
             continue
-        end, selfclosing = _tag_end(text, m.end())
+        end, selfclosing = _tag_end(text, m.end(), svelte, typed)
         if end < 0:
             return base + m.start()
         name = m.group(2)
@@ -143,11 +162,38 @@ def markup_error(text: str, base: int, svelte: bool) -> int | None:
         elif not selfclosing and name.lower() not in _VOID:
             stack.append(name)
         i = end
+    return base + len(text) if stack else None
+
+
+_STYLE = re.compile(r"/\*.*?(?P<open>\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|url\([^)\n]*\)|//[^\n]*|[{}()\[\]\"']", re.S)
+
+
+def style_error(text: str, line_comments: bool = False) -> int | None:
+    """Offset of the first mark of a style sheet that doesn't nest, of an open comment or an open string."""
+    stack: list[str] = []
+    for m in _STYLE.finditer(text):
+        w = m.group()
+        if w[0] == "/":
+            if w[1] == "*" and not m.group("open"):
+                return m.start()
+            if w[1] == "/" and not line_comments:
+                # No comment in plain style sheets: its marks count.
+                e = style_error(w[2:])
+                if e is not None:
+                    return m.start() + 2 + e
+        elif w in ("\"", "'"):
+            return m.start()
+        elif w in ("{", "(", "["):
+            stack.append(w)
+        elif w in ("}", ")", "]"):
+            if not stack or stack.pop() != {"}": "{", ")": "(", "]": "["}[w]:
+                return m.start()
+    return len(text) if stack else None
 
 
 def component_error(text: str, svelte: bool) -> int | None:
     """A component's blocks close, its scripts parse, its markup nests."""
-    i, rest, found = 0, [], 0
+    i, rest, typed = 0, [], False
     while True:
         m = re.compile(r"<!--.*?(?:-->|\Z)|<([A-Za-z][\w.-]*)", re.S).search(text, i)
         if m is None:
@@ -190,10 +236,10 @@ def component_error(text: str, svelte: bool) -> int | None:
                 return len(text)
             close = x.start()
         inner = text[end:close]
-        found += 1
         if name == "script":
             lang = re.search(r"\blang\s*=\s*[\"']?([\w-]+)", text[m.end() : end])
             kind = (lang.group(1) if lang else "js").lower()
+            typed = typed or kind in ("ts", "tsx", "typescript")
             if kind in ("ts", "tsx", "typescript", "js", "jsx", "javascript"):
                 e = script_error(inner, kind in ("ts", "tsx", "typescript"), kind in ("tsx", "jsx"))
                 if e is not None:
@@ -202,12 +248,15 @@ def component_error(text: str, svelte: bool) -> int | None:
             e = markup_error(inner, end, False)
             if e is not None:
                 return e
-        elif name == "style" and (_CONFLICT.search(inner) or re.sub(r"/\*.*?\*/|\"[^\"\n]*\"|'[^'\n]*'", "", inner, flags=re.S).count("{") != re.sub(r"/\*.*?\*/|\"[^\"\n]*\"|'[^'\n]*'", "", inner, flags=re.S).count("}")):
-            return end
+        elif name == "style" and not re.search(r"\blang\s*=\s*[\"']?(?:sass|stylus)", text[m.end() : end]):
+            c = _CONFLICT.search(inner)
+            e = c.start() if c else style_error(inner, bool(re.search(r"\blang\s*=\s*[\"']?(?:scss|less|postcss)", text[m.end() : end])))
+            if e is not None:
+                return end + e
         i = text.index(">", close) + 1
     for at, part in rest:
         if svelte:
-            e = markup_error(re.sub(r"(?m)^\s*//[^\n]*$", lambda x: " " * len(x.group()), part), at, True)
+            e = markup_error(re.sub(r"(?m)^\s*//[^\n]*$", lambda x: " " * len(x.group()), part), at, True, typed)
             if e is not None:
                 return e
         else:
@@ -225,7 +274,9 @@ def first_error(text: str, language: str, path: str = "") -> int | None:
     if language == "rust":
         return _run(lex_rust(text), "rust")
     if language == "c":
-        return _run(lex_c(text), "c")
+        # Each group of a conditional is parsed in some variant; the first error in the text is reported.
+        found = [e for p in c_picks(text) if (e := _run(lex_c(text, p), "c")) is not None]
+        return min(found, default=None)
     if language == "lua":
         return _run(lex_lua(text), "lua")
     if language in ("vue", "svelte"):

@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodestone.llm import syntax
 from lodestone.llm.syntax import judge
 
 VALID = {
@@ -69,3 +70,34 @@ def test_spelling_null_and_deep():
     assert not judge("x = " + "(" * 3000 + "1" + ")" * 3000, "lua", "a.lua", None)[0]
     assert judge("x = " + "(" * 3000 + "1" + ")" * 2999, "lua", "a.lua", None)[0]
     assert not judge("x = 1\n" * 50_000, "lua", "a.lua", None)[0]
+
+
+@pytest.mark.parametrize("language,text,broken", [
+    ('svelte',"<script>let a = 1;</script>\n<p>{'}'}</p>\n{#if a}<b>{a}</b>{:else if a > 2}x{/if}\n{#each xs as {a, b}, i (a)}<i on:click={() => f({a})} class=\"x {a ? \"y\" : 'z'}\" {...rest}/>{/each}\n{@html x}{@const y = {a: 1}}\n<style>a::after { content: '}'; }</style>",False),
+    ('svelte',"<p>{a</p>",True),('svelte',"{#if a}<p>{/if}</p>",True),('svelte',"<p>{a +}</p>",True),('svelte',"{#if a}x{/each}",True),('svelte',"<p>a}</p>",True),('svelte','<script lang="ts">let a: number = 1;</script>{a as string}',False),('svelte','<script>let a = 1;</script>{a as string}',True),
+    ('svelte',"<style>a { b: c; </style>",True),('svelte',"<a href='x' {b} c={d}>x</a>{#await p then v}{v}{:catch e}{e}{/await}{#key x}a{/key}{#snippet f(a)}b{/snippet}{@render f(1)}",False),
+    ('vue',"<template><p :a=\"b\" @click=\"f($event)\">{{ {a: '}}'}.a }}</p></template>\n<script>export default {}</script>",False),('vue',"<template><p>{{ a }</p></template>",True),('vue',"<template><p>a }}</p></template>",True),('vue',"<template><p></template>",True),
+    ('javascript',"1 = 2;",True),('javascript',"f() = 3;",True),('javascript',"a?.b = 3;",True),('javascript',"(a) = 1; a.b().c = 2; [a, b.c] = d; ({a} = b); x ??= 1; this.a[0] = 1; new.target; new A().b = 2; async = 3; a = b = c; let f = async x => x = 1;",False),
+    ('typescript',"(a as any) = 1; a!.b = 2; a! = 3; (x as Foo).y += 1; f<T>(a).b = 1;",False),
+    ('c',"int a;\n#ifdef A\nint b;\n#else\n<<<<<<< HEAD\nint c;\n=======\nint d;\n>>>>>>> x\n#endif\n",True),('c',"int f(void) {\n#ifdef A\n return 1;\n#else\n return ((( 2;\n#endif\n}\n",True),
+    ('c',"#ifdef A\nint f(int a) {\n#elif B\nint f(long a) {\n#else\nint f(char a) {\n#endif\n return 0; }\n#ifdef __cplusplus\nextern \"C\" {\n#endif\nint g(void);\n#ifdef __cplusplus\n}\n#endif\n#if 0\nnot 'C ((\n#else\nint h;\n#endif\n",False)
+])
+def test_markup_targets_and_conditionals(language, text, broken):
+    assert (syntax.first_error(text, language, "a." + language) is not None) == broken
+
+
+@pytest.mark.parametrize("depth", [10, 20_000, 60_000])
+def test_deep_nesting_is_parsed_like_any_other(depth):
+    nested = "x = " + "(" * depth + "1" + ")" * depth + ";"
+    assert syntax.first_error(nested, "javascript", "a.js") is None
+    assert syntax.first_error(nested.replace("1", "1 + + *"), "javascript", "a.js") is not None
+    assert syntax.first_error(nested + " let let;", "javascript", "a.js") is not None
+
+
+@pytest.mark.parametrize("text", ["let a = [1, 2", "const f = (a, {b}) => a ? b : `x${a}`;", "class A { get b() { return 1 } static c = 2; }", "for (const a of b) if (c) d(); else { e }", "x = 1 +", "if (a) { b } }", "async () => { await x; }"])
+def test_the_stack_machine_agrees_with_the_compiled_recogniser(text):
+    from lodestone.functions.lexers import lex_script
+
+    types, breaks, _ = lex_script(text, False)
+    r = syntax._recogniser("javascript")
+    assert r.check(types, breaks) == r.machine.check([*types, "EOF"], [*breaks, True])
