@@ -1,9 +1,12 @@
 """Text quality statistics per document and the share of its characters that belong to running sentences.
 
-Layout first: fenced code, tables (vertical alignment of delimiters over neighbouring lines), logs and traces, lists
-(indentation and bullet periodicity) and line-length autocorrelation mark blocks that aren't prose. What is left is cut
-into units (sentences, or lines where nothing is punctuated), and a unit counts as a sentence by its words: enough of
-them, not the same few over and over, function words neither missing nor in a heap, and not a bare fragment.
+Layout first, block by block: fenced code, tables (vertical alignment of delimiters over neighbouring lines), logs and traces,
+lists (bullets, periodic indents, line lengths that correlate with their neighbours', short lines without end marks). Then
+ratios: a block whose ink is mostly symbols and digits, or whose words are far too long or too few a line, is no prose. What is
+left is cut into units (sentences; whole paragraphs where lines are wrapped without punctuation; else lines), and a unit counts
+as a sentence by the shares of words, letters, distinct and common words in it. Layout and ratios can't tell words in a heap
+from a sentence of the same words; that takes the order of function words (:func:`disorder`), known for some languages. Units
+without a known word are judged by the shape of their words alone.
 
 Defined cases: null text gives null statistics, empty and blank text zeros, shares of nothing are 0.0. Whole texts only.
 """
@@ -28,12 +31,8 @@ FUNCTION_WORDS = {
     "nl": "de het een en van is in op te dat die niet met voor zijn was er maar aan om ook als dan bij nog naar uit door over ze hij zij wij we je ik hebben heeft had werd wordt worden zodra wanneer dus alleen eerst deze dit lang pas geen wel daar hier wie wat of",
 }
 _DOMESTIC = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
-#: Words that open a phrase rather than a sentence when the unit is short and has no punctuation.
-OPENERS = frozenset("from how when what by all where which who whose of for with without to in on at as if because while until under over between than and or but wie wann wenn was von aus mit ohne bei zum zur comment quand de du des pour sans par avec como cuando desde con sin por para hoe wanneer van uit met zonder".split())
-#: Finite verbs that carry a short clause.
-VERBS = frozenset("is are was were be been has have had will would can could does do did may might must should fails returns calls wraps takes gives ist sind war waren wird werden hat haben kann lag dauerte ruf est sont était a ont peut faut vient es son era fue está hay ha han puede is was wordt werd heeft kan zat".split())
-
 _INVISIBLE = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"), None) | {0xA0: " ", 0x202F: " ", 0x2009: " ", 0x3000: " "}
+_LINE_END = re.compile("\r\n?|[\u2028\x0b\x0c\x85]")
 _OTHER, _SYMBOLS = re.compile(r"[^\w\s]|[\d_]"), re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"`[^`\n]*`|<[^<>\s]*>|[^\W_]+(?:[_:./'’-]+[^\W_]+)*")
@@ -43,6 +42,7 @@ _STAMP = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\d\d:\d\d:\d\d\b|(?
 _FRAME = re.compile(r"^\s*(?:at\s+\S+\s*\(.*\)|at\s+\S+:\d+(?::\d+)?|File \".*\", line \d+.*|#\d+\s+0x[0-9a-f]+.*|\.\.\. \d+ more|Caused by: .*|\S+\([^()]*\.\w+:\d+(?::\d+)?\))\s*$")
 _BORDER = re.compile(r"^[\s|+:=─━┼╋│┃┬┴├┤*~_-]{3,}$")
 _END = re.compile(r"(?<=[.?!…。！？])[\"'”’»)\]]*(?:\s+|$)|(?<=[。！？])")
+_MARK = re.compile(r"[.?!…。！？](?=\s|$|[\"'”)])")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 _CODE = re.compile(r"[;{}]\s*$|^\s*[{}()\[\]]+[;,]?\s*$|^\s*(?:let|const|var|fn|pub|local|return|import|use|#include|function|def|class|struct|for|while|if|end|else)\b.*[(){};=]|^\s*(?://|/\*|--\s|\*/)|^\s*[\w.\[\]\"']+\s*(?:[-+*/|&]?=|:=|=>|->)\s*\S|^\s*\"[^\"]*\"\s*:\s")
@@ -67,7 +67,10 @@ def table_lines(lines: list[str]) -> list[bool]:
     """Lines whose delimiters line up with a neighbour's: pipes, tabs, commas without blanks, or columns of gaps."""
     n = len(lines)
     marks = [False] * n
+    joined = "\n".join(lines)
     for sep, least in (("|", 1), ("\t", 1), (",", 1), (";", 1)):
+        if sep not in joined:
+            continue
         counts = [_cells(s, sep) for s in lines]
         for i in range(n):
             if counts[i] < least:
@@ -82,7 +85,7 @@ def table_lines(lines: list[str]) -> list[bool]:
             if sep == "|" and counts[i] < 2 and "|" not in (lines[i].strip()[:1], lines[i].strip()[-1:]):
                 continue
             marks[i] = True
-    gaps = [{m.end() for m in _GAPS.finditer(s)} for s in lines]
+    gaps = [{m.end() for m in _GAPS.finditer(s)} for s in lines] if "  " in joined or "\t" in joined else [set()] * n
     for i in range(n):
         if len(gaps[i]) >= 2 and any(0 <= j < n and len(gaps[i] & gaps[j]) >= max(2, min(len(gaps[i]), len(gaps[j])) // 2) for j in (i - 1, i + 1)):
             marks[i] = True
@@ -92,6 +95,18 @@ def table_lines(lines: list[str]) -> list[bool]:
     return marks
 
 
+def shaped(words: list[str], ended: bool) -> bool:
+    """Do words of an unknown language look like a sentence? Words of ordinary and uneven length, few of them alike, few
+    capitals behind the first one; an end mark, or more of them."""
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / len(sizes)
+    if not 2.5 <= mean <= 11 or len(set(map(str.lower, words))) < 0.6 * len(words):
+        return False
+    uneven = sum(abs(x - mean) for x in sizes) / len(sizes) >= 0.2 * mean
+    capitals = sum(w[0].isupper() for w in words[1:])
+    return uneven and capitals <= 0.34 * len(words) and len(words) >= (4 if ended else 8)
+
+
 def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC) -> bool:
     """Do the words of ``unit`` run as a sentence? ``alone``: it stands on a line of its own without end mark."""
     text = unit.strip()
@@ -100,39 +115,40 @@ def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC) -> b
     tokens = _TOKEN.findall(text)
     if len(tokens) < 4:
         return False
-    words = [t.lower() for t in tokens if t[0] not in "`<" and _WORD.fullmatch(t)]
+    spelled = [t for t in tokens if t.isalpha() or t[0] not in "`<" and _WORD.fullmatch(t)]
+    words = [t.lower() for t in spelled]
     spans = sum(t[0] == "`" for t in tokens)
     if len(words) < 3 or len(words) + spans < 0.6 * len(tokens):
         return False
     letters = len(_OTHER.sub("", text))
     if letters + sum(len(t) for t in tokens if t[0] == "`") < 0.75 * len(text):
         return False
-    if len(words) >= 6 and len(set(words)) < 0.4 * len(words) and len(set(words)) < 12:
+    distinct = len(set(words))
+    if len(words) >= 6 and distinct < 0.4 * len(words) and distinct < 12:
         return False
     if sum(len(w) > 22 for w in words) > 0.2 * len(words):
         return False
-    flags = [w in common for w in words]
-    share = sum(flags) / len(words)
-    # Letters in a heap: no function words although the unit is long. Other scripts and languages pass by their letters.
-    if len(words) >= 5 and share == 0 and text.isascii() or len(tokens) >= 8 and spans + len(tokens) - len(words) > len(words) and share < 0.15:
+    pieces = [x.split() for x in text.split(",")]
+    if len(pieces) >= 5 and sum(map(len, pieces)) <= 3.2 * len(pieces):
+        return False
+    share = sum(w in common for w in words) / len(words)
+    ended = text[-1] in _ENDS or text.endswith((".`", ":"))
+    if share == 0:
+        return shaped(spelled, ended)
+    if len(tokens) >= 8 and len(tokens) - len(words) + spans > len(words) and share < 0.15:
         return False
     heap, clash, n = disorder(text, common)
     if n >= 6 and heap > HEAP or clash >= 2 and clash > CLASH * n:
         return False
-    pieces = [x.split() for x in text.split(",")]
-    if len(pieces) >= 5 and sum(map(len, pieces)) <= 3.2 * len(pieces):
-        return False
     n = len(words) + spans
-    if n >= 10:
+    if n >= ALONE:
         return True
-    ended = text[-1] in ".?!…\"'”)。" or text.endswith((".`", ":"))
-    if alone and not ended:
-        if words[0] in OPENERS and "," not in text and "?" not in text:
-            return False
-        return n >= 5 and any(w in VERBS for w in words) or n >= 7 and share >= 0.3 and "," in text
-    return n >= 5 and (share > 0.1 or spans > 0) and not (words[0] in OPENERS and "," not in text and n < 9 and not any(w in VERBS for w in words))
+    return n >= 5 and (share > 0.1 or spans > 0) and (ended or not alone)
 
 
+#: Words a line must have that stands alone, without an end mark, to be more than a fragment.
+ALONE = 8
+_ENDS = ".?!…\"'”)。！？"
 #: More than this share of a unit's (or a whole block's) words in a heap, and it isn't running text; the same for clashes.
 HEAP, HEAP_BLOCK, CLASH, CLASH_BLOCK = 0.75, 0.55, 0.08, 0.035
 
@@ -165,8 +181,6 @@ def _clashes() -> frozenset[tuple[str, str]]:
 
 
 PAIRS = _clashes()
-#: Words that can't end a unit: a line that ends with one goes on in the next.
-HANGING = frozenset(w for det, _, prep, _ in _ORDER.values() for w in f"{det} {prep}".split()) | frozenset("if and or but that which because when whether der die das und oder sondern weil wenn et ou mais que quand y o pero porque cuando en of maar het dat omdat zodra each every i you we it only may will would can".split())
 _RUNS = re.compile(r"[^\w\s'’`]+|`[^`]*`")
 
 
@@ -188,6 +202,14 @@ def disorder(text: str, common: frozenset[str]) -> tuple[float, int, int]:
     return heap / max(1, n), clash, n
 
 
+def wrapped(lines: list[str]) -> float:
+    """Share of line breaks that are where a line is full: the next line's first word wouldn't have fitted."""
+    if len(lines) < 2:
+        return 0.0
+    width = max(map(len, lines))
+    return sum(len(a) + 1 + len(b.split(None, 1)[0]) > width for a, b in zip(lines, lines[1:])) / (len(lines) - 1)
+
+
 def _paragraph(lines: list[str], common: frozenset[str]) -> int:
     """Characters of sentences in lines that belong together."""
     joined = "\n".join(lines)
@@ -195,23 +217,42 @@ def _paragraph(lines: list[str], common: frozenset[str]) -> int:
     heap, clash, n = disorder(joined, common)
     if n >= 12 and (heap > HEAP_BLOCK or clash >= 2 and clash > CLASH_BLOCK * n):
         return 0
-    if re.search(r"[.?!…。！？](?=\s|$|[\"'”)])", joined) and len(joined.split()) / max(1, len(re.findall(r"[.?!…。！？](?=\s|$|[\"'”)])", joined))) <= 45:
+    words = len(joined.split())
+    if (marks := len(_MARK.findall(joined))) and words <= 45 * marks:
         for u in _END.split(joined.replace("\n", " ")):
             if u.strip():
                 # A trailing piece without end mark in a paragraph of sentences may lack its mark only.
                 total += len(u) + 1 if is_sentence(u, u.strip()[-1] not in ".?!…。！？\"'”)", common) else 0
         return min(total, len(joined) + 1)
-    counts = [len(_TOKEN.findall(s)) for s in lines]
-    hanging = sum(1 for s in lines if (w := _TOKEN.findall(s.lower())) and w[-1] in HANGING)
-    if len(lines) > 1 and hanging >= 0.12 * len(lines) and sum(counts) >= 10 and max(counts) >= 4:
+    items = len(lines) >= LISTING_LINES and words < (PARALLEL_WORDS if parallel(lines) else ITEM_WORDS) * len(lines)
+    if len(lines) > 1 and words >= 10 and not (items and parallel(lines)) and words >= LINE_WORDS * len(lines) and (wrapped(lines) >= WRAPPED or _breaks_in_sentences(lines)):
         return len(joined) + 1 if is_sentence(joined.replace("\n", " "), False, common) else 0
-    for s in lines:
-        # One unit per line; a long line may hold several.
-        if is_sentence(s, True, common):
-            total += len(s) + 1
-    if len(lines) > 1 and hanging and total < 0.5 * len(joined) and sum(counts) / len(lines) >= 7 and is_sentence(joined.replace("\n", " "), False, common):
-        return len(joined) + 1
-    return total
+    if items:
+        return 0
+    # One unit per line; a long line may hold several.
+    return sum(len(s) + 1 for s in lines if is_sentence(s, True, common))
+
+
+#: Share of full lines from which on lines without end marks are one wrapped text; least words a line of such a text; words a
+#: line below which several lines without end marks are items of a list.
+WRAPPED, LINE_WORDS, ITEM_WORDS = 0.6, 4.0, 6.8
+#: Deviation of the words a line, as a share of their mean, from which on lines are cut anywhere.
+UNEVEN = 0.3
+#: So few different first words for so many lines, and the lines are parallel; words a line below which they are items then;
+#: least lines for that.
+PARALLEL, PARALLEL_WORDS, PARALLEL_LINES = 0.67, 8.0, 6
+
+
+def parallel(lines: list[str]) -> bool:
+    """Do lines begin alike, as items of a kind do?"""
+    return len(lines) >= PARALLEL_LINES and len({s.split(None, 1)[0].lower() for s in lines}) <= PARALLEL * len(lines)
+
+
+def _breaks_in_sentences(lines: list[str]) -> bool:
+    """Lines cut anywhere: their lengths in words differ widely."""
+    counts = [len(s.split()) for s in lines]
+    mean = sum(counts) / len(counts)
+    return len(counts) >= 3 and max(counts) >= 7 and sum((c - mean) ** 2 for c in counts) / len(counts) >= (UNEVEN * mean) ** 2
 
 
 def indent_period(lines: list[str]) -> int:
@@ -222,26 +263,45 @@ def indent_period(lines: list[str]) -> int:
     return next((p for p in (2, 3, 4) if len(indents) >= 2 * p and indents[p:] == indents[:-p]), 0)
 
 
-#: Lines of a listing without bullets: so many at least, with so few end marks a line, and lengths so much alike.
-LISTING_LINES, LISTING_MARKS, LISTING_EVEN = 4, 0.25, 0.9
+#: Lines of a listing without bullets: so many at least, with so few end marks a line, and lengths so much alike, or so few words a line.
+LISTING_LINES, LISTING_MARKS, LISTING_EVEN, NAME_WORDS = 4, 0.25, 0.9, 3.0
 
 
 def is_listing(lines: list[str]) -> bool:
-    """Does a block without bullets list things? Its indents are periodic, or its lines are about as long as their
-    neighbours and all begin with a capital or a digit. Wrapped text is told by its end marks and by lines that hang over."""
-    if len(lines) < LISTING_LINES or len(re.findall(r"[.?!…。！？](?=\s|$|[\"'”)])|[。！？]", "\n".join(lines))) > LISTING_MARKS * len(lines):
-        return False
-    if any((w := _TOKEN.findall(s.lower())) and w[-1] in HANGING for s in lines):
+    """Does a block without bullets list things? Its indents are periodic, its lines hold very few words, or they are about as
+    long as their neighbours and all begin with a capital or a digit. Wrapped text is told by its end marks."""
+    if len(lines) < LISTING_LINES or len(_MARK.findall("\n".join(lines))) > LISTING_MARKS * len(lines):
         return False
-    if indent_period(lines):
+    text = " ".join(lines)
+    if indent_period(lines) or len(_TOKEN.findall(text)) < NAME_WORDS * len(lines) and not _CJK.search(text):
         return True
     heads = [s.lstrip()[:1] for s in lines]
-    return all(c.isupper() or c.isdigit() for c in heads) and autocorrelation([len(s.strip()) for s in lines]) >= LISTING_EVEN
+    if not all(c.isupper() or c.isdigit() for c in heads):
+        return False
+    return autocorrelation([len(s.strip()) for s in lines]) >= LISTING_EVEN
+
+
+#: Ratios of a block that no prose has: so large a share of symbols and digits in its ink, or words so long or so short.
+INK_SYMBOLS, LONG_WORDS, SHORT_WORDS = 0.4, 14.0, 1.8
+
+
+def unlike_prose(lines: list[str]) -> bool:
+    """Is a block no prose by its ratios of symbols to ink and letters to words? Scripts without blanks have no word ratio."""
+    text = " ".join(lines)
+    ink = sum(map(len, text.split()))
+    letters = len(_OTHER.sub("", text)) - text.count(" ")
+    if ink - letters > INK_SYMBOLS * ink + sum(len(x) for x in _SPAN.findall(text)):
+        return True
+    words = len(_WORD.findall(text))
+    return not _CJK.search(text) and not SHORT_WORDS <= letters / max(1, words) <= LONG_WORDS
+
+
+_SPAN = re.compile(r"`[^`\n]*`")
 
 
 def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int, int, int]:
     """(characters in running sentences, in tables, in lists, all) of a text."""
-    text = text.translate(_INVISIBLE).replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\x0b", "\n").replace("\x0c", "\n").replace("\x85", "\n")
+    text = _LINE_END.sub("\n", text if text.isascii() else text.translate(_INVISIBLE))
     lines = text.split("\n")
     size = len(text.strip())
     prose = tables = lists = 0
@@ -273,8 +333,11 @@ def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int
         para: list[str] = []
         item = False
         n_items = sum(bool(_BULLET.match(s)) for s in b)
-        if not n_items and not any(marks) and is_listing(b):
-            lists += sum(len(s) + 1 for s in b)
+        items = [s[m.end() :] for s in b if (m := _BULLET.match(s)) and s[m.end() :].strip()]
+        least = PARALLEL_WORDS if parallel(items) else ITEM_WORDS
+        short = len(items) >= 3 and len(_MARK.findall("\n".join(b))) <= LISTING_MARKS * len(items) and len(_TOKEN.findall(" ".join(b))) < least * len(items)
+        if not any(marks) and (short or not n_items and is_listing(b) or unlike_prose(b)):
+            lists += sum(len(s) + 1 for s in b) if not coded else 0
             continue
         for s, m, c in zip(b, marks, code):
             skip = m or _STAMP.match(s) or _FRAME.match(s) or s.lstrip().startswith("#") or (coded and (c or s[:1] in " \t}")) or s.count("»") + s.count("›") > 0 and s.count("|") > 1
@@ -309,7 +372,7 @@ _PUNCT_END = tuple(".?!…;:。！？\"”")
 def statistics(text: str | None, lang: str | None, common: dict[str, frozenset[str]], everywhere: frozenset[str]) -> tuple:
     if text is None:
         return (None,) * 10
-    body = text.translate(_INVISIBLE)
+    body = text if text.isascii() else text.translate(_INVISIBLE)
     words = _WORD.findall(body)
     lines = [s for s in body.splitlines() if s.strip()]
     ink = sum(map(len, body.split()))

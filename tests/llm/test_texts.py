@@ -241,3 +241,39 @@ def test_layout_of_each_language_and_short_copies(spark):
     projects, ws = spark.createDataFrame([], "root_path string, label string"), spark.createDataFrame([], "workspace_id string, root_path string")
     got = {r.path: r.copied for r in sources.not_handwritten(files, none, projects, ws).collect()}
     assert got == {"vendor/t.c": False, "src/mine.c": True}
+
+#: Plain sentences in languages whose function words aren't known, and one without punctuation and capitals.
+ELSEWHERE = [
+    "Program ini membaca semua berkas dari folder dan menyimpan hasilnya. Jika berkas tidak ada, program akan berhenti dengan pesan kesalahan. Kami akan memperbaiki masalah itu minggu depan.",
+    "Ten program czyta wszystkie pliki z katalogu i zapisuje wyniki do bazy danych. Nie wiemy jeszcze, dlaczego proces zatrzymuje sie po kilku minutach. Prosze sprawdzic ustawienia przed uruchomieniem.",
+    "Ohjelma lukee kaikki tiedostot hakemistosta ja tallentaa tulokset tietokantaan. En tieda miksi prosessi pysahtyy muutaman minuutin kuluttua. Tarkista asetukset ennen kaynnistamista.",
+    "Programu hii inasoma faili zote kutoka kwenye folda na kuhifadhi matokeo. Kama faili haipo, programu itasimama na kuonyesha ujumbe wa kosa. Tutarekebisha tatizo hilo wiki ijayo.",
+    "Program klasordeki tum dosyalari okur ve sonuclari veritabanina kaydeder. Dosya yoksa program bir hata mesajiyla durur.",
+    "program ini membaca semua berkas dari folder dan menyimpan hasilnya jika berkas tidak ada program akan berhenti dengan pesan kesalahan",
+    "wij hebben lang gezocht, maar de fout zat in een oud span\nwie een groot project\nopent, ziet eerst alleen het indent\nhet token wordt\nopnieuw gebouwd zodra het lockfile verandert",
+]
+LISTS = [
+    "Cache Ledger Table\nFormatter Index Pool\nMatcher Visitor Walker\nSession Router Planner\n",
+    "lazy column\nraw manifest\n`score_peer`\nheader::Ledger::strip_anchor\nIndex / glob\ndefault origin\nhidden import.",
+    "* when the trait is default\n* all of the above but for the label\n* by catalog, by export\n* how to visit the module\n* what is in a page and what is not\n* the lazy queue and its peer",
+    "all of the above but for the scope\nby indent, by suffix\nby project, by edge\nfrom the receiver to the bucket\nthe hidden receiver and its workspace\nall of the above but for the label\nwhat is in a page and what is not",
+]
+
+
+@pytest.mark.parametrize("t", ELSEWHERE)
+def test_prose_of_unknown_languages(t):
+    p, _, _, n = prose.prose_chars(t)
+    assert p >= 0.9 * n
+
+
+@pytest.mark.parametrize("t", LISTS)
+def test_lists_by_layout(t):
+    p, _, _, n = prose.prose_chars(t)
+    assert p < 0.3 * n
+
+
+def test_layout_measures():
+    assert prose.wrapped(["aaaa bbbb cccc", "dddd eeee ffff", "gg"]) == 1.0 and prose.wrapped(["a", "b"]) == 1.0 and prose.wrapped(["x"]) == 0.0
+    assert prose.indent_period(["a", "  b", "a", "  b"]) == 2 and prose.indent_period(["a", "b", "c", "d"]) == 0
+    assert prose.unlike_prose(["!!~^-@=$!>{ /<?\\-*!<*:=&}="]) and not prose.unlike_prose(["a plain line of words"])
+    assert prose.prose_chars("") == (0, 0, 0, 0) and prose.prose_chars(" \n ")[0] == 0
