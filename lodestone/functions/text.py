@@ -200,12 +200,16 @@ def compact_indent(lines: list[str]) -> tuple[str, int, str]:
 
 
 #: Lines end here, as in the JVM-side slices, and nowhere else.
-_BREAK = re.compile(r"\r?\n")
+LINE_BREAK = re.compile(r"\r?\n")
 
 
-def slice_body(content: str, start: int, end: int, max_lines: int | None = None, strip_attrs: bool = False, signature_only: bool = False, strip_inline: bool = False, collapse: bool = False) -> dict:
-    """Lines ``start`` to ``end`` (from 1) of a file, options applied in fixed order; out of range gives an empty body."""
-    lines = _BREAK.split(content)[max(0, start - 1) : end]
+def slice_body(content: str, start: int, end: int, **options) -> dict:
+    """Lines ``start`` to ``end`` (from 1) of a file through :func:`slice_lines`; out of range gives an empty body."""
+    return slice_lines(LINE_BREAK.split(content)[max(0, start - 1) : end], **options)
+
+
+def slice_lines(lines: list[str], max_lines: int | None = None, strip_attrs: bool = False, signature_only: bool = False, strip_inline: bool = False, collapse: bool = False) -> dict:
+    """A body from its lines, options applied in fixed order."""
     total = len(lines)
     noise = leading_noise(lines) if strip_attrs else 0
     rest, cut = lines[noise:], False

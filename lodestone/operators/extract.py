@@ -773,16 +773,14 @@ def extract(files: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     mod = expr.module_path(F.regexp_replace("path", "^ws:[^:]*:", ""))
     # Never null, also for the planner: else the join filters one of its two branches, and the exchange isn't shared.
     module = F.coalesce(F.when(mod == "", head).when(head == "", mod).otherwise(F.concat_ws("::", head, mod)), head)
-    # Files usually come from an aggregate (current versions): a set number of partitions keeps it from being coalesced.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    d = files.where("path is not null and content is not null").select("path", module.alias("module"), "content").repartition(parts, "path", "module")
+    d = files.where("path is not null and content is not null").select("path", module.alias("module"), "content")
     if returns is None:
         return d.withColumn("known", F.lit(None).cast("map<string,string>")).mapInArrow(run, SCHEMA)
-    # Both branches read the same columns of one exchange, so that texts are shuffled once.
+    # The names a file may ask for leave it as a narrow projection; what is known of them comes back by path.
     names = F.array_distinct(F.when(F.endswith("path", F.lit(".rs")), F.regexp_extract_all("content", F.lit(_ASSIGNED), 1)))
-    called = d.select("path", "module", F.explode_outer(names).alias("name")).join(returns, "name")
-    known = called.groupBy("path", "module").agg(F.map_from_entries(F.collect_set(F.struct("name", "return_type"))).alias("known"))
-    return d.join(known, ["path", "module"], "left").select("path", "module", "content", "known").mapInArrow(run, SCHEMA)
+    called = d.select("path", F.explode(names).alias("name")).join(returns, "name")
+    known = called.groupBy("path").agg(F.map_from_entries(F.collect_set(F.struct("name", "return_type"))).alias("known"))
+    return d.join(known, "path", "left").select("path", "module", "content", "known").mapInArrow(run, SCHEMA)
 
 
 #: Names that may be called in a ``let`` (a superset of what :func:`rust` asks for), with Python's classes.

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import slice_body
+from lodestone.functions.text import LINE_BREAK, slice_lines
 from lodestone.operators import extract, resolve, similar
 from lodestone.plans.registry import CUR, EDGE, LIVE, Registry
 from lodestone.plans.resolve_queries import _SCORE, _tok
 from lodestone.session import ship
-from lodestone.sources.tables import current_files, distinct_edges, live_symbols, table
+from lodestone.sources.tables import current_texts, distinct_edges, live_symbols, table
 
 _R = Registry()
 QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
@@ -22,8 +22,8 @@ QUERIES, SQL, query = _R.QUERIES, _R.SQL, _R.query
 def extracted(spark: SparkSession, root: str) -> DataFrame:
     """Everything the current versions of all files yield, under their project's name."""
     p = table(spark, root, "projects").select("project_id", F.col("label").alias("project"))
-    f = current_files(spark, root, "content", "project_id").select("path", "content", "project_id").where("content is not null")
-    return extract.extract(f.join(p, "project_id", "left"), extract.return_types(table(spark, root, "files").select("path", "content")))
+    f = current_texts(spark, root, "project_id").where("content is not null")
+    return extract.extract(f.join(p, "project_id", "left").select("path", "content", "project"), extract.return_types(table(spark, root, "files").select("path", "content")))
 
 
 @query()
@@ -122,30 +122,42 @@ def o84_did_you_mean(spark: SparkSession, root: str) -> DataFrame:
     return similar.did_you_mean(r, s).drop("rank")
 
 
-def _slices(spark: SparkSession, root: str) -> DataFrame:
-    """Live symbols with the text of their file; the content is cut in the same stage that joins it."""
-    f = current_files(spark, root, "content").where("content is not null").select(F.col("path").alias("file_path"), "content")
-    return live_symbols(spark, root, "kind", "file_path", "start_line", "end_line").where("kind <> 'module' and start_line is not null and end_line is not null").select("workspace_id", "fqdn", "file_path", "start_line", "end_line").join(f, "file_path")
+#: Lines of a file whose symbols are cut together.
+SPAN_BLOCK = 4096
+
+
+def _spans(spark: SparkSession, root: str) -> DataFrame:
+    """``content`` with ``spans`` (workspace_id, fqdn, from, lines): the live symbols of each file, in blocks of SPAN_BLOCK
+    lines, so that a text is joined and cut into lines once per block and not once per symbol."""
+    s = live_symbols(spark, root, "kind", "file_path", "start_line", "end_line").where("kind <> 'module' and start_line is not null and end_line is not null and file_path is not null")
+    span = F.struct("workspace_id", "fqdn", F.col("start_line").alias("from"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)).alias("lines"))
+    per = s.groupBy(F.col("file_path").alias("path"), F.floor(F.col("start_line") / SPAN_BLOCK).alias("block")).agg(F.collect_list(span).alias("spans"))
+    return current_texts(spark, root).where("content is not null").join(per, "path").select("content", "spans")
 
 
 @query(f"WITH {LIVE}, {CUR}, l AS (SELECT l.workspace_id, l.fqdn, regexp_split_to_array(c.content, '\\r?\\n')[l.start_line:l.end_line] AS s FROM live l JOIN cur c ON c.path = l.file_path WHERE c.content IS NOT NULL AND l.kind <> 'module' AND l.start_line IS NOT NULL AND l.end_line IS NOT NULL) SELECT workspace_id, fqdn, array_to_string(s, chr(10)) AS body, CAST(len(s) AS INT) AS total_lines FROM l")
 def o87_body_slices(spark: SparkSession, root: str) -> DataFrame:
-    """Source lines of every live symbol, cut JVM-side."""
-    cut = F.slice(F.split("content", r"\r?\n"), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
-    return _slices(spark, root).select("workspace_id", "fqdn", F.array_join(cut, "\n").alias("body"), F.size(cut).alias("total_lines"))
+    """Source lines of every live symbol, cut JVM-side; a text is split once for all its symbols."""
+    lines = _spans(spark, root).select("spans", F.split("content", r"\r?\n").alias("lines"))
+    cut = F.transform("spans", lambda x: F.struct(x["workspace_id"].alias("workspace_id"), x["fqdn"].alias("fqdn"), F.slice(F.col("lines"), x["from"], F.least(x["lines"], F.size("lines"))).alias("s")))
+    return lines.select(F.inline(cut)).select("workspace_id", "fqdn", F.array_join("s", "\n").alias("body"), F.size("s").alias("total_lines"))
 
 
 def _body(spark: SparkSession, root: str, **options) -> DataFrame:
     ship(spark)
-    cut = F.array_join(F.slice(F.split("content", r"\r?\n"), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
-    d = _slices(spark, root).select("workspace_id", "fqdn", cut.alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [slice_body(t, 1, 1 << 30, **options) for t in b["text"]]
-            yield pd.DataFrame({"workspace_id": b["workspace_id"].array, "fqdn": b["fqdn"].array, **{k: [x[k] for x in out] for k in ("body", "stripped_lines", "truncated", "dedented_prefix_len", "indent_unit")}})
+            rows = []
+            for content, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                lines = LINE_BREAK.split(content)
+                rows += [(s["workspace_id"], s["fqdn"], slice_lines(lines[s["from"] - 1 : s["from"] - 1 + s["lines"]] if s["from"] > 0 else [], **options)) for s in spans]
+            yield pa.RecordBatch.from_pydict({"workspace_id": [r[0] for r in rows], "fqdn": [r[1] for r in rows], **{k: [r[2][k] for r in rows] for k in ("body", "stripped_lines", "truncated", "dedented_prefix_len", "indent_unit")}}, schema=_BODY)
+
+    return _spans(spark, root).mapInArrow(run, "workspace_id string, fqdn string, body string, stripped_lines int, truncated boolean, dedented_prefix_len int, indent_unit string")
+
 
-    return d.mapInPandas(run, "workspace_id string, fqdn string, body string, stripped_lines int, truncated boolean, dedented_prefix_len int, indent_unit string")
+_BODY = pa.schema([("workspace_id", pa.string()), ("fqdn", pa.string()), ("body", pa.string()), ("stripped_lines", pa.int32()), ("truncated", pa.bool_()), ("dedented_prefix_len", pa.int32()), ("indent_unit", pa.string())])
 
 
 @query()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import spread
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The stored rows of a table; column pruning and filters reach the scan."""
@@ -50,6 +52,21 @@ def current_files(spark: SparkSession, root: str, *cols: str) -> DataFrame:
     return f.groupBy("path").agg(F.max_by(F.struct(*kept), F.struct("last_scanned_ms", "content_hash", "byte_size")).alias("r")).select("path", "r.*")
 
 
+def current_texts(spark: SparkSession, root: str, *cols: str) -> DataFrame:
+    """``path``, ``content`` and ``cols`` of the current version of each path, for plans that carry texts.
+
+    The winner of a path is found on keys alone: its row's place (file and row number) is a ``max_by``, and texts meet the
+    winners by path in one join. Spark broadcasts the winners where their measured size allows, so texts don't move at all;
+    beyond that they are shuffled once, by path, and whatever is joined by path afterwards finds them there.
+    """
+    f = table(spark, root, "files").select("path", "content", *[c for c in cols if c not in ("path", "content")], "last_scanned_ms", "content_hash", "byte_size", "_metadata.file_path", "_metadata.row_index")
+    f = f.withColumnsRenamed({"file_path": "__file", "row_index": "__row"}).where("path is not null")
+    place = F.struct(F.col("__file").alias("__won_file"), F.col("__row").alias("__won_row"))
+    won = f.groupBy("path").agg(F.max_by(place, F.struct("last_scanned_ms", "content_hash", "byte_size", "__file", "__row")).alias("w")).select("path", "w.*")
+    texts = spread(f.select("path", "content", *[c for c in cols if c not in ("path", "content")], "__file", "__row"), "path")
+    return texts.join(won, "path").where("__file = __won_file and __row = __won_row").drop("__file", "__row", "__won_file", "__won_row")
+
+
 def distinct_edges(spark: SparkSession, root: str, *cols: str) -> DataFrame:
     """Edges once each, however often delivered: one row per edge_id with the columns asked for."""
     e = table(spark, root, "edges").select("edge_id", *[c for c in cols if c != "edge_id"])
