@@ -86,14 +86,19 @@ def head_codes(names: list[str]) -> np.ndarray:
     return out
 
 
-def may_reach(query: np.ndarray, length: int, counts: np.ndarray, lengths: np.ndarray, least: float, heads: np.ndarray | None = None, head: np.ndarray | None = None) -> np.ndarray:
-    """Which names could have a Jaro-Winkler of at least ``least`` with the query? Never misses one: bins only overcount
-    common characters, transpositions count as none, and without heads the boost is taken as full."""
+def reach(query: np.ndarray, length: int, counts: np.ndarray, lengths: np.ndarray, heads: np.ndarray | None = None, head: np.ndarray | None = None) -> np.ndarray:
+    """What the Jaro-Winkler of the query with each name can be at most: bins only overcount common characters,
+    transpositions count as none, and without heads the boost is taken as full."""
     m = np.minimum(counts, query).sum(axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
         j = np.where(m > 0, (m / max(length, 1) + m / np.maximum(lengths, 1) + 1) / 3, 0.0)
     same = 4 if heads is None else np.cumprod((heads == head) & (heads >= 0), axis=1).sum(axis=1)
-    return j + 0.1 * same * (1 - j) * (j > 0.7) >= least
+    return j + 0.1 * same * (1 - j) * (j > 0.7)
+
+
+def may_reach(query: np.ndarray, length: int, counts: np.ndarray, lengths: np.ndarray, least: float, heads: np.ndarray | None = None, head: np.ndarray | None = None) -> np.ndarray:
+    """Which names could have a Jaro-Winkler of at least ``least`` with the query? Never misses one."""
+    return reach(query, length, counts, lengths, heads, head) >= least
 
 
 def codes(names: list[str], width: int) -> np.ndarray:

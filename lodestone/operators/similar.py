@@ -2,85 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import codes, head_codes, jaro_winkler, jaro_winkler_many, may_reach, profile, tokenize
+from lodestone.functions.text import codes, head_codes, jaro_winkler, jaro_winkler_many, profile, reach, tokenize
 from lodestone.operators.lookup import first_per
 from lodestone.session import ship
 
-#: Query names per block: what one broadcast holds, however many queries there are.
-BLOCK = 4000
+#: Query names per block and names scored at once.
+BLOCK, CHUNK = 4000, 16_384
 #: Names up to this length are scored all at once; longer ones one by one.
 WIDTH = 64
 
 
-def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
+def _best(asked: list[str], names: list[str], least: float, top: int | None) -> list[tuple[str, str, float]]:
+    """(query, name, score) of the pairs that score at least ``least``; with ``top`` only those that are among the best
+    ``top`` of their query here, ties included. Names are scored in the order of what they can reach at most, so that a query
+    is done once its best can't be beaten."""
+    low = [x.lower() for x in names]
+    counts, lengths = profile(low)
+    heads = head_codes(low)
+    short = lengths <= WIDTH
+    table = codes([x if k else "" for x, k in zip(low, short)], int(lengths[short].max(initial=0)))
+    own = [frozenset(tokenize(x)) for x in names]
+    by_token: dict[str, list[int]] = {}
+    for i, t in enumerate(own):
+        for w in t or ("",):
+            by_token.setdefault(w, []).append(i)
+    rows = []
+    for name in asked:
+        x, t = name.lower(), frozenset(tokenize(name))
+        q, n = profile([x])
+        best: dict[int, float] = {}
+        for i in {i for w in t or ("",) for i in by_token.get(w, ())}:
+            jac = 1.0 if not t and not own[i] else len(t & own[i]) / len(t | own[i])
+            if jac >= least and low[i] != x:
+                best[i] = jac
+        most = reach(q[0], int(n[0]), counts, lengths, heads, head_codes([x])[0])
+        near = np.flatnonzero(most >= least)
+        near = near[np.argsort(-most[near], kind="stable")]
+        at, step, floor = 0, 256, least
+        while at < len(near) and most[near[at]] >= floor:
+            part = near[at : at + step]
+            easy = part[short[part]]
+            s = jaro_winkler_many(x, table[easy], lengths[easy])
+            for i, v in [*zip(easy.tolist(), s.tolist()), *((int(i), jaro_winkler(x, low[i])) for i in part[~short[part]])]:
+                if v >= floor and low[i] != x and v > best.get(i, 0.0):
+                    best[i] = v
+            at, step = at + step, min(4096, 2 * step)
+            if top is not None and len(best) >= top:
+                floor = max(floor, sorted(best.values(), reverse=True)[top - 1] - 1e-6)
+        rows += [(name, names[i], v) for i, v in best.items() if v >= floor]
+    return rows
+
+
+def name_scores(queries: DataFrame, names: DataFrame, least: float = 0.6, top: int | None = None) -> DataFrame:
     """query, name, score for each pair of distinct names that differ in more than case and score at least ``least``.
 
     queries and names: one string column ``name`` each. Names meet the queries as classes of equal text, so repeated names
-    cost nothing. Each block of at most BLOCK queries is broadcast and run against the stream of names; character-count
-    bounds drop the pairs that can't reach the threshold before the exact score. Nulls take no part; an empty name is only
-    similar to nothing. No pair above the threshold is lost.
+    cost nothing. Queries are cut into blocks of about BLOCK and names into a slice per partition; each block meets each
+    slice in one cogroup, which is scored in chunks, so no task holds more than a block and a slice, and the plan doesn't
+    grow with either. With ``top`` a pair is dropped once a slice has that many better ones for its query (ties stay): no
+    pair of the best ``top`` is lost. Nulls take no part; an empty name is only similar to nothing.
     """
     spark = ship(names.sparkSession)
-    q = queries.where("name is not null").select("name").distinct().orderBy("name")
-    # A set number of partitions keeps the few but costly rows from being coalesced into one task.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    all_names = names.where("name is not null").select("name").distinct().repartition(parts, "name")
-    total = q.count()
-    out: DataFrame | None = None
-    for start in range(0, max(total, 1), BLOCK):
-        block = [r[0] for r in q.offset(start).limit(BLOCK).collect()]
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            asked = shared.value
-            toks = [frozenset(tokenize(x)) for x in asked]
-            for b in batches:
-                names = b["name"].tolist()
-                low = [x.lower() for x in names]
-                counts, lengths = profile(low)
-                heads = head_codes(low)
-                short = lengths <= WIDTH
-                table = codes([x if k else "" for x, k in zip(low, short)], int(lengths[short].max(initial=0)))
-                own = [frozenset(tokenize(x)) for x in names]
-                by_token: dict[str, list[int]] = {}
-                for i, t in enumerate(own):
-                    for w in t or ("",):
-                        by_token.setdefault(w, []).append(i)
-                rows = []
-                for name, t in zip(asked, toks):
-                    x = name.lower()
-                    q, n = profile([x])
-                    near = np.flatnonzero(may_reach(q[0], int(n[0]), counts, lengths, least, heads, head_codes([x])[0]))
-                    best: dict[int, float] = {}
-                    easy = near[short[near]]
-                    s = jaro_winkler_many(x, table[easy], lengths[easy])
-                    best.update((int(i), float(v)) for i, v in zip(easy[s >= least], s[s >= least]))
-                    for i in near[~short[near]]:
-                        if (v := jaro_winkler(x, low[i])) >= least:
-                            best[int(i)] = v
-                    for i in {i for w in t or ("",) for i in by_token.get(w, ())}:
-                        jac = 1.0 if not t and not own[i] else len(t & own[i]) / len(t | own[i])
-                        if jac >= least:
-                            best[i] = max(best.get(i, 0.0), jac)
-                    rows += [(name, names[i], v) for i, v in best.items() if low[i] != x]
-                yield pd.DataFrame(rows, columns=["query", "name", "score"])
-
-        part = all_names.mapInPandas(run, "query string, name string, score double")
-        out = part if out is None else out.unionByName(part)
-    return out
+    q = queries.where("name is not null").select("name").distinct()
+    blocks = max(1, math.ceil(q.count() / BLOCK))
+    every = names.where("name is not null").select("name").distinct()
+    left = q.select("name", F.pmod(F.xxhash64("name", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("slice"))
+    right = every.select("name", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int").alias("slice"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        asked, some = a["query"].tolist(), b["name"].tolist()
+        rows = [r for k in range(0, len(some), CHUNK) for r in _best(asked, some[k : k + CHUNK], least, top)] if asked else []
+        return pd.DataFrame(rows, columns=["query", "name", "score"])
+
+    # A set number of partitions keeps the few but costly groups from being coalesced into one task.
+    left = left.toDF("query", "block", "slice").repartition(parts, "block", "slice")
+    right = right.toDF("name", "block", "slice").repartition(parts, "block", "slice")
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInPandas(run, "query string, name string, score double")
 
 
 def similar_symbols(queries: DataFrame, symbols: DataFrame, least: float = 0.6, limit: int = 20) -> DataFrame:
     """query, fqdn, score, rank: the best symbols per query name, score first, then path; symbols of the query's own name
     (but for case) are left out. ``symbols``: fqdn, name, already filtered."""
-    scores = name_scores(queries, symbols.select("name"), least)
+    scores = name_scores(queries, symbols.select("name"), least, limit)
     hits = scores.join(symbols.select("fqdn", "name"), "name").withColumn("score", F.round("score", 6))
     return first_per(hits, ["query"], [F.desc("score"), "fqdn"], limit).select("query", "fqdn", "score", "rank")
 
