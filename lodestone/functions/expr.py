@@ -165,3 +165,13 @@ def threshold(value: float | None, default: float) -> float:
     if not 0.0 <= v <= 1.0:
         raise ValueError("a threshold lies between 0 and 1")
     return v
+
+
+def to_json_text(value: Column) -> Column:
+    """Nested values as JSON text; null fields are left out, null stays null."""
+    return F.to_json(value)
+
+
+def from_json_text(text: Column, ddl: str) -> Column:
+    """Nested values from JSON text; null, and text that is none, give null."""
+    return F.from_json(text, ddl)

@@ -44,6 +44,14 @@ def neighbourhood(focals: DataFrame, edges: DataFrame, symbols: DataFrame, depth
     return seen
 
 
+def dispatch(requests: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int | None = 2, max_nodes: int | None = 500) -> DataFrame:
+    """focal, known, nodes of each request (focal): the size of its neighbourhood; a name that is no symbol is echoed with
+    none. Repeated requests are one, a null one is dropped."""
+    asked = requests.where("focal is not null").select("focal").distinct()
+    n = neighbourhood(asked, edges, symbols, depth, max_nodes).groupBy("focal").agg(F.count("*").alias("nodes"))
+    return asked.join(n, "focal", "left").select("focal", F.col("nodes").isNotNull().alias("known"), F.coalesce("nodes", F.lit(0).cast("bigint")).alias("nodes"))
+
+
 def edges_within(nodes: DataFrame, edges: DataFrame, kinds: list[str] | None = None, depth: int | None = None) -> DataFrame:
     """focal, from_fqdn, to_fqdn, kind, outbound: edges with both ends admitted and one end expanded (nearer than the last
     hop), once per (from, to, kind); ``outbound`` as first discovered."""

@@ -83,6 +83,17 @@ def search(docs: DataFrame, key: list[str], text: Column, requests: DataFrame, l
     return first_per(kept, ["request_id"], [F.desc(F.round("score", 9)), *key], limit).select("request_id", *key, F.round("score", 6).alias("score"), "rank")
 
 
+def envelopes(requests: DataFrame, hits: DataFrame, shown: int = 20, lean_above: int = 15) -> DataFrame:
+    """query, hits, mode, body: the JSON answer to each request (query), from hits (query, fqdn): the count of all hits and the
+    first ``shown`` names. ``mode`` is empty, full, or lean where there are more than ``lean_above``. Only shown names are ever
+    gathered; the count is a partial aggregate."""
+    n = hits.groupBy("query").agg(F.count("*").alias("hits"))
+    names = first_per(hits, ["query"], ["fqdn"], shown).groupBy("query").agg(F.sort_array(F.collect_list("fqdn")).alias("results"))
+    j = requests.join(n, "query", "left").join(names, "query", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
+    body = F.to_json(F.struct("query", F.col("hits").alias("count"), F.coalesce("results", F.array().cast("array<string>")).alias("results")))
+    return j.select("query", "hits", F.when(F.col("hits") > lean_above, "lean").when(F.col("hits") > 0, "full").otherwise("empty").alias("mode"), body.alias("body"))
+
+
 def call_sites(calls: DataFrame, from_fqdn: str | None = None, callee: str | None = None, pattern: str | None = None, limit: int | None = None) -> DataFrame:
     """Call sites by any of three conditions, oldest id first; 50 by default, 200 at most, limit 0 gives none."""
     n = 50 if limit is None else max(0, min(200, limit))

@@ -63,7 +63,9 @@ def o105_implements(spark: SparkSession, root: str) -> DataFrame:
     return extracted(spark, root).where("what = 'edge' and kind in ('IMPLEMENTS', 'EXTENDS')").select("path", "fqdn", "kind", "target", "attribute")
 
 
-@query()
+@query(r"""WITH s AS (SELECT unnest(regexp_extract_all(content, 'fn\s+\w+\s*(?:<[^>{}]*>)?\s*\([^{};]*\)\s*->\s*[^{;]+')) AS s FROM files WHERE suffix(path, '.rs') AND content IS NOT NULL),
+one AS (SELECT regexp_extract(s, 'fn\s+(\w+)', 1) AS name, regexp_extract(s, '->\s*&?(?:''\w+\s+)?(?:mut\s+)?([A-Za-z_][\w:]*)', 1) AS ty FROM s)
+SELECT name, string_split(min(ty), '::')[-1] AS return_type FROM one WHERE ty <> '' GROUP BY name HAVING min(ty) = max(ty)""")
 def o107_return_types(spark: SparkSession, root: str) -> DataFrame:
     """Return types of functions over the whole workspace, where a name has just one."""
     return extract.return_types(table(spark, root, "files").select("path", "content"))
