@@ -41,10 +41,16 @@ JS_GLOBALS = frozenset("console window document globalThis self undefined NaN In
 _SKIP_CALLS = frozenset("if while for switch match return sizeof function catch typeof await elseif until and or not".split())
 
 
+_SCRIPT_VALUES = re.compile(r"(?m)^(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=(?!\s*(?:async\b|function\b|\())")
+_VALUES = {"rust": re.compile(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?([A-Z_]\w*)\s*:"), "typescript": _SCRIPT_VALUES, "javascript": _SCRIPT_VALUES, "vue": _SCRIPT_VALUES, "svelte": _SCRIPT_VALUES}
+
+
 class _File:
     def __init__(self, path: str, text: str, language: str, module: str, returns: dict[str, str]):
         self.path, self.text, self.language, self.module, self.returns = path, text, language, module, returns
         self.rows: list[dict] = []
+        #: Names of the file's own constants and variables, whose reads are references.
+        self.values = frozenset(_VALUES[language].findall(text)) if language in _VALUES else frozenset()
         self.starts = [0]
         for m in re.finditer("\n", text):
             self.starts.append(m.end())
@@ -191,8 +197,10 @@ def _arguments(f: _File, t: list[str], o: list[int], close: dict[int, int], a: i
     return out
 
 
-def _calls(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int, int], a: int, z: int, source: str, types: dict[str, str]) -> None:
-    """Call sites and CALLS edges between two token indexes."""
+def _calls(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int, int], a: int, z: int, source: str, types: dict[str, str], names: dict[str, str] | None = None, module: str | None = None) -> None:
+    """Call sites, CALLS edges and value reads between two token indexes. ``names``: what imported names stand for in the
+    scope; ``module``: the module it belongs to."""
+    names, module = names or {}, f.module if module is None else module
     path_sep = "::" if f.language == "rust" else "."
     i = a
     while i < z:
@@ -219,11 +227,27 @@ def _calls(f: _File, t: list[str], w: list[str], o: list[int], close: dict[int,
                 elif method:
                     f.put("edge", fqdn=source, kind="CALLS", target=chain[-1], receiver_type=recv, start_line=f.line(o[i]))
                 else:
-                    target = path_sep.join(chain) if f.language != "rust" or len(chain) > 1 else f"{f.module}::{chain[0]}" if f.module else chain[0]
+                    target = path_sep.join(chain) if f.language != "rust" else _target(chain, names, module, types.get("Self"))
                     f.put("edge", fqdn=source, kind="CALLS", target=target, receiver_type=recv, start_line=f.line(o[i]))
+        elif t[i] == "IDENT" and t[i - 1] not in (".", "?.", "::", "let", "mut", "const", "fn", "function", "var", "|") and i + 1 < len(t) and t[i + 1] not in ("(", "!", "::", ":", "=>") and not (t[i + 1] == "=" and t[i - 1] in ("{", ";", ",")):
+            name = _name(w[i])
+            if name in f.values or name in names and f.language != "rust":
+                f.put("edge", fqdn=source, kind="REFERENCES", target=names.get(name) or (f"{f.module}::{name}" if f.module else name), attribute="value-read", start_line=f.line(o[i]))
         i += 1
 
 
+def _target(chain: list[str], names: dict[str, str], module: str, own: str | None) -> str:
+    """What the path of a Rust call means: an imported name, a path from crate, self, super or Self, a function of the module."""
+    head, rest = chain[0], chain[1:]
+    if head in ("crate", "self", "super"):
+        return _absolute(chain, module)
+    if head == "Self" and own:
+        return "::".join(x for x in (module, own, *rest) if x)
+    if head in names:
+        return "::".join((names[head], *rest))
+    return "::".join(chain) if rest or not module else f"{module}::{head}"
+
+
 def _use_tree(t: list[str], w: list[str], i: int, prefix: list[str], out: list[tuple[list[str], str | None]]) -> int:
     """Leaves of a Rust ``use`` tree: (path, alias)."""
     path = list(prefix)
@@ -241,7 +265,7 @@ def _use_tree(t: list[str], w: list[str], i: int, prefix: list[str], out: list[t
             out.append(([*path, "*"], None))
             return i + 1
         elif t[i] == "as":
-            out.append((path, _name(w[i + 1]) if i + 1 < len(w) else None))
+            out.append((path[:-1] if path[-1:] == ["self"] and len(path) > 1 else path, _name(w[i + 1]) if i + 1 < len(w) else None))
             return i + 2
         elif t[i] in (",", "}", ";"):
             break
@@ -299,8 +323,25 @@ def rust(f: _File) -> None:
                     x += 1
             i = e + 1
 
+    def uses(a: int, z: int, module: str) -> dict[str, str]:
+        """What the ``use`` items of a scope bind, the latest last."""
+        out: dict[str, str] = {}
+        i = a
+        while i < z:
+            if t[i] == "use":
+                leaves: list[tuple[list[str], str | None]] = []
+                _use_tree(t, w, i + 1, [], leaves)
+                out |= {alias or path[-1]: _absolute(path, module) for path, alias in leaves if path and path[-1] != "*"}
+                while i < z and t[i] != ";":
+                    i = close.get(i, i) + 1 if t[i] == "{" else i + 1
+            i = close.get(i, i) + 1 if i < z else i
+        return out
+
     def walk(a: int, z: int, owner: str, ctx: dict) -> None:
         i, pub, attrs = a, False, []
+        if "module" not in ctx:
+            # A module sees its own imports only.
+            ctx = ctx | {"module": owner, "names": uses(a, z, owner)}
         while i < z:
             k = t[i]
             if k == "#" and i + 1 < z and t[i + 1] in ("[", "!"):
@@ -360,9 +401,9 @@ def rust(f: _File) -> None:
                             if ty:
                                 head = nominal_head(ty)
                                 types[lm.group(1)] = nominal_head(re.sub(r"^\w+<(.*)>$", r"\1", ty.strip())) if head in TRANSPARENT else head
-                        _calls(f, t, w, o, close, e, end, fq, types)
+                        _calls(f, t, w, o, close, e, end, fq, types, ctx["names"] | uses(e + 1, end, ctx["module"]), ctx["module"])
                 elif k == "trait" and e < z and t[e] == "{":
-                    walk(e + 1, end, fq, {"trait": name})
+                    walk(e + 1, end, fq, {"trait": name, "module": ctx["module"], "names": ctx["names"]})
                 elif k == "mod" and e < z and t[e] == "{":
                     walk(e + 1, end, fq, {})
                 elif k == "enum" and e < z and t[e] == "{":
@@ -384,7 +425,7 @@ def rust(f: _File) -> None:
                 name = nominal_head(ty)
                 if of:
                     f.put("edge", fqdn=f"{owner}::{name}" if owner else name, kind="IMPLEMENTS", target=nominal_head(of.lstrip("!")), start_line=f.line(offset(i)))
-                walk(e + 1, end, f"{owner}::{name}" if owner else name, {"impl": name, "of": nominal_head(of) if of else None})
+                walk(e + 1, end, f"{owner}::{name}" if owner else name, {"impl": name, "of": nominal_head(of) if of else None, "module": ctx["module"], "names": ctx["names"]})
                 i, pub, attrs = end + 1, False, []
                 continue
             if k == "use":
@@ -392,7 +433,7 @@ def rust(f: _File) -> None:
                 _use_tree(t, w, i + 1, [], leaves)
                 for path, alias in leaves:
                     tag = "wildcard" if path[-1] == "*" else "re-export" if pub else f"alias:{alias}" if alias else None
-                    f.put("edge", fqdn=owner or f.module, kind="IMPORTS", target=_absolute([x for x in path if x != "*"], f.module), attribute=tag, start_line=f.line(offset(i)))
+                    f.put("edge", fqdn=owner or f.module, kind="IMPORTS", target=_absolute([x for x in path if x != "*"], ctx["module"]), attribute=tag, start_line=f.line(offset(i)))
                     if pub and path[-1] != "*":
                         f.put("symbol", name=alias or path[-1], fqdn=f"{owner}::{alias or path[-1]}", kind="type", language_kind="re_export", module=owner, visibility="public", start_line=f.line(offset(i)), end_line=f.line(offset(i)))
                 while i < z and t[i] != ";":
@@ -509,6 +550,24 @@ def script(f: _File, base: int = 0) -> None:
     i, exported, depth_end = 0, False, []
     owners: list[tuple[int, str]] = []
     spans: list[tuple[int, int, str]] = []
+    bound: dict[str, str] = {}
+
+    def members(a: int, z: int, fq: str, kind: str) -> None:
+        """Members between the braces of an interface or enum."""
+        x, fresh = a + 1, True
+        while x < z:
+            if fresh and t[x] not in (",", ";", "}", "[") and re.match(r"[A-Za-z_$]", w[x]) and (kind == "enum" or t[x] != "readonly"):
+                nxt = t[x + 1]
+                if kind == "enum" and nxt in (",", "=", "}") or kind == "interface" and (nxt in ("?", ":", "(", "<")):
+                    method = kind == "interface" and t[x + 2 if nxt == "?" and x + 2 < z else x + 1] in ("(", "<")
+                    f.put("symbol", name=_name(w[x]), fqdn=f"{fq}::{_name(w[x])}", kind="callable" if method else "value", language_kind="enum_member" if kind == "enum" else "method" if method else "property", module=fq, visibility="public", start_line=f.line(offset(x)), end_line=f.line(offset(x)))
+                fresh = False
+            was = x
+            x = close.get(x, x) + 1
+            if x < z:
+                fresh = fresh or t[x - 1] in (",", ";") or kind == "interface" and t[x] not in ("|", "&", "?", ":", ".", "[", "=>", "extends") and f.line(offset(x)) > f.line(offset(x - 1)) and t[x - 1] not in ("|", "&", ":", "=>", "<", ",")
+                if t[was] in (",", ";"):
+                    fresh = True
 
     def owner() -> str:
         while owners and owners[-1][0] < i:
@@ -526,6 +585,7 @@ def script(f: _File, base: int = 0) -> None:
             if j < n and t[j] == "STR":
                 spec = f.text[offset(j) : offset(j + 1) if j + 1 < n else len(f.text)].strip().rstrip(";").strip().strip("'\"")
                 names = [_name(w[x]) for x in range(i + 1, j) if t[x] == "IDENT" and not (x > 0 and t[x - 1] == "as")]
+                bound |= {_name(w[x]): f"{resolve_module(spec, f.path)}::{_name(w[x - 2] if t[x - 1] == 'as' and t[x - 2] == 'IDENT' else w[x])}" for x in range(i + 1, j) if t[x] == "IDENT" and t[x + 1] != "as"}
                 for nm in names or [None]:
                     f.put("edge", fqdn=f.module, kind="IMPORTS", target=f"{resolve_module(spec, f.path)}{'::' + nm if nm else ''}", start_line=f.line(offset(i)))
             i = j + 1
@@ -552,6 +612,8 @@ def script(f: _File, base: int = 0) -> None:
                 m = re.search(rf"\b{word}\s+([^{{]+?)(?=\bimplements\b|$)", head)
                 for b in re.split(r",(?![^<]*>)", m.group(1)) if m else ():
                     f.put("edge", fqdn=fq, kind=kind, target=nominal_head(b), start_line=f.line(offset(i)))
+            if k in ("interface", "enum"):
+                members(e, end, fq, k)
             if k == "class":
                 owners.append((end, fq))
                 i, exported = e + 1, False
@@ -585,17 +647,25 @@ def script(f: _File, base: int = 0) -> None:
                     f.put("edge", fqdn=fq, kind="USES_TYPE", target=ty, attribute="type-annotation", start_line=f.line(offset(i)))
                 types = {"this": own.rsplit("::", 1)[-1]} if in_class else {}
                 types |= dict(re.findall(r"(?:const|let|var)\s+(\w+)\s*=\s*new\s+(\w+)", f.text[offset(e) : offset(end)]))
-                _calls(f, t, w, o, close, e, end, fq, types)
+                _calls(f, t, w, o, close, e, end, fq, types, bound)
                 spans.append((e, end, fq))
                 i, exported = end + 1, False
                 continue
+        if in_class and k in ("IDENT", "PRIVATE") and i + 1 < n and (t[i + 1] in (":", "=", ";", "!") or t[i + 1] == "?" and i + 2 < n and t[i + 2] == ":"):
+            e = i
+            while e < owners[-1][0] and t[e] != ";" and not (e > i and f.line(offset(e)) > f.line(offset(e - 1)) and t[e] not in (".", "?", ":", "+", "&&", "||", "|", "&", ")", "]", "}")):
+                e = close.get(e, e) + 1
+            fq = f.symbol(_name(w[i]), "value", "property", own, offset(i), offset(e), visibility="private" if k == "PRIVATE" or i and t[i - 1] in ("private", "protected") else "public", receiver_type=own.rsplit("::", 1)[-1])
+            _calls(f, t, w, o, close, i + 1, min(e, n), fq, {"this": own.rsplit("::", 1)[-1]}, bound)
+            i, exported = max(e, i + 1), False
+            continue
         if k in ("const", "let", "var") and not in_class and i + 1 < n and t[i + 1] == "IDENT":
             e = i
             while e < n and t[e] != ";" and not (e > i + 2 and f.line(offset(e)) > f.line(offset(e - 1)) and t[e] not in (".", "?", ":", "+", "&&", "||", ")", "]", "}")):
                 e = close.get(e, e) + 1
             fn = re.match(r"(?:const|let|var)\s+\w+\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*(?::[^=]+)?=>|\w+\s*=>)", f.text[offset(i) : offset(e)])
             fq = f.symbol(_name(w[i + 1]), "callable" if fn else "value", "function" if fn else "const" if k == "const" else "var", own, offset(i), offset(e), visibility=vis)
-            _calls(f, t, w, o, close, i + 2, min(e, n), fq if fn else f.module, {})
+            _calls(f, t, w, o, close, i + 2, min(e, n), fq if fn else f.module, {}, bound)
             if fn:
                 spans.append((i + 2, min(e, n) - 1, fq))
             i, exported = e, False
@@ -793,3 +863,41 @@ def return_types(files: DataFrame) -> DataFrame:
     one = sig.select(F.regexp_extract("s", r"fn\s+(\w+)", 1).alias("name"), F.regexp_extract("s", r"->\s*&?(?:'\w+\s+)?(?:mut\s+)?([A-Za-z_][\w:]*)", 1).alias("ty")).where("ty <> ''")
     single = one.groupBy("name").agg(F.min("ty").alias("ty"), F.max("ty").alias("t2")).where("ty = t2")
     return single.select("name", F.substring_index("ty", "::", -1).alias("return_type"))
+
+
+def module_lookups(rows: DataFrame) -> DataFrame:
+    """module, side, name, origin_module, origin_symbol, resolved_fqdn, re_export of each module, from rows of :func:`extract`.
+
+    ``export`` rows are the public names of a module's root scope, re-exports among them with where they come from; ``import``
+    rows its local names. A wildcard has the symbol ``*``. A name that is bound twice keeps its first binding by line.
+    """
+    last, head = expr.last_segment(F.col("target")), expr.parent(F.col("target"))
+    wild = F.contains(F.coalesce("attribute", F.lit("")), F.lit("wildcard"))
+    again = F.contains(F.coalesce("attribute", F.lit("")), F.lit("re-export"))
+    alias = F.regexp_extract(F.coalesce("attribute", F.lit("")), "alias:(\\w+)", 1)
+    i = rows.where("what = 'edge' and kind = 'IMPORTS' and target <> ''").select(
+        F.col("fqdn").alias("module"), F.lit("import").alias("side"), F.when(wild, "*").when(alias != "", alias).otherwise(last).alias("name"),
+        F.when(wild, F.col("target")).otherwise(F.coalesce(head, F.lit(""))).alias("origin_module"), F.when(wild, "*").otherwise(last).alias("origin_symbol"), F.lit(None).cast("string").alias("resolved_fqdn"), (again | wild).alias("re_export"), "start_line")
+    e = rows.where("what = 'symbol' and visibility = 'public' and module is not null and kind <> 'module'").select(
+        "module", F.lit("export").alias("side"), "name", F.lit(None).cast("string").alias("origin_module"), F.lit(None).cast("string").alias("origin_symbol"), F.col("fqdn").alias("resolved_fqdn"), (F.col("language_kind") == "re_export").alias("re_export"), "start_line")
+    rest = ["origin_module", "origin_symbol", "resolved_fqdn", "re_export"]
+    one = i.unionByName(e).groupBy("module", "side", "name").agg(F.min_by(F.struct(*rest), F.struct("start_line", *rest)).alias("r"))
+    return one.select("module", "side", "name", "r.*")
+
+
+def with_builtins(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of :func:`extract` after the tiers of built-in names (language, name, tier, synthetic_fqdn): edges to ``drop`` names
+    go, ``attribute`` names become a flag in ``attribute``, ``edge`` names lead to their synthetic symbol. All else stays.
+
+    Type uses, traits and macros are looked up by their last segment, calls of Rust only where it begins with a capital (a
+    variant or tuple type); calls of the other languages by what they begin with.
+    """
+    language = F.create_map(*[F.lit(x) for x in _PAIRS])[F.regexp_extract("path", r"\.([^.]+)$", 1)]
+    last = expr.last_segment(F.col("target"))
+    called = (F.col("kind") == "CALLS") & ~(F.coalesce("attribute", F.lit("")) == "macro")
+    name = F.when(F.col("what") != "edge", None).when(F.col("kind").isin("IMPORTS", "REFERENCES"), None).when(~called, last).when(language == "rust", F.when(last.rlike("^[A-Z]"), last)).otherwise(F.regexp_extract("target", r"^([^.:]+)", 1))
+    known = F.when(language.isin("vue", "svelte"), "typescript").otherwise(language)
+    j = rows.withColumn("__l", known).withColumn("__n", name).join(registry.select(F.col("language").alias("__l"), F.col("name").alias("__n"), "tier", "synthetic_fqdn"), ["__l", "__n"], "left")
+    kept = j.where("tier is null or tier <> 'drop'")
+    flag = F.concat_ws(",", "attribute", F.concat(F.lit("builtin-"), F.lower("__n")))
+    return kept.withColumn("attribute", F.when(F.col("tier") == "attribute", flag).otherwise(F.col("attribute"))).withColumn("target", F.when((F.col("tier") == "edge") & ~F.startswith("target", F.lit("<builtin>")), F.col("synthetic_fqdn")).otherwise(F.col("target"))).select(*rows.columns)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import data_queries, extract_queries, graph_queries, lookup_queries, maintenance_queries, resolve_queries, storage_queries
+from lodestone.plans import case_queries, data_queries, extract_queries, graph_queries, lookup_queries, maintenance_queries, resolve_queries, storage_queries
 
-MODULES = [data_queries, lookup_queries, graph_queries, resolve_queries, maintenance_queries, extract_queries, storage_queries]
+MODULES = [data_queries, lookup_queries, graph_queries, resolve_queries, maintenance_queries, extract_queries, storage_queries, case_queries]
 
 
 def queries() -> dict:

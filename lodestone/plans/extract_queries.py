@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import LINE_BREAK, slice_lines
-from lodestone.operators import extract, resolve, similar
+from lodestone.operators import builtins, extract, resolve, similar
 from lodestone.plans.registry import CUR, EDGE, LIVE, Registry
 from lodestone.plans.resolve_queries import _SCORE, _tok
 from lodestone.session import ship
@@ -28,7 +28,14 @@ def extracted(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def o06_extract(spark: SparkSession, root: str) -> DataFrame:
-    return extracted(spark, root)
+    """Everything, edges to built-in names by their tier."""
+    return extract.with_builtins(extracted(spark, root), builtins.registry(spark))
+
+
+@query()
+def o115_module_lookups(spark: SparkSession, root: str) -> DataFrame:
+    """What every module exports and imports."""
+    return extract.module_lookups(extracted(spark, root))
 
 
 def _symbols(x: DataFrame, *ends: str) -> DataFrame:
