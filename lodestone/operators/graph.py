@@ -30,7 +30,9 @@ def neighbourhood(focals: DataFrame, edges: DataFrame, symbols: DataFrame, depth
     (focal, node) before it is shuffled again, and is written to the shared folder, so the plan doesn't grow.
     """
     depth, most = clamp(depth, 2, 1, 5), clamp(max_nodes, 500, 1, 5000)
-    adj = cut(adjacency(edges, kinds).select("node", "other", "outbound", "edge_id"))
+    adj = adjacency(edges, kinds).select("node", "other", "outbound", "edge_id")
+    # One hop reads the edges once; only more of them are worth writing the adjacency down.
+    adj = cut(adj) if depth > 1 else adj
     known = symbols.select(F.col("fqdn").alias("focal")).distinct()
     seen = cut(focals.select("focal").distinct().join(known, "focal", "left_semi").select("focal", F.col("focal").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("ordinal")))
     for hop in range(1, depth + 1):

@@ -58,7 +58,7 @@ def search(docs: DataFrame, key: list[str], text: Column, requests: DataFrame, l
     """request_id, key, score, rank: documents with all terms of the request; where there is none and the request has
     several terms, those with any. Ranked by BM25 (smallest idf 1e-6), ties by key.
 
-    Words of a request are split as texts are, so ``strip_rs`` asks for both parts side by side (checked against the text).
+    Words of a request are split as texts are, so ``load_db`` asks for both parts side by side (checked against the text).
     """
     post = postings(docs, key, text)
     stats = docs.select(F.size(expr.search_terms(text)).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("avgdl"))

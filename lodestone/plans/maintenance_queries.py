@@ -203,8 +203,8 @@ def o149_purge_ignored(spark: SparkSession, root: str) -> DataFrame:
     return s.where(~inc.ignored(F.col("file_path"), BEFORE)).select("workspace_id", "fqdn")
 
 
-@query(f"WITH {EDGE}, s AS (SELECT edge_id, unnest(sites) AS s FROM e1 WHERE workspace_id = 'primary') SELECT edge_id, CASE WHEN starts_with(s.file, 'ws:') THEN s.file ELSE 'ws:peer-1:' || s.file END AS file, s.line AS line, s.col AS col FROM s")
+@query(f"WITH {EDGE}, s AS (SELECT edge_id, unnest(sites) AS s FROM e1) SELECT edge_id, CASE WHEN starts_with(s.file, 'ws:') THEN s.file ELSE 'ws:peer-1:' || s.file END AS file, s.line AS line, s.col AS col FROM s")
 def o150_peer_paths(spark: SparkSession, root: str) -> DataFrame:
-    """Sites of the primary workspace as a peer would see them."""
-    e = distinct_edges(spark, root, "workspace_id", "sites").where("workspace_id = 'primary'")
+    """The sites of all edges as a peer would see them; paths that are marked already stay."""
+    e = distinct_edges(spark, root, "workspace_id", "sites")
     return workspace.import_peer(e, "peer-1").select("edge_id", F.inline("sites"))

@@ -148,7 +148,15 @@ def o53_scoped_modules(spark: SparkSession, root: str) -> DataFrame:
     return rollup.module_rollup(live_symbols(spark, root, "kind"), "graphite_core::core")[0].select("module", "depth", "symbols")
 
 
-@query()
+_UP = "regexp_replace({0}, '::[^:]*$', '')"
+
+
+@query(f"""WITH {GRAPH}, ms AS (SELECT DISTINCT string_split(fqdn, '::') AS s FROM live WHERE kind = 'module'), mods AS (SELECT DISTINCT array_to_string(s[1:i], '::') AS m FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM ms)),
+sy AS (SELECT DISTINCT fqdn, string_split(fqdn, '::') AS s FROM live), up AS (SELECT fqdn, i AS depth, array_to_string(s[1:i], '::') AS m FROM (SELECT fqdn, s, unnest(range(1, len(s) + 1)) AS i FROM sy) WHERE array_to_string(s[1:i], '::') IN (SELECT m FROM mods)),
+home AS (SELECT a.fqdn, a.m AS scope, max_by(b.m, b.depth) AS module FROM up a JOIN up b ON a.fqdn = b.fqdn AND b.depth BETWEEN a.depth AND a.depth + 1 GROUP BY a.fqdn, a.m), nodes AS (SELECT DISTINCT scope, module FROM home),
+ge AS (SELECT from_fqdn, target, kind, count(*) AS n FROM g WHERE resolved GROUP BY ALL)
+SELECT n.scope, {_UP.format('n.module')} AS from_module, n.module AS to_module, 'parent_child' AS edge_kind, NULL AS kind, 1 AS weight FROM nodes n JOIN nodes p ON p.scope = n.scope AND p.module = {_UP.format('n.module')} WHERE n.module <> n.scope
+UNION ALL SELECT a.scope, a.module, b.module, 'cross', kind, CAST(sum(n) AS BIGINT) FROM ge JOIN home a ON a.fqdn = from_fqdn JOIN home b ON b.fqdn = target AND b.scope = a.scope WHERE a.module <> b.module AND {_UP.format('a.module')} <> b.module AND {_UP.format('b.module')} <> a.module GROUP BY ALL""")
 def o53_scoped_edges(spark: SparkSession, root: str) -> DataFrame:
     """Edges between the modules right below each module."""
     return rollup.scoped_edges(live_symbols(spark, root, "kind"), graph_edges(spark, root))
