@@ -103,3 +103,23 @@ def test_snapshots_rewrite_touched_buckets_only(spark, tmp_path):
     assert len(versions[max(versions)]) == 1  # the last batch wrote one bucket
     assert sum(map(len, versions.values())) < 16 + len(versions) + 2  # replaced buckets are gone
     assert live.snapshot(spark, str(tmp_path / "nothing"), schema).count() == 0
+
+
+def test_configuration_is_strict_and_takes_over_old_ignore_files():
+    from lodestone.sources import workspace
+
+    c = workspace.parse_config('version = 1\nignore {\n  target/\n}\nproject "core" "crates/core" { kind = "rust" }\nviz {\n  port = 80\n}\n')
+    assert c["ignore"] == ["target/"] and c["project"][0]["args"] == ["core", "crates/core"] and c["viz"][0]["port"] == "80"
+    for bad in ('extra { a }', 'colour = "red"\n', 'project "a" { size = 3 }', 'viz { host = "x" }', "ignore {"):
+        with pytest.raises(ValueError):
+            workspace.parse_config(bad)
+    assert workspace.parse_config("extra {\n a\n}\n", strict=False)["extra"][0]["lines"] == ["a"]
+    assert workspace.parse_config(workspace.legacy_config("# old\ntarget/\n\n*.min.js\n"))["ignore"] == ["target/", "*.min.js"]
+
+
+def test_discovery_by_manifest(spark):
+    from lodestone.sources import workspace
+
+    p = spark.createDataFrame([("a/Cargo.toml",), ("a/CMakeLists.txt",), ("a/src/x.c",), ("b/CMakeLists.txt",), ("b/include/deep/y.hpp",), ("b/src/z.c",), ("c/CMakeLists.txt",), ("c/other/z.c",), ("d/CMakeLists.txt",), ("d/lib/z.c",), ("e/x-1.rockspec",), ("f/package.json",), ("f/bun.lockb",), (None,)], "path string")
+    assert {(r.rel_path, r.kind) for r in workspace.discover_projects(p).collect()} == {("a", "rust"), ("b", "cpp"), ("d", "c"), ("e", "lua"), ("f", "bun")}
+    assert workspace.discover_projects(p.limit(0)).count() == 0
