@@ -20,83 +20,97 @@ JS_WORDS = frozenset(
     "async of get set static from as type interface declare namespace module abstract readonly satisfies is keyof infer unique asserts implements private protected public override accessor global out require using defer source assert await yield let package any number string boolean never unknown object symbol bigint undefined target meta".split()
 )
 
+#: Blanks and line comments before a token, taken in one go and never given back.
+_SKIP_RUST, _SKIP_C, _SKIP_LUA = r"(?:\s++|//[^\n]*+)*+", r"(?:[ \t\r\f\v]++|\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\.)*+|/\*(?:[^*]|\*(?!/))*+\*/|\n)*+", r"\s*+"
+_SKIP_JS = r"(?:[^\S\n\u2028\u2029]++|//[^\n\u2028\u2029]*+)*+"
+
 _RUST = re.compile(
-    r"(?P<WS>\s+|//[^\n]*)|(?P<BC>/\*)|(?P<RAW>(?:br|cr|r)(#*)\")|(?P<STR>(?:b|c)?\"(?:[^\"\\]|\\.)*\")|(?P<BADSTR>(?:b|c)?\")|"
+    _SKIP_RUST + r"(?:(?P<BC>/\*)|(?P<RAW>(?:br|cr|r)(#*)\")|(?P<STR>(?:b|c)?\"(?:[^\"\\]|\\.)*\")|(?P<BADSTR>(?:b|c)?\")|"
     r"(?P<CHAR>b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))')|(?P<LIFETIME>'[^\W\d]\w*)|(?P<RID>r#[^\W\d]\w*)|"
     r"(?P<NUM>0x[0-9a-fA-F_]+(?:[iu](?:8|16|32|64|128|size))?|0o[0-7_]+\w*|0b[01_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?[\d_]+)?(?:[a-z]\w*)?)|(?P<ID>[^\W\d]\w*)|"
-    r"(?P<OP>\.\.\.|\.\.=|<<=|>=|::|->|=>|==|!=|<=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|&&|\|\||<<|\.\.|[-+*/%^!&|=<>@.,;:#$?~(){}\[\]])", re.S)
+    r"(?P<OP>\.\.\.|\.\.=|<<=|>=|::|->|=>|==|!=|<=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|&&|\|\||<<|\.\.|[-+*/%^!&|=<>@.,;:#$?~(){}\[\]]))", re.S)
 
 _C = re.compile(
-    r"(?P<NL>\n)|(?P<WS>[ \t\r\f\v]+|\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\.)*|/\*.*?\*/)|(?P<BADC>/\*)|(?P<STR>(?:u8|[uUL])?\"(?:[^\"\\\n]|\\.)*\")|(?P<CHAR>[uUL]?'(?:[^'\\\n]|\\.)+')|(?P<BAD>[\"'])|"
+    _SKIP_C + r"(?:(?P<BADC>/\*)|(?P<STR>(?:u8|[uUL])?\"(?:[^\"\\\n]|\\.)*\")|(?P<CHAR>[uUL]?'(?:[^'\\\n]|\\.)+')|(?P<BAD>[\"'])|"
     r"(?P<NUM>0[xX][0-9a-fA-F]+(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?\d+)?[uUlLfF]*|0[bB][01]+[uUlL]*|(?:\d[\d']*\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[uUlLfFdD]*(?![\w.]))|(?P<ID>[^\W\d]\w*)|"
-    r"(?P<OP>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\^=|\|=|[-+*/%=<>!~&|^?:;,.(){}\[\]#])", re.S)
+    r"(?P<OP>\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|<=|>=|==|!=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\^=|\|=|[-+*/%=<>!~&|^?:;,.(){}\[\]#]))", re.S)
 
 _LUA = re.compile(
-    r"(?P<WS>\s+)|(?P<LC>--\[(=*)\[)|(?P<CM>--[^\n]*)|(?P<LS>\[(=*)\[)|(?P<STR>\"(?:[^\"\\\n]|\\(?:z\s*|\r\n|.))*\"|'(?:[^'\\\n]|\\(?:z\s*|\r\n|.))*')|(?P<BAD>[\"'])|"
+    _SKIP_LUA + r"(?:(?P<LC>--\[(=*)\[)|(?P<CM>--[^\n]*)|(?P<LS>\[(=*)\[)|(?P<STR>\"(?:[^\"\\\n]|\\(?:z\s*|\r\n|.))*\"|'(?:[^'\\\n]|\\(?:z\s*|\r\n|.))*')|(?P<BAD>[\"'])|"
     r"(?P<NUM>0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)(?:[pP][+-]?\d+)?(?:ULL|LL|i)?|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?:ULL|LL|i)?(?![\w]))|(?P<ID>[A-Za-z_]\w*)|"
-    r"(?P<OP>\.\.\.|\.\.|==|~=|<=|>=|<<|>>|//|::|[-+*/%^#&|~<>=(){}\[\];:,.])", re.S)
+    r"(?P<OP>\.\.\.|\.\.|==|~=|<=|>=|<<|>>|//|::|[-+*/%^#&|~<>=(){}\[\];:,.]))", re.S)
 
 _JS = re.compile(
-    r"(?P<WS>[^\S\n\u2028\u2029]+)|(?P<NL>[\n\u2028\u2029]+)|(?P<CM>//[^\n\u2028\u2029]*)|(?P<BC>/\*.*?\*/)|(?P<BADC>/\*)|(?P<STR>\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')|(?P<BAD>[\"'])|"
+    _SKIP_JS + r"(?:(?P<NL>[\n\u2028\u2029]\s*+)|(?P<BC>/\*.*?\*/)|(?P<BADC>/\*)|(?P<STR>\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')|(?P<BAD>[\"'])|"
     r"(?P<NUM>0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?(?![\w$]))|(?P<ID>(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|\$|\u200c|\u200d|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*)|(?P<PRIV>#[^\W\d][\w$]*)|(?P<TPL>`)|"
-    r"(?P<OP>\.\.\.|=>|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|\?\.(?!\d)|\?\?|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|[-+*/%&|^!~<>=?:;,.(){}\[\]@])", re.S)
+    r"(?P<OP>\.\.\.|=>|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|\?\.(?!\d)|\?\?|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|\*\*|<<|[-+*/%&|^!~<>=?:;,.(){}\[\]@]))", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-zA-Z]*")
 _OPERAND = frozenset("IDENT NUM STR TPL TPLE REGEX PRIVATE JSXE ) ] } this super null true false ++ --".split())
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _JSX_SPACE = re.compile(r"(?:\s+|/\*.*?\*/|//[^\n]*)+", re.S)
 
 
+def _stuck(s: str, i: int, skip: re.Pattern) -> int:
+    """Where a text that no token matches at ``i`` goes on; its length where only blanks and comments are left."""
+    return skip.match(s, i).end()
+
+
+_AFTER_RUST, _AFTER_C, _AFTER_LUA, _AFTER_JS = (re.compile(x, re.S) for x in (_SKIP_RUST, _SKIP_C, _SKIP_LUA, _SKIP_JS))
+
+
 def lex_rust(s: str) -> Tokens:
-    t, b, o = [], [], []
-    i, n, nl = 0, len(s), False
+    """Tokens of a Rust text; its grammar knows no line breaks, so none are told."""
+    t, o = [], []
+    i, n = 0, len(s)
     if s.startswith("\ufeff"):
         i = 1
     if s.startswith("#!", i) and not s.startswith("#![", i):
         i = s.find("\n", i) if "\n" in s else n
-    match = _RUST.match
-    while i < n:
+    match, kind_of, at_of = _RUST.match, t.append, o.append
+    while True:
         m = match(s, i)
         if m is None:
-            return [*t, "ERR"], [*b, nl], [*o, i]
-        k, j = m.lastgroup, m.end()
-        if k == "WS":
-            nl = nl or "\n" in m.group()
-            i = j
+            i = _stuck(s, i, _AFTER_RUST)
+            if i < n:
+                kind_of("ERR")
+                at_of(i)
+            break
+        k = m.lastgroup
+        at = m.start(k)
+        if k == "OP":
+            kind_of(m[k])
+            at_of(at)
+            i = m.end()
+            continue
+        if k == "ID":
+            w = m[k]
+            kind_of(w if w in RUST_WORDS or w == "_" else "IDENT")
+            at_of(at)
+            i = m.end()
             continue
+        i = m.end()
         if k == "BC":
             depth = 1
             while depth:
-                a, z = s.find("/*", j), s.find("*/", j)
+                a, z = s.find("/*", i), s.find("*/", i)
                 if z < 0:
-                    return [*t, "ERR"], [*b, nl], [*o, i]
-                if 0 <= a < z:
-                    depth, j = depth + 1, a + 2
-                else:
-                    depth, j = depth - 1, z + 2
-            i = j
+                    return [*t, "ERR"], [False] * (len(t) + 1), [*o, at]
+                depth, i = (depth + 1, a + 2) if 0 <= a < z else (depth - 1, z + 2)
             continue
         if m.group("RAW"):
             close = '"' + m.group("RAW").lstrip("bcr")[:-1]
-            j = s.find(close, j)
-            if j < 0:
-                return [*t, "ERR"], [*b, nl], [*o, i]
-            kind, j = "STR", j + len(close)
+            at = m.start("RAW")
+            i = s.find(close, i)
+            if i < 0:
+                return [*t, "ERR"], [False] * (len(t) + 1), [*o, at]
+            k, i = "STR", i + len(close)
         elif k == "BADSTR":
-            return [*t, "ERR"], [*b, nl], [*o, i]
-        elif k == "ID":
-            w = m.group()
-            kind = w if w in RUST_WORDS or w == "_" else "IDENT"
+            return [*t, "ERR"], [False] * (len(t) + 1), [*o, at]
         elif k == "RID":
-            kind = "IDENT"
-        elif k == "OP":
-            kind = m.group()
-        else:
-            kind = k
-        t.append(kind)
-        b.append(nl)
-        o.append(i)
-        nl, i = False, j
-    return t, b, o
+            k = "IDENT"
+        kind_of(k)
+        at_of(at)
+    return t, [False] * len(t), o
 
 
 def _directives(s: str, pick: tuple[int, ...] = (), seen: set[tuple[int, ...]] | None = None) -> tuple[str, bool]:
@@ -185,67 +199,65 @@ def c_picks(s: str) -> list[tuple[int, ...]]:
 
 def lex_c(s: str, pick: tuple[int, ...] = ()) -> Tokens:
     """Tokens of a C text with the groups of ``pick`` (see :func:`_directives`), else the first of each conditional."""
-    t, b, o = [], [], []
+    t, o = [], []
     s = " " + s[1:] if s.startswith("\ufeff") else s
     s, closed = _directives(s, pick)
-    i, n, nl = 0, len(s), False
-    match = _C.match
-    while i < n:
-        m = match(s, i)
-        if m is None or m.lastgroup in ("BADC", "BAD"):
-            return [*t, "ERR"], [*b, nl], [*o, i]
+    i, n, match = 0, len(s), _C.match
+    while m := match(s, i):
         k = m.lastgroup
-        if k == "NL":
-            nl = True
-        elif k != "WS":
-            w = m.group()
-            kind = (w if w in C_WORDS else "IDENT") if k == "ID" else w if k == "OP" else k
-            if kind == "#":
-                return [*t, "ERR"], [*b, nl], [*o, i]
-            t.append(kind)
-            b.append(nl)
-            o.append(i)
-            nl = False
+        w = m[k]
+        if k == "BADC" or k == "BAD" or w == "#":
+            t.append("ERR")
+            o.append(m.start(k))
+            return t, [False] * len(t), o
+        t.append(w if k == "OP" else (w if w in C_WORDS else "IDENT") if k == "ID" else k)
+        o.append(m.start(k))
         i = m.end()
-    if not closed:
-        return [*t, "ERR"], [*b, nl], [*o, n]
-    return t, b, o
+    i = _stuck(s, i, _AFTER_C)
+    if i < n or not closed:
+        t.append("ERR")
+        o.append(i)
+    return t, [False] * len(t), o
 
 
 def lex_lua(s: str) -> Tokens:
-    t, b, o = [], [], []
-    i, n, nl = 0, len(s), False
+    """Tokens of a Lua text; its grammar knows no line breaks, so none are told."""
+    t, o = [], []
+    i, n = 0, len(s)
     if s.startswith("\ufeff"):
         i = 1
     if s.startswith("#", i):
         i = s.find("\n", i) if "\n" in s else n
     match = _LUA.match
-    while i < n:
-        m = match(s, i)
-        if m is None or m.lastgroup == "BAD":
-            return [*t, "ERR"], [*b, nl], [*o, i]
-        j = m.end()
-        if m.group("LC") or m.group("LS"):
-            close = "]" + "=" * m.group().count("=") + "]"
-            z = s.find(close, j)
+    while m := match(s, i):
+        k = m.lastgroup
+        i = m.end()
+        long = m.group("LC") or m.group("LS")
+        if long:
+            at = m.start("LC") if m.group("LC") else m.start("LS")
+            close = "]" + "=" * long.count("=") + "]"
+            z = s.find(close, i)
             if z < 0:
-                return [*t, "ERR"], [*b, nl], [*o, i]
-            j = z + len(close)
+                i = at
+                break
+            i = z + len(close)
             if m.group("LS"):
                 t.append("STR")
-                b.append(nl)
-                o.append(i)
-                nl = False
-        elif m.group("WS") is not None:
-            nl = True
-        elif m.group("CM") is None:
-            w, k = m.group(), m.lastgroup
-            t.append((w if w in LUA_WORDS else "IDENT") if k == "ID" else w if k == "OP" else k)
-            b.append(nl)
-            o.append(i)
-            nl = False
-        i = j
-    return t, b, o
+                o.append(at)
+            continue
+        if k == "CM":
+            continue
+        w = m[k]
+        if k == "BAD":
+            i = m.start(k)
+            break
+        t.append(w if k == "OP" else (w if w in LUA_WORDS else "IDENT") if k == "ID" else k)
+        o.append(m.start(k))
+    i = _stuck(s, i, _AFTER_LUA)
+    if i < n:
+        t.append("ERR")
+        o.append(i)
+    return t, [False] * len(t), o
 
 
 class Script:
@@ -274,15 +286,15 @@ class Script:
         while i < n:
             m = match(s, i)
             k = m.lastgroup if m else None
-            if k in ("WS", "CM"):
-                i = m.end()
-                continue
             if k == "NL":
                 self.nl, i = True, m.end()
                 continue
             if k == "BC":
-                self.nl, i = self.nl or "\n" in m.group(), m.end()
+                self.nl, i = self.nl or "\n" in m["BC"], m.end()
                 continue
+            i = m.start(k) if m else _stuck(s, i, _AFTER_JS)
+            if i >= n:
+                break
             if m is None or k in ("BADC", "BAD"):
                 self.put("ERR", i)
                 return -1
@@ -290,7 +302,7 @@ class Script:
             operand = prev in _OPERAND or (prev in JS_WORDS and prev not in _BEFORE_OPERAND)
             if prev == ")" and closed_if or prev == "}" and s[i] == "/":
                 operand = False
-            w = m.group()
+            w = m[k]
             if s[i] == "/" and not operand:
                 r = _REGEX.match(s, i)
                 if r is None:
