@@ -150,6 +150,7 @@ class Recogniser:
     def _compile(self, track: bool):
         T, B, far = self.types, self.breaks, self.far
         made: dict[str, list] = {k: [None] for k in self.rules}
+        busy: set[str] = set()
 
         def tok(t: str):
             if track:
@@ -181,7 +182,10 @@ class Recogniser:
                 n = node[1]
                 if n in made:
                     cell = made[n]
-                    return lambda p: cell[0](p)
+                    if cell[0] is None and n not in busy:
+                        rule(n)
+                    # Only a rule that refers back to itself is reached through its cell.
+                    return cell[0] or (lambda p: cell[0](p))
                 if n == "ASI":
                     def asi(p: int) -> int:
                         t = T[p]
@@ -277,13 +281,15 @@ class Recogniser:
                 return -1
             return choose
 
-        for k, node in self.rules.items():
-            f = build(node)
+        def rule(k: str) -> None:
+            busy.add(k)
+            f = build(self.rules[k])
+            busy.discard(k)
             if k in self.memo_names:
                 chart: dict[int, int] = {}
                 self.charts.append(chart)
 
-                def kept(p: int, f=f, chart=chart) -> int:
+                def kept(p: int) -> int:
                     r = chart.get(p)
                     if r is None:
                         r = chart[p] = f(p)
@@ -291,6 +297,8 @@ class Recogniser:
                 made[k][0] = kept
             else:
                 made[k][0] = f
+
+        rule(self.start)
         return made[self.start]
 
     def check(self, types: list[str], breaks: list[bool]) -> int:
