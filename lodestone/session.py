@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return str(jsc.get()).rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors see")
     path = tempfile.mkdtemp(prefix="lodestone-")
     spark.sparkContext.setCheckpointDir(path)
