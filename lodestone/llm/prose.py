@@ -43,9 +43,10 @@ _FRAME = re.compile(r"^\s*(?:at\s+\S+\s*\(.*\)|at\s+\S+:\d+(?::\d+)?|File \".*\"
 _BORDER = re.compile(r"^[\s|+:=─━┼╋│┃┬┴├┤*~_-]{3,}$")
 _END = re.compile(r"(?<=[.?!…。！？])[\"'”’»)\]]*(?:\s+|$)|(?<=[。！？])")
 _MARK = re.compile(r"[.?!…。！？](?=\s|$|[\"'”)])")
+_WIDE = re.compile(r"(?<=\S)[ \t]{2,}(?=\S)")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_CODE = re.compile(r"[;{}]\s*$|^\s*[{}()\[\]]+[;,]?\s*$|^\s*(?:let|const|var|fn|pub|local|return|import|use|#include|function|def|class|struct|for|while|if|end|else)\b.*[(){};=]|^\s*(?://|/\*|--\s|\*/)|^\s*[\w.\[\]\"']+\s*(?:[-+*/|&]?=|:=|=>|->)\s*\S|^\s*\"[^\"]*\"\s*:\s")
+_CODE = re.compile(r"\s*[{}()\[\]]+[;,]?\s*$|\s*(?:let|const|var|fn|pub|local|return|import|use|#include|function|def|class|struct|for|while|if|end|else)\b.*[(){};=]|\s*(?://|/\*|--\s|\*/)|\s*[\w.\[\]\"']+\s*(?:[-+*/|&]?=|:=|=>|->)\s*\S|\s*\"[^\"]*\"\s*:\s")
 
 
 def _cells(line: str, sep: str) -> int:
@@ -107,8 +108,9 @@ def shaped(words: list[str], ended: bool) -> bool:
     return uneven and capitals <= 0.34 * len(words) and len(words) >= (4 if ended else 8)
 
 
-def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC) -> bool:
-    """Do the words of ``unit`` run as a sentence? ``alone``: it stands on a line of its own without end mark."""
+def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC, orderly: bool = False) -> bool:
+    """Do the words of ``unit`` run as a sentence? ``alone``: it stands on a line of its own without end mark; ``orderly``: the
+    text it is part of has too few words in disorder for any unit of it to be a heap."""
     text = unit.strip()
     if len(cjk := _CJK.findall(text)) >= 4 and len(cjk) > 0.3 * len(text):
         return len(set(cjk)) > 0.35 * len(cjk) or len(set(cjk)) > 30
@@ -137,9 +139,10 @@ def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC) -> b
         return shaped(spelled, ended)
     if len(tokens) >= 8 and len(tokens) - len(words) + spans > len(words) and share < 0.15:
         return False
-    heap, clash, n = disorder(text, common)
-    if n >= 6 and heap > HEAP or clash >= 2 and clash > CLASH * n:
-        return False
+    if not orderly:
+        heap, clash, n = disorder(text, common)
+        if n >= 6 and heap > HEAP or clash >= 2 and clash > CLASH * n:
+            return False
     n = len(words) + spans
     if n >= ALONE:
         return True
@@ -217,20 +220,21 @@ def _paragraph(lines: list[str], common: frozenset[str]) -> int:
     heap, clash, n = disorder(joined, common)
     if n >= 12 and (heap > HEAP_BLOCK or clash >= 2 and clash > CLASH_BLOCK * n):
         return 0
+    orderly = clash < 2 and heap * n <= 6 * HEAP
     words = len(joined.split())
     if (marks := len(_MARK.findall(joined))) and words <= 45 * marks:
         for u in _END.split(joined.replace("\n", " ")):
             if u.strip():
                 # A trailing piece without end mark in a paragraph of sentences may lack its mark only.
-                total += len(u) + 1 if is_sentence(u, u.strip()[-1] not in ".?!…。！？\"'”)", common) else 0
+                total += len(u) + 1 if is_sentence(u, u.strip()[-1] not in ".?!…。！？\"'”)", common, orderly) else 0
         return min(total, len(joined) + 1)
     items = len(lines) >= LISTING_LINES and words < (PARALLEL_WORDS if parallel(lines) else ITEM_WORDS) * len(lines)
     if len(lines) > 1 and words >= 10 and not (items and parallel(lines)) and words >= LINE_WORDS * len(lines) and (wrapped(lines) >= WRAPPED or _breaks_in_sentences(lines)):
-        return len(joined) + 1 if is_sentence(joined.replace("\n", " "), False, common) else 0
+        return len(joined) + 1 if is_sentence(joined.replace("\n", " "), False, common, orderly) else 0
     if items:
         return 0
     # One unit per line; a long line may hold several.
-    return sum(len(s) + 1 for s in lines if is_sentence(s, True, common))
+    return sum(len(s) + 1 for s in lines if is_sentence(s, True, common, orderly))
 
 
 #: Share of full lines from which on lines without end marks are one wrapped text; least words a line of such a text; words a
@@ -328,7 +332,7 @@ def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int
     for b in blocks:
         marks = table_lines(b)
         tables += sum(len(s) + 1 for s, m in zip(b, marks) if m)
-        code = [bool(_CODE.search(s)) for s in b]
+        code = [s.rstrip()[-1:] in (";", "{", "}") or bool(_CODE.match(s)) for s in b]
         coded = sum(code) > 0.4 * len(b)
         para: list[str] = []
         item = False
@@ -354,7 +358,8 @@ def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int
             if starts:
                 item = n_items > 1
                 s = s[starts.end() :]
-            para.append(re.sub(r"(?<=\S)[ \t]{2,}(?=\S)", " ", s.strip()))
+            s = s.strip()
+            para.append(_WIDE.sub(" ", s) if "  " in s or "\t" in s else s)
         if para:
             got = _paragraph(para, common)
             prose += got
