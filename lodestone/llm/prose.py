@@ -32,6 +32,7 @@ FUNCTION_WORDS = {
 }
 _DOMESTIC = frozenset(w for v in FUNCTION_WORDS.values() for w in v.split())
 _INVISIBLE = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"), None) | {0xA0: " ", 0x202F: " ", 0x2009: " ", 0x3000: " "}
+_UNSEEN = re.compile("[" + "".join(map(chr, _INVISIBLE)) + "]")
 _LINE_END = re.compile("\r\n?|[\u2028\x0b\x0c\x85]")
 _OTHER, _SYMBOLS = re.compile(r"[^\w\s]|[\d_]"), re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -112,28 +113,27 @@ def is_sentence(unit: str, alone: bool, common: frozenset[str] = _DOMESTIC, orde
     """Do the words of ``unit`` run as a sentence? ``alone``: it stands on a line of its own without end mark; ``orderly``: the
     text it is part of has too few words in disorder for any unit of it to be a heap."""
     text = unit.strip()
-    if len(cjk := _CJK.findall(text)) >= 4 and len(cjk) > 0.3 * len(text):
+    if not text.isascii() and len(cjk := _CJK.findall(text)) >= 4 and len(cjk) > 0.3 * len(text):
         return len(set(cjk)) > 0.35 * len(cjk) or len(set(cjk)) > 30
     tokens = _TOKEN.findall(text)
     if len(tokens) < 4:
         return False
     spelled = [t for t in tokens if t.isalpha() or t[0] not in "`<" and _WORD.fullmatch(t)]
     words = [t.lower() for t in spelled]
-    spans = sum(t[0] == "`" for t in tokens)
+    spans = sum([t[0] == "`" for t in tokens]) if "`" in text else 0
     if len(words) < 3 or len(words) + spans < 0.6 * len(tokens):
         return False
     letters = len(_OTHER.sub("", text))
-    if letters + sum(len(t) for t in tokens if t[0] == "`") < 0.75 * len(text):
+    if letters + (sum([len(t) for t in tokens if t[0] == "`"]) if spans else 0) < 0.75 * len(text):
         return False
     distinct = len(set(words))
     if len(words) >= 6 and distinct < 0.4 * len(words) and distinct < 12:
         return False
-    if sum(len(w) > 22 for w in words) > 0.2 * len(words):
+    if max(map(len, words)) > 22 and sum([len(w) > 22 for w in words]) > 0.2 * len(words):
         return False
-    pieces = [x.split() for x in text.split(",")]
-    if len(pieces) >= 5 and sum(map(len, pieces)) <= 3.2 * len(pieces):
+    if (commas := text.count(",")) >= 4 and sum([len(x.split()) for x in text.split(",")]) <= 3.2 * (commas + 1):
         return False
-    share = sum(w in common for w in words) / len(words)
+    share = sum(map(common.__contains__, words)) / len(words)
     ended = text[-1] in _ENDS or text.endswith((".`", ":"))
     if share == 0:
         return shaped(spelled, ended)
@@ -194,17 +194,18 @@ def disorder(text: str, common: frozenset[str]) -> tuple[float, int, int]:
     for piece in _RUNS.split(text.lower()):
         words = _WORD.findall(piece)
         n += len(words)
-        run = 0
-        for w in [*words, ""]:
-            if w in common:
-                run += 1
-            else:
-                heap += run if run >= 4 else run / 2 if run == 3 else 0
-                run = 0
-        clash += sum(p in PAIRS for p in zip(words, words[1:]))
+        known = "".join(["1" if w in common else "0" for w in words])
+        if "11" in known:
+            for run in _KNOWN.findall(known):
+                heap += len(run) if len(run) >= 4 else len(run) / 2
+            clash += sum([p in PAIRS for p in zip(words, words[1:])])
     return heap / max(1, n), clash, n
 
 
+#: Runs of three and more known words. Every word of a clashing pair is one of them.
+_KNOWN = re.compile("1{3,}")
+
+
 def wrapped(lines: list[str]) -> float:
     """Share of line breaks that are where a line is full: the next line's first word wouldn't have fitted."""
     if len(lines) < 2:
@@ -289,9 +290,12 @@ def is_listing(lines: list[str]) -> bool:
 INK_SYMBOLS, LONG_WORDS, SHORT_WORDS = 0.4, 14.0, 1.8
 
 
-def unlike_prose(lines: list[str]) -> bool:
-    """Is a block no prose by its ratios of symbols to ink and letters to words? Scripts without blanks have no word ratio."""
+def unlike_prose(lines: list[str], common: frozenset[str] = _DOMESTIC) -> bool:
+    """Is a block no prose by its ratios of symbols to ink and letters to words? A block with a common word isn't judged by
+    them: its units are, one by one. Scripts without blanks have no word ratio."""
     text = " ".join(lines)
+    if not common.isdisjoint(text.lower().split()):
+        return False
     ink = sum(map(len, text.split()))
     letters = len(_OTHER.sub("", text)) - text.count(" ")
     if ink - letters > INK_SYMBOLS * ink + sum(len(x) for x in _SPAN.findall(text)):
@@ -303,9 +307,19 @@ def unlike_prose(lines: list[str]) -> bool:
 _SPAN = re.compile(r"`[^`\n]*`")
 
 
+def _logged(line: str) -> bool:
+    """Is a line a log's or a trace's? Both patterns ask for certain marks, which are looked for first."""
+    if line.lstrip()[:1] in _STAMP_HEADS and _STAMP.match(line):
+        return True
+    return any(c in line for c in "(:#\"") and _FRAME.match(line) is not None or "..." in line and _FRAME.match(line) is not None
+
+
+_STAMP_HEADS = frozenset("[0123456789DIWETF")
+
+
 def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int, int, int]:
     """(characters in running sentences, in tables, in lists, all) of a text."""
-    text = _LINE_END.sub("\n", text if text.isascii() else text.translate(_INVISIBLE))
+    text = _LINE_END.sub("\n", text.translate(_INVISIBLE) if _UNSEEN.search(text) else text)
     lines = text.split("\n")
     size = len(text.strip())
     prose = tables = lists = 0
@@ -336,16 +350,16 @@ def prose_chars(text: str, common: frozenset[str] = _DOMESTIC) -> tuple[int, int
         coded = sum(code) > 0.4 * len(b)
         para: list[str] = []
         item = False
-        n_items = sum(bool(_BULLET.match(s)) for s in b)
-        items = [s[m.end() :] for s in b if (m := _BULLET.match(s)) and s[m.end() :].strip()]
+        bullets = [_BULLET.match(s) for s in b]
+        n_items = sum(m is not None for m in bullets)
+        items = [s[m.end() :] for s, m in zip(b, bullets) if m and s[m.end() :].strip()] if n_items else []
         least = PARALLEL_WORDS if parallel(items) else ITEM_WORDS
         short = len(items) >= 3 and len(_MARK.findall("\n".join(b))) <= LISTING_MARKS * len(items) and len(_TOKEN.findall(" ".join(b))) < least * len(items)
-        if not any(marks) and (short or not n_items and is_listing(b) or unlike_prose(b)):
+        if not any(marks) and (short or not n_items and is_listing(b) or unlike_prose(b, common)):
             lists += sum(len(s) + 1 for s in b) if not coded else 0
             continue
-        for s, m, c in zip(b, marks, code):
-            skip = m or _STAMP.match(s) or _FRAME.match(s) or s.lstrip().startswith("#") or (coded and (c or s[:1] in " \t}")) or s.count("»") + s.count("›") > 0 and s.count("|") > 1
-            starts = _BULLET.match(s)
+        for s, m, c, starts in zip(b, marks, code, bullets):
+            skip = m or _logged(s) or s.lstrip().startswith("#") or (coded and (c or s[:1] in " \t}")) or s.count("»") + s.count("›") > 0 and s.count("|") > 1
             if skip or starts:
                 if para:
                     got = _paragraph(para, common)
@@ -377,7 +391,7 @@ _PUNCT_END = tuple(".?!…;:。！？\"”")
 def statistics(text: str | None, lang: str | None, common: dict[str, frozenset[str]], everywhere: frozenset[str]) -> tuple:
     if text is None:
         return (None,) * 10
-    body = text if text.isascii() else text.translate(_INVISIBLE)
+    body = text.translate(_INVISIBLE) if _UNSEEN.search(text) else text
     words = _WORD.findall(body)
     lines = [s for s in body.splitlines() if s.strip()]
     ink = sum(map(len, body.split()))
