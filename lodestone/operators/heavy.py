@@ -65,9 +65,9 @@ def per_key(rows: DataFrame, key: str, member: str, at: str, share: float = SHAR
 
 
 def hot_keys(counts: DataFrame, on: list[str], n: str = "n") -> DataFrame:
-    """Hashes of the keys that hold at least 1 / HOT of all counted rows: at most HOT of them, whatever the data."""
-    total = counts.agg(F.sum(n).alias("__total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col(n) * HOT >= F.col("__total")).select(F.xxhash64(*on).alias("__h"))
+    """Hashes of the HOT keys with the greatest counts, whatever the data: any key with more than 1 / HOT of all rows is one of
+    them (a top-k that is taken per task first)."""
+    return counts.orderBy(F.desc(n), *on).limit(HOT).select(F.xxhash64(*on).alias("__h"))
 
 
 def skew_safe_semi(big: DataFrame, keys: DataFrame, on: list[str], spread: Column, hot: DataFrame | None = None) -> DataFrame:
