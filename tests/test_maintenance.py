@@ -1,5 +1,7 @@
 """Incremental maintenance, sources, streaming and extraction."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,41 @@ def test_similar_blocks(spark, monkeypatch):
     assert [r.fqdn for r in did_you_mean(spark.createDataFrame([("*parse_fil?",), ("parse_file",)], "name string"), s).collect()] == ["m::parse_file"]
 
 
+def test_best_names_are_found_over_all_names(spark):
+    """A slice is as large as memory allows, not a share of the shuffle partitions: what a query keeps doesn't grow with those."""
+    names = spark.range(400).selectExpr("concat('parse_', substr(md5(cast(id as string)), 1, 6)) as name")
+    asked = spark.createDataFrame([("parse_file",), ("crates::front::parse::" * 4 + "parse_abc123",)], "name string")
+    from lodestone.functions.text import similarity
+
+    plain = [r.name for r in names.collect()]
+    got = {(r["query"], r["name"]): r["score"] for r in name_scores(asked, names, 0.6, 5).collect()}
+    for q in (r.name for r in asked.collect()):
+        scores = sorted((similarity(q, x) for x in plain if similarity(q, x) >= 0.6), reverse=True)
+        least = scores[4] - 2e-6 if len(scores) > 4 else 0.6
+        assert {k: v for k, v in got.items() if k[0] == q} == {(q, x): similarity(q, x) for x in plain if similarity(q, x) >= least}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ready_names_equal_plain_scores(seed):
+    from lodestone.functions.text import similarity
+    from lodestone.operators.similar import Names
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdeABC_12é.ſİ\0aaaaaaaa", k=rng.choice([0, 1, 2, 3, 5, 8, 13, 20, 40, 63, 64, 65, 90])))
+    names = list(dict.fromkeys(word() for _ in range(120)))
+    rows = [rng.randint(1, 5) for _ in names]
+    ready = Names(names, rows)
+    for q in [*names[:30], *(word() for _ in range(20))]:
+        full = {x: v for x in names if x.lower() != q.lower() and (v := similarity(q, x)) >= 0.6}
+        for top in (None, 1, 5, 20):
+            at, score = ready.best(q, 0.6, top)
+            got = dict(zip(ready.names[at], score))
+            all_rows = sorted((v for x, v in full.items() for _ in range(rows[names.index(x)])), reverse=True)
+            least = 0.6 if top is None or len(all_rows) < top else all_rows[top - 1]
+            assert len(got) == len(at) and {x for x, v in full.items() if v >= least} <= got.keys() <= full.keys()
+            assert all(abs(got[x] - full[x]) < 1e-12 for x in got)
+
+
 def test_dense_ids(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
     rows = dense_ids(d, ["v"]).orderBy("v").collect()
