@@ -112,6 +112,18 @@ def test_ready_names_equal_plain_scores(seed):
             assert all(abs(got[x] - full[x]) < 1e-12 for x in got)
 
 
+def test_hot_name_sends_few_rows(spark, monkeypatch):
+    """A name that many symbols have: only its first paths can be among the best."""
+    from lodestone.operators import similar
+
+    s = spark.range(500).selectExpr("concat('m::', lpad(id, 3, '0')) as fqdn", "if(id = 250, 'parse_filed', 'parse_files') as name")
+    seen = []
+    monkeypatch.setattr(similar, "name_scores", lambda q, n, *x: seen.append(n.count()) or name_scores(q, n, *x))
+    got = similar.similar_symbols(spark.createDataFrame([("parse_file",), ("parse_filed",)], "name string"), s, 0.6, 3).collect()
+    assert seen == [4]
+    assert {(r["query"], r["rank"]): r.fqdn for r in got} == {(q, k + 1): f"m::00{k}" for q in ("parse_file", "parse_filed") for k in range(3)}
+
+
 def test_dense_ids(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
     rows = dense_ids(d, ["v"]).orderBy("v").collect()
